@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name: module that has it as a function, and its SQL, if any, as ORACLE_SQL.
 MODULES = {
+    "op6_personal_data": "pii",
+    "op5_toxicity": "toxicity",
     "op4_document_fingerprints": "fingerprints",
     "op2_license_scan": "licenses",
     "op9_source_mixing": "mixing",
