@@ -320,7 +320,7 @@ def _large_families(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, family_rows: int = FAMILY_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, node, component_id.
+    """One row per row of docs: doc_id, h (a hash of the row's id and text), n_shingles, label, component_id.
 
     Two documents link if the Jaccard similarity of their sets of word n-grams
     is percent / 100 or more; component_id is the smallest doc_id that links
@@ -332,12 +332,31 @@ def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, fam
     63 and 64 hashed bits.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
-    sets = stored(read.mapInArrow(_row_sets(size), "doc_id long, n_shingles long, node long"), "sets")
+    hashed = read.withColumn("h", F.xxhash64("doc_id", "_text"))
+    sets = stored(hashed.mapInArrow(_row_sets(size), "doc_id long, h long, n_shingles long, node long"), "sets")
     labels = links(read, sets, size, percent, family_rows)
     named = sets.join(labels, F.col("node") == F.col("u"), "left").withColumn("label", F.coalesce("label", "node")).drop("u")
     # A document without n-grams is alone; its label must not bring it together with others.
     least = named.filter("node is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", "h", "n_shingles", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id, of equals by a hash of the row.
+
+    Rows without n-grams are components of their own and stay.
+    """
+    joined = join(docs, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    chosen = joined.filter("label is not null").groupBy("label").agg(F.min(order).alias("_best")).select("_best._id", "_best._h", F.lit(False).alias("_all"))
+    empty = joined.filter("label is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.lit(True).alias("_all")).distinct()
+    none = F.lit(-(1 << 63))
+    keep = chosen.unionByName(empty).select(F.coalesce("_id", none).alias("_kid"), F.col("_h").alias("_kh"), "_all")
+    row_id = F.coalesce(F.col("doc_id").cast("long"), none)
+    keyed = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", row_id.alias("_kid"), F.xxhash64(F.col("doc_id").cast("long"), whole_text()).alias("_kh"))
+    # Rows that are alike in id and text: only the first of them.
+    alike = Window.partitionBy("_kid", "_kh").orderBy(F.lit(1))
+    return keyed.join(keep, ["_kid", "_kh"]).withColumn("_nth", F.row_number().over(alike)).filter("_all or _nth = 1").select("_row.*")
 
 
 def links(read: DataFrame, sets: DataFrame, size: int, percent: int, family_rows: int) -> DataFrame:

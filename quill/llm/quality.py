@@ -30,11 +30,11 @@ LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 
 
-def _with_grams(docs: DataFrame, n: int) -> DataFrame:
+def _with_hashes(docs: DataFrame) -> DataFrame:
+    """Adds _h, the hashes of the words of _w, and _pairs, those of neighbours; their buckets are the remainders."""
     hashed = docs.withColumn("_h", F.transform("_w", lambda w: F.crc32(w.cast("binary"))))
-    single = F.transform("_h", lambda h: F.pmod(h, F.lit(n)))
-    pairs = F.zip_with(F.slice("_h", 1, F.greatest(F.size("_h") - 1, F.lit(0))), F.slice("_h", 2, F.greatest(F.size("_h") - 1, F.lit(0))), lambda a, b: F.pmod(a * PAIR + b, F.lit(n)))
-    return hashed.withColumn("_g", F.concat(single, pairs)).drop("_h")
+    n = F.greatest(F.size("_h") - 1, F.lit(0))
+    return hashed.withColumn("_pairs", F.zip_with(F.slice("_h", F.lit(1), n), F.slice("_h", F.lit(2), n), lambda a, b: a * PAIR + b))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
@@ -48,7 +48,7 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Data
     """One row: `_weights`, the log ratio by bucket in millionths."""
     read = docs.select(F.col("doc_id").alias("_id"), words(whole_text()).alias("_w"))
     marked = read.join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left").withColumn("_good", F.col("_trusted").isNotNull())
-    grams = _with_grams(marked, buckets).select("_good", F.explode("_g").alias("_b"))
+    grams = _with_hashes(marked).select("_good", F.explode(F.concat("_h", "_pairs")).alias("_x")).select("_good", F.pmod("_x", F.lit(buckets)).alias("_b"))
     counts = grams.groupBy("_b").agg(F.count(F.lit(1)).alias("_raw"), F.count_if("_good").alias("_target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").alias("_b"))
     table = every.join(counts, "_b", "left").agg(F.array_sort(F.collect_list(F.struct("_b", F.coalesce("_raw", F.lit(0)).alias("r"), F.coalesce("_target", F.lit(0)).alias("t")))).alias("_t"))
@@ -92,10 +92,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, buck
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
-    base = _with_grams(repeated_words(base, "_w", "n_repeat_words"), buckets).drop("_w")
+    base = _with_hashes(repeated_words(base, "_w", "n_repeat_words")).drop("_w")
     # BUCKETS numbers, whatever the corpus holds; folded into one literal of the plan.
     by_bucket = F.split(F.lit(",".join(map(str, table.first()[0]))), ",").cast("array<bigint>")
-    scored = base.withColumn("_sum", F.aggregate("_g", F.lit(0).cast("long"), lambda a, g: a + F.get(by_bucket, g.cast("int")))).withColumn("_n", F.size("_g").cast("long")).drop("_g")
+
+    def total(hashes: str):
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.get(by_bucket, F.pmod(x, F.lit(buckets)).cast("int")))
+
+    scored = base.withColumn("_sum", total("_h") + total("_pairs")).withColumn("_n", (F.size("_h") + F.size("_pairs")).cast("long")).drop("_h", "_pairs")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return scored.select(
         "doc_id",

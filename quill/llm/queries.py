@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name: module that has it as a function, and its SQL, if any, as ORACLE_SQL.
 MODULES = {
+    "op10_suffix_array_dedup": "substrings",
     "op8_ngram_jaccard_join": "ngram_join",
     "op6_personal_data": "pii",
     "op5_toxicity": "toxicity",
