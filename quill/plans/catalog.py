@@ -1,9 +1,300 @@
-"""Registered queries and the SQL they are checked against."""
+"""Registered queries over the proxy tables, and the SQL each is checked against.
+
+A query without SQL is one whose operator SQL cannot say: path data, order-
+dependent merges, communities. Tests hold those against small fixtures.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import color, geometry
+from ..operators import features, graph, grouping, hierarchy, merging, output, raster, stats
+from ..sources import svg
+from . import proxies
+from .proxies import PALETTE, SHAPES_SQL
+from .vectorize import Vectorizer
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
+
+
+_r = lambda c, n=6: F.round(c, n)
+
+
+# ---- scalar functions --------------------------------------------------------
+
+
+@query(SHAPES_SQL + "SELECT path_idx, r::INT AS r, g::INT AS g, b::INT AS b, round(ll, 6) AS l, round(la, 6) AS a, round(lb, 6) AS lab_b FROM s")
+def color_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rgb = color.hex_to_rgb(F.col("fill"))
+    return proxies.shapes(spark, sf_dir).select("path_idx", rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"), _r(F.col("lab.l")).alias("l"), _r(F.col("lab.a")).alias("a"), _r(F.col("lab.b")).alias("lab_b"))
+
+
+@query(SHAPES_SQL + """, n AS (SELECT *, lead(fill) OVER w AS f2, lead(ll) OVER w AS l2, lead(la) OVER w AS a2, lead(lb) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY image_id ORDER BY path_idx))
+SELECT path_idx, round(sqrt(pow(ll - l2, 2) + pow(la - a2, 2) + pow(lb - b2, 2)), 6) AS apart,
+  fill = f2 OR coalesce(sqrt(pow(ll - l2, 2) + pow(la - a2, 2) + pow(lb - b2, 2)) < 60, false) AS alike FROM n WHERE f2 IS NOT NULL""")
+def color_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("image_id").orderBy("path_idx")
+    n = proxies.shapes(spark, sf_dir).withColumn("f2", F.lead("fill").over(w)).withColumn("l2", F.lead("lab").over(w)).filter("f2 is not null")
+    return n.select("path_idx", _r(color.delta_e(F.col("lab"), F.col("l2"))).alias("apart"), color.colors_similar(F.col("fill"), F.col("f2"), 60.0).alias("alike"))
+
+
+@query(SHAPES_SQL + "SELECT path_idx, area, cx, cy, round(CASE WHEN y1 - y0 < 1e-6 THEN 1.0 ELSE (x1 - x0)::DOUBLE / (y1 - y0) END, 6) AS aspect_ratio FROM s WHERE area >= 500")
+def box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proxies.shapes(spark, sf_dir).filter("area >= 500").select("path_idx", "area", F.col("centroid.x").alias("cx"), F.col("centroid.y").alias("cy"), _r(F.col("aspect_ratio")).alias("aspect_ratio"))
+
+
+@query(SHAPES_SQL + r""", t AS (SELECT path_idx, list_filter(string_split_regex(trim(regexp_extract(transform, 'translate\(\s*([^)]*)\)', 1)), '[\s,]+'), lambda p: p <> '') AS p FROM s),
+u AS (SELECT path_idx, try_cast(p[1] AS DOUBLE) AS x, try_cast(p[2] AS DOUBLE) AS y, len(p) AS n FROM t)
+SELECT path_idx, CASE WHEN x IS NULL OR (n > 1 AND y IS NULL) THEN 0.0::DOUBLE ELSE x END AS tx, CASE WHEN x IS NULL OR y IS NULL THEN 0.0::DOUBLE ELSE y END AS ty FROM u""")
+def translate_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = geometry.parse_translate(F.col("transform"))
+    return proxies.shapes(spark, sf_dir).select("path_idx", t["tx"].alias("tx"), t["ty"].alias("ty"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 100.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE (c_custkey % 90 + 2)::DOUBLE END AS w,
+  CASE c_custkey % 4 WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 60.0::DOUBLE END AS h FROM customer""")
+def document_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    box = F.when(k % 4 == 0, "0 0 100 50").when(k % 4 == 1, "0,0,100,50")
+    d = geometry.dimensions(box, F.when(k % 4 >= 2, F.concat((k % 90 + 2).cast("string"), F.lit("px"))), F.when(k % 4 >= 2, F.lit("60pt")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", d["w"].alias("w"), d["h"].alias("h"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$', 0), '\.[^.]*$', '') AS stem, lower(regexp_extract(url, '\.([^./]+)$', 1)) AS suffix FROM pages""")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", svg.stem(F.col("url")).alias("stem"), svg.suffix(F.col("url")).alias("suffix"))
+
+
+@query(r"""WITH t AS (SELECT page_id, replace(replace(html, '<p', '<g'), '</p', '</g') || '<g id="a"/><g><g> </g></g>' AS h FROM pages)
+SELECT page_id, md5(regexp_replace(regexp_replace(h, '<g[^>]*/>', '', 'g'), '<g[^>]*>\s*</g>', '', 'g')) AS digest FROM t""")
+def empty_groups_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.concat(F.replace(F.replace("html", F.lit("<p"), F.lit("<g")), F.lit("</p"), F.lit("</g")), F.lit('<g id="a"/><g><g> </g></g>'))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(output.remove_empty_groups(h).cast("binary")).alias("digest"))
+
+
+@query("SELECT event_id, event_type IN ('image/png', 'image/jpeg', 'image/jpg', 'image/webp') AS accepted, greatest(0, least(255, floor(value)))::INT AS byte FROM events")
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", svg.accepted(F.col("event_type")).alias("accepted"), color.to_byte(F.col("value")).alias("byte"))
+
+
+# ---- sources -----------------------------------------------------------------
+
+
+@query(SHAPES_SQL + "SELECT image_id, (path_idx - min(path_idx) OVER (PARTITION BY image_id))::INT AS ordinal, fill, area, x0::DOUBLE AS xmin, y0::DOUBLE AS ymin, x1::DOUBLE AS xmax, y1::DOUBLE AS ymax, 4 AS complexity FROM s")
+def svg_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = svg.parse_elements(proxies.svg_documents(spark, sf_dir))
+    p = svg.derived(svg.projected(found))
+    return p.select("image_id", F.col("path_idx").alias("ordinal"), "fill", "area", "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax", "complexity")
+
+
+@query("SELECT DISTINCT p_partkey // 100 AS image_id, NULL::VARCHAR AS width, '0 0 700 600' AS view_box, 'http://www.w3.org/2000/svg' AS xmlns, 700.0::DOUBLE AS w, 600.0::DOUBLE AS h FROM part")
+def svg_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return svg.metadata(svg.parse_elements(proxies.svg_documents(spark, sf_dir))).select("image_id", "width", "view_box", "xmlns", "w", "h")
+
+
+# ---- joins and hierarchy -----------------------------------------------------
+
+_PAIRS = SHAPES_SQL + """, pairs AS (SELECT a.image_id, a.path_idx AS parent, b.path_idx AS child, a.area AS parent_area FROM s a JOIN s b ON a.image_id = b.image_id AND a.path_idx <> b.path_idx
+  AND a.area * 10 > b.area * 11 AND a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1),
+parents AS (SELECT image_id, child, parent FROM pairs QUALIFY row_number() OVER (PARTITION BY image_id, child ORDER BY parent_area, parent) = 1)
+"""
+_DEPTHS = _PAIRS.replace("WITH base", "WITH RECURSIVE base") + """, depth AS (
+  SELECT image_id, path_idx, 0 AS depth FROM s WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.image_id = s.image_id AND p.child = s.path_idx)
+  UNION ALL SELECT p.image_id, p.child, d.depth + 1 FROM depth d JOIN parents p ON p.image_id = d.image_id AND p.parent = d.path_idx)
+"""
+
+
+@query(SHAPES_SQL + """SELECT a.image_id, a.path_idx AS i, b.path_idx AS j FROM s a JOIN s b ON a.image_id = b.image_id AND a.fill = b.fill AND a.transform = b.transform AND a.path_idx % 20 = b.path_idx % 20 AND a.path_idx < b.path_idx
+  AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.mergeable_pairs(proxies.grouped(spark, sf_dir)).select("image_id", "i", "j")
+
+
+@query(_PAIRS + "SELECT image_id, child, parent FROM parents")
+def containment_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proxies.tree(spark, sf_dir)[1]
+
+
+@query(_PAIRS + "SELECT image_id, path_idx AS group_idx FROM s WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.image_id = s.image_id AND p.child = s.path_idx)")
+def hierarchy_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.roots(*proxies.tree(spark, sf_dir))
+
+
+@query(_DEPTHS + "SELECT d.image_id, d.path_idx AS group_idx, p.parent AS parent_idx, depth FROM depth d LEFT JOIN parents p ON p.image_id = d.image_id AND p.child = d.path_idx")
+def hierarchy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.depths(*proxies.tree(spark, sf_dir))
+
+
+@query(_DEPTHS + "SELECT image_id, depth, count(*) AS n FROM depth GROUP BY image_id, depth")
+def hierarchy_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.depths(*proxies.tree(spark, sf_dir)).groupBy("image_id", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_PAIRS + "SELECT image_id, parent AS parent_idx, string_agg(child::VARCHAR, ',' ORDER BY child) AS children FROM parents GROUP BY image_id, parent")
+def hierarchy_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.children(hierarchy.depths(*proxies.tree(spark, sf_dir))).select("image_id", "parent_idx", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+
+
+# ---- features, graphs and clusters -------------------------------------------
+
+_APART = "CASE WHEN a.ll IS NULL OR b.ll IS NULL THEN CASE WHEN a.fill = b.fill THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END ELSE sqrt(pow(a.ll - b.ll, 2) + pow(a.la - b.la, 2) + pow(a.lb - b.lb, 2)) END"
+_GAP = "sqrt(pow(greatest(0.0, a.x0 - b.x1, b.x0 - a.x1), 2) + pow(greatest(0.0, a.y0 - b.y1, b.y0 - a.y1), 2))"
+_FEATURES = SHAPES_SQL + """, m AS (SELECT *, max(area) OVER (PARTITION BY image_id) AS ma, max(complexity) OVER (PARTITION BY image_id) AS mc FROM s),
+f AS (SELECT image_id, path_idx, [cx / 700, cy / 600, coalesce(ll / 100, 0) * 2, coalesce((la + 128) / 256, 0.5) * 2, coalesce((lb + 128) / 256, 0.5) * 2, ln(1 + area) / ln(1 + ma) * 0.5,
+  least((x1 - x0)::DOUBLE / (y1 - y0), 10) / 10 * 0.3, ln(1.0::DOUBLE + complexity) / ln(1.0::DOUBLE + mc) * 0.3, curve_ratio * 0.3]::DOUBLE[] AS v FROM m)
+"""
+_EPS = 0.35
+
+
+@query(SHAPES_SQL + f"""SELECT * FROM (SELECT a.image_id, a.path_idx AS i, b.path_idx AS j, {_GAP} AS gap, {_APART} AS apart FROM s a JOIN s b ON a.image_id = b.image_id AND a.path_idx < b.path_idx) p
+WHERE gap <= 50 AND apart <= 25""".replace("SELECT * FROM (", "SELECT image_id, i, j, round(((1 - gap / 50) + (1 - apart / 25)) / 2, 6) AS weight FROM (", 1))
+def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.similarity_edges(proxies.shapes(spark, sf_dir)).withColumn("weight", _r(F.col("weight")))
+
+
+@query(_FEATURES + "SELECT image_id, path_idx, " + ", ".join(f"round(v[{k}], 6) AS f{k}" for k in range(1, 10)) + " FROM f")
+def path_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = features.with_features(proxies.shapes(spark, sf_dir))
+    return p.select("image_id", "path_idx", *(_r(F.element_at("features", k)).alias(f"f{k}") for k in range(1, 10)))
+
+
+@query(_FEATURES + f"SELECT a.image_id, a.path_idx AS i, b.path_idx AS j FROM f a JOIN f b ON a.image_id = b.image_id AND a.path_idx < b.path_idx AND list_distance(a.v, b.v) <= {_EPS}")
+def eps_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.neighbours(features.with_features(proxies.shapes(spark, sf_dir)), _EPS)
+
+
+@query(_FEATURES.replace("WITH base", "WITH RECURSIVE base") + f""", e AS (SELECT a.image_id, a.path_idx AS i, b.path_idx AS j FROM f a JOIN f b ON a.image_id = b.image_id AND list_distance(a.v, b.v) <= {_EPS}),
+r AS (SELECT image_id, path_idx, path_idx AS reached FROM f UNION SELECT r.image_id, r.path_idx, e.j FROM r JOIN e ON e.image_id = r.image_id AND e.i = r.reached)
+SELECT image_id, path_idx, min(reached) AS label FROM r GROUP BY image_id, path_idx""")
+def eps_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.density_clusters(features.with_features(proxies.shapes(spark, sf_dir)), _EPS)
+
+
+@query()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.density_clusters(features.with_features(proxies.shapes(spark, sf_dir)), _EPS, min_samples=3)
+
+
+@query()
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = proxies.shapes(spark, sf_dir)
+    return graph.communities(s, grouping.similarity_edges(s, 80.0, 40.0))
+
+
+@query(SHAPES_SQL + """, g AS (SELECT image_id, path_idx % 20 AS label, avg(cy) AS y, avg(cx) AS x, min(path_idx) AS first FROM s GROUP BY image_id, path_idx % 20),
+o AS (SELECT image_id, label, row_number() OVER (PARTITION BY image_id ORDER BY y, x, first) - 1 AS group_idx FROM g)
+SELECT s.image_id, path_idx, group_idx::INT AS group_idx, (row_number() OVER (PARTITION BY s.image_id, group_idx ORDER BY path_idx) - 1)::INT AS member_ord FROM s JOIN o ON o.image_id = s.image_id AND o.label = s.path_idx % 20""")
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = proxies.shapes(spark, sf_dir)
+    return grouping.ordered_groups(s, s.select("image_id", "path_idx", (F.col("path_idx") % proxies.GROUPS).alias("label"))).select("image_id", "path_idx", "group_idx", "member_ord")
+
+
+# ---- aggregates --------------------------------------------------------------
+
+
+@query(SHAPES_SQL + """, k AS (SELECT *, path_idx % 20 AS grp FROM s), m AS (SELECT *, avg(ll) OVER w AS ml, avg(la) OVER w AS ma, avg(lb) OVER w AS mb FROM k WINDOW w AS (PARTITION BY image_id, grp)),
+top AS (SELECT image_id, grp, fill FROM k GROUP BY image_id, grp, fill QUALIFY row_number() OVER (PARTITION BY image_id, grp ORDER BY count(*) DESC, min(path_idx)) = 1)
+SELECT m.image_id, m.grp::INT AS group_idx, round(coalesce(any_value(ml), 50), 6) AS l, round(coalesce(any_value(ma), 0), 6) AS a, round(coalesce(any_value(mb), 0), 6) AS b,
+  round(coalesce(avg(sqrt(pow(ll - ml, 2) + pow(la - ma, 2) + pow(lb - mb, 2))), 0), 6) AS variance, CASE WHEN count(ll) > 0 THEN any_value(top.fill) ELSE arg_min(m.fill, path_idx) END AS dominant_fill,
+  CASE WHEN count(ll) > 0 THEN count(DISTINCT m.fill) ELSE 0 END AS unique_colors FROM m JOIN top ON top.image_id = m.image_id AND top.grp = m.grp GROUP BY m.image_id, m.grp""")
+def color_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = stats.color_stats(proxies.grouped(spark, sf_dir))
+    return c.select("image_id", "group_idx", *(_r(F.col(f"mean_lab.{x}")).alias(x) for x in "lab"), _r(F.col("variance")).alias("variance"), "dominant_fill", "unique_colors")
+
+
+@query(SHAPES_SQL + "SELECT image_id, fill, count(*) AS n, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, min(path_idx))::INT AS rank FROM s GROUP BY image_id, fill QUALIFY rank <= 5")
+def dominant_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.dominant_colors(proxies.shapes(spark, sf_dir), 5)
+
+
+@query(SHAPES_SQL + """SELECT image_id, (path_idx % 20)::INT AS group_idx, min(x0)::DOUBLE AS xmin, min(y0)::DOUBLE AS ymin, max(x1)::DOUBLE AS xmax, max(y1)::DOUBLE AS ymax, ((max(x1) - min(x0)) * (max(y1) - min(y0)))::DOUBLE AS area,
+  CASE WHEN min(fill) = max(fill) THEN min(fill) END AS fill FROM s GROUP BY image_id, path_idx % 20""")
+def group_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = proxies.grouped(spark, sf_dir)
+    return stats.boxes(g).join(stats.unanimous(g, "fill", "fill"), list(stats.GROUP)).select("image_id", "group_idx", "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax", "area", "fill")
+
+
+@query(SHAPES_SQL + "SELECT image_id, count(*) AS n_paths, count(DISTINCT path_idx % 20) AS n_groups FROM s GROUP BY image_id")
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.totals(proxies.grouped(spark, sf_dir))
+
+
+_PIXELS = "WITH px AS (SELECT l_orderkey % 16 AS image_id, l_orderkey * 8 + l_linenumber AS i, l_orderkey * 7 % 256 AS c0, l_partkey * 3 % 200 AS c1, l_suppkey % 64 * (l_orderkey % 4) AS c2 FROM lineitem)"
+
+
+@query(_PIXELS + """, t AS (SELECT image_id, count(DISTINCT (c0, c1, c2)) AS n_unique, (stddev_pop(c0) + stddev_pop(c1) + stddev_pop(c2)) / 3 AS sd FROM px GROUP BY image_id)
+SELECT image_id, n_unique, round(sd, 6) AS spread, CASE WHEN n_unique <= 16 THEN 0 ELSE greatest(8, least(64, CASE WHEN sd > 30 OR n_unique > 2048 THEN 64 WHEN sd > 20 OR n_unique > 1024 THEN 32 WHEN sd > 12 OR n_unique > 512 THEN 24 ELSE 16 END)) END AS k FROM t""")
+def palette_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.palette_size(proxies.pixels(spark, sf_dir)).withColumn("spread", _r(F.col("spread")))
+
+
+_CENTRES = [[10.0, 20.0, 30.0], [200.0, 100.0, 50.0], [90.0, 150.0, 10.0], [128.0, 128.0, 128.0]]
+
+
+@query(_PIXELS + ", d AS (SELECT image_id, [" + ", ".join(f"pow(c0 - {a}, 2) + pow(c1 - {b}, 2) + pow(c2 - {c}, 2)" for a, b, c in _CENTRES) + "] AS d FROM px) SELECT image_id, (list_position(d, list_min(d)) - 1)::INT AS centre, count(*) AS n FROM d GROUP BY ALL")
+def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = raster.nearest([F.col(c).cast("double") for c in ("c0", "c1", "c2")], _CENTRES)
+    return proxies.pixels(spark, sf_dir).groupBy("image_id", best.alias("centre")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pixel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.sample(proxies.pixels(spark, sf_dir), 500)
+
+
+# ---- order-dependent merges and output ---------------------------------------
+
+
+@query()
+def merged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.merge_groups(proxies.grouped(spark, sf_dir)).select("image_id", "path_idx", "group_idx", "member_ord")
+
+
+@query()
+def merged_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.merged_paths(proxies.grouped(spark, sf_dir), Vectorizer().settings).select("image_id", "group_idx", "path_idx", "member_ord", "d")
+
+
+@query()
+def simplified_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output.simplified_paths(proxies.shapes(spark, sf_dir), Vectorizer().settings).select("image_id", "path_idx", "d")
+
+
+@query(SHAPES_SQL + """SELECT path_idx, '<path d="M ' || concat_ws(' ', x0, y0, 'L', x1, y0, 'L', x1, y1, 'L', x0, y1, 'Z') || '"' || CASE WHEN fill <> '#ff0000' THEN ' fill="' || fill || '"' ELSE '' END || ' transform="' || transform || '"/>' AS element FROM s""")
+def path_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = output.path_element(F.col("d"), F.col("fill"), F.col("stroke"), F.col("opacity"), F.col("transform"), F.lit("#ff0000"))
+    return proxies.shapes(spark, sf_dir).select("path_idx", e.alias("element"))
+
+
+@query()
+def vectorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Vectorizer().run(proxies.svg_documents(spark, sf_dir))
+
+
+@query()
+def vectorized_by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Vectorizer({"clustering": {"method": "graph"}, "hierarchy": {"containment_method": "bbox"}}).run(proxies.svg_documents(spark, sf_dir))
+
+
+assert len(PALETTE) == 12
