@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 4096
 BLOCKS_PER_SHARD = 256
-DOCS_PER_BUCKET = 5000
+DOCS_PER_BUCKET = 500
 SEED = 17
 #: Rows of the table of sources up to which it is broadcast.
 BROADCAST_SOURCES = 50_000
