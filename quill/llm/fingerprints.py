@@ -3,10 +3,11 @@
 A text is cut into paragraphs (lines, and runs of PARAGRAPH_WORDS words of a
 long line), each hashed to a 64-bit key: 40 bits of digest and a 24-bit check
 of them. A sketch has three tables of cells; each key is added to one cell of
-each, which keeps a count and the xor of its keys. Sketches of two versions
-subtract cell by cell; cells with one key left give it away, and taking it out
-of its other cells peels the rest. What is recovered are the paragraphs that
-only one version has, hence the likeness: shared over all paragraphs.
+each. Sketches of two versions subtract cell by cell, here by exclusive or, so
+what both have falls out. A cell with one key left shows it: the check bits are
+right, and the key belongs to the cell. Taking it out of its other cells peels
+the rest. What is recovered are the paragraphs that only one version has, hence
+the likeness: shared over all paragraphs.
 
 A long text's keys are dealt to blocks by their upper bits, as many as the text
 needs, each with a small sketch of its own, so work grows with the text and not
@@ -23,20 +24,19 @@ from pyspark.sql import functions as F
 
 from .common import documents, whole_text
 
-PARAGRAPH_WORDS = 8
+PARAGRAPH_WORDS = 16
 PARAGRAPH = rf"(?:[^ \n]++ *+){{1,{PARAGRAPH_WORDS}}}\n*+| ++\n*+|\n++"
 TABLES = 3
 #: Cells per table in the printed fingerprint, and in a block at the first and later attempts.
 PRINTED_CELLS = 4
-CELLS = (8, 32, 128)
-KEYS_PER_BLOCK = 12
-ROUNDS = 12
+CELLS = (8, 16)
+KEYS_PER_BLOCK = 8
+ROUNDS = 10
 CHECK_BITS = 24
-SLOT_BITS = 7
+SLOT_BITS = 5
 MOST_BLOCK_BITS = 64 - CHECK_BITS - TABLES * SLOT_BITS
 
 
-
 def with_value(value: Column, then) -> Column:
     """then(value), with value computed once."""
     return F.transform(F.array(value), then)[0]
@@ -60,58 +60,62 @@ def keys(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs(text), key))
 
 
-def _slot(key: Column, table: int, cells: int) -> Column:
-    return F.shiftrightunsigned(key, CHECK_BITS + SLOT_BITS * table).bitwiseAND(F.lit(cells - 1)).cast("int")
+def _mask(key: Column, cells: int) -> Column:
+    """A bit for each of the key's cells, counted over all tables."""
+    out = None
+    for table in range(TABLES):
+        slot = F.shiftrightunsigned(key, CHECK_BITS + SLOT_BITS * table).bitwiseAND(F.lit(cells - 1)).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1 << (cells * table)).cast("long"), slot)
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
+
+
+def _bits(cells: int) -> Column:
+    return F.array(*(F.lit(1 << i).cast("long") for i in range(TABLES * cells)))
 
 
-def _in_cell(key: Column, i: Column, cells: int) -> Column:
-    """Whether cell i, counted over all tables, is one of the key's."""
-    table = F.floor(i / cells)
-    slot = F.when(table == 0, _slot(key, 0, cells)).when(table == 1, _slot(key, 1, cells)).otherwise(_slot(key, 2, cells))
-    return slot == F.pmod(i, F.lit(cells))
+def _masked(keys_: Column, cells: int) -> Column:
+    return F.transform(keys_, lambda k: F.struct(k.alias("k"), _mask(k, cells).alias("m")))
 
 
-def _cell(c: Column, k: Column) -> Column:
-    return F.struct(c.alias("c"), k.alias("k"))
+def _added(cell: Column, bit: Column, masked: Column) -> Column:
+    """The cell, with those of the keys that belong to it added or, what is the same, taken out."""
+    return F.aggregate(masked, cell, lambda a, x: F.when(x.m.bitwiseAND(bit) != 0, a.bitwiseXOR(x.k)).otherwise(a))
 
 
-def sketch(signed: Column, cells: int) -> Column:
-    """The cells of an array of (k, s): s is 1 for the first version's keys, -1 for the second's."""
-    every = F.sequence(F.lit(0), F.lit(TABLES * cells - 1))
-    empty = lambda: _cell(F.lit(0), F.lit(0).cast("long"))
-    return F.transform(every, lambda i: F.aggregate(F.filter(signed, lambda x: _in_cell(x.k, i, cells)), empty(), lambda a, x: _cell(a.c + x.s, a.k.bitwiseXOR(x.k))))
+def sketch(keys_: Column, cells: int) -> Column:
+    """The cells of an array of keys; a key that is there twice falls out, so two versions' keys give their difference."""
+    return with_value(_masked(keys_, cells), lambda masked: F.transform(_bits(cells), lambda bit: _added(F.lit(0).cast("long"), bit, masked)))
 
 
 def peel(cells_: Column, cells: int) -> Column:
-    """(cells, a, b): what is left, and how many keys only the first and only the second version has."""
+    """(c, n): the cells that are left, and how many keys were recovered."""
 
-    def is_pure(x, i):
-        good = _check(F.shiftrightunsigned(x.k, CHECK_BITS)) == x.k.bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
-        return (F.abs(x.c) == 1) & good & _in_cell(x.k, i, cells)
+    def is_pure(v, i):
+        good = _check(F.shiftrightunsigned(v, CHECK_BITS)) == v.bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+        return (v != 0) & good & (_mask(v, cells).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
 
     def take_out(state, pure):
-        left = F.transform(state.cells, lambda x, i: F.aggregate(F.filter(pure, lambda p: _in_cell(p.k, i, cells)), x, lambda a, p: _cell(a.c - p.c, a.k.bitwiseXOR(p.k))))
-        return F.struct(left.alias("cells"), (state.a + F.size(F.filter(pure, lambda p: p.c > 0))).alias("a"), (state.b + F.size(F.filter(pure, lambda p: p.c < 0))).alias("b"))
+        left = F.zip_with(state.c, _bits(cells), lambda v, bit: _added(v, bit, pure))
+        return F.struct(left.alias("c"), (state.n + F.size(pure)).alias("n"), (F.size(pure) > 0).alias("on"))
 
     def one_round(state, _):
-        return with_value(F.array_distinct(F.filter(state.cells, is_pure)), lambda pure: F.when(F.size(pure) > 0, take_out(state, pure)).otherwise(state))
+        found = lambda st: _masked(F.array_distinct(F.filter(st.c, is_pure)), cells)
+        return F.when(~state.on, state).otherwise(with_value(found(state), lambda pure: take_out(state, pure)))
 
-    start = F.struct(cells_.alias("cells"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    start = F.struct(cells_.alias("c"), F.lit(0).alias("n"), F.lit(True).alias("on"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
 
 
 def _block_difference(run: Column) -> Column:
-    """(a, b) for the signed keys of one block: ever larger sketches until one peels off whole."""
+    """How many keys of one block only one version has: ever larger sketches until one peels off whole."""
 
     def attempt(level: int) -> Column:
         if level == len(CELLS):
-            # Two keys in the same cells of every table: compare the keys themselves.
-            plus = F.transform(F.filter(run, lambda x: x.s > 0), lambda x: x.k)
-            minus = F.transform(F.filter(run, lambda x: x.s < 0), lambda x: x.k)
-            return F.struct(F.size(F.array_except(plus, minus)).alias("a"), F.size(F.array_except(minus, plus)).alias("b"))
+            # Keys that share all their cells: compare the sorted keys themselves.
+            return F.size(F.filter(run, lambda k, i: F.coalesce(F.get(run, i - 1) != k, F.lit(True)) & F.coalesce(F.get(run, i + 1) != k, F.lit(True))))
         done = peel(sketch(run, CELLS[level]), CELLS[level])
-        whole = lambda st: ~F.exists(st.cells, lambda x: (x.c != 0) | (x.k != 0))
-        return with_value(done, lambda st: F.when(whole(st), F.struct(st.a.alias("a"), st.b.alias("b"))).otherwise(attempt(level + 1)))
+        return with_value(done, lambda st: F.when(F.exists(st.c, lambda v: v != 0), attempt(level + 1)).otherwise(st.n))
 
     return attempt(0)
 
@@ -120,25 +124,21 @@ def with_likeness(df: DataFrame, first: str, second: str, out: str) -> DataFrame
     """Adds `out`: shared over all keys of two key columns, from their peeled difference; 1 if both are empty."""
     both = F.size(first) + F.size(second)
     bits = F.least(F.lit(MOST_BLOCK_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(both, F.lit(1)) / KEYS_PER_BLOCK)).cast("int")))
-    signed = F.concat(F.transform(first, lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"))), F.transform(second, lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))
-    df = df.withColumn("_bits", bits).withColumn("_s", F.sort_array(signed))
+    df = df.withColumn("_bits", bits).withColumn("_s", F.sort_array(F.concat(first, second)))
     # A shift by 64 is a shift by 0, so one block needs a rule of its own.
     block = lambda k: F.when(F.col("_bits") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", k, 64 - F.col("_bits")))
-    heads = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (block(x.k) != block(F.get("_s", i - 1).k)), i + 1)), lambda i: i.isNotNull())
+    df = df.withColumn("_b", F.transform("_s", block))
+    heads = F.filter(F.transform("_b", lambda x, i: F.when((i == 0) | (x != F.get("_b", i - 1)), i + 1)), lambda i: i.isNotNull())
     df = df.withColumn("_heads", heads)
     runs = F.transform("_heads", lambda h, j: F.slice("_s", h, F.coalesce(F.get("_heads", j + 1), F.size("_s") + 1) - h))
-    total = F.aggregate(F.transform(runs, _block_difference), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), lambda t, x: F.struct((t.a + x.a).alias("a"), (t.b + x.b).alias("b")))
-    df = df.withColumn("_d", total)
-    shared = (F.size(first) + F.size(second) - F.col("_d.a") - F.col("_d.b")) / 2
-    union = shared + F.col("_d.a") + F.col("_d.b")
-    return df.withColumn(out, F.when(union == 0, F.lit(1.0)).otherwise(shared / union)).drop("_bits", "_s", "_heads", "_d")
+    df = df.withColumn("_d", F.aggregate(F.transform(runs, _block_difference), F.lit(0), lambda t, x: t + x))
+    shared = (both - F.col("_d")) / 2
+    return df.withColumn(out, F.when(both == 0, F.lit(1.0)).otherwise(shared / (shared + F.col("_d")))).drop("_bits", "_s", "_b", "_heads", "_d")
 
 
 def printed(keys_: Column, n: Column) -> Column:
     """The fingerprint: number of paragraphs and the cells of a small sketch, in hexadecimal."""
-    signed = F.transform(keys_, lambda k: F.struct(k.alias("k"), F.lit(1).alias("s")))
-    cells = F.transform(sketch(signed, PRINTED_CELLS), lambda x: F.concat(F.hex(x.c.cast("long")), F.lit("."), F.hex(x.k)))
-    return F.concat(F.hex(n.cast("long")), F.lit(":"), F.array_join(cells, "-"))
+    return F.concat(F.hex(n.cast("long")), F.lit(":"), F.array_join(F.transform(sketch(keys_, PRINTED_CELLS), lambda v: F.hex(v)), "-"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
