@@ -1,0 +1,321 @@
+"""The operators against plain versions of what they promise, on whole small tables."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import pytest
+from compare import same
+
+pytest.importorskip("quill.llm")
+
+import numpy as np  # noqa: E402
+
+from quill.llm import encoding, fingerprints, mixing, ngram_join, packing, pii, queries, substrings, token_store, toxicity  # noqa: E402
+from quill.llm.common import documents  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r.doc_id: r.text for r in documents(spark, sf).collect()}
+
+
+def tokenizer(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path(name))
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, name):
+    same(queries.queries()[name](spark, sf), sf, queries.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name, cut", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_encoder(texts, name, cut):
+    odd = ["", "  a\n\n b\t\tc ", "I'm they'LL o'clock 'tis", "a\x1cb\x1d c\x85d", "x y 　z", "é Å İstanbul ΣΑΣ", "<|endoftext|> a<|startoftext|>", "12345 3.14e5 a1b2", "\x00a\x00", "日本語 テスト 👩‍👩‍👧", "tail   ", "\r\n\r\n"]
+    some = odd + list(texts.values())
+    enc, whole = encoding.Encoder(packing.vocabulary_path(name), cut, 2), tokenizer(name)
+    for text, ids in zip(some, enc.encode(some)):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_store(spark, sf, texts):
+    whole, start, want = tokenizer("word_bpe_49k.json"), 0, {}
+    for k in sorted(texts):
+        ids = np.array(whole.encode(texts[k], add_special_tokens=False).ids + [2], "<u4")
+        want[k] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.op3_token_store(spark, sf).collect()}
+    assert got == want
+
+
+def test_perfect_hash():
+    keys = token_store.mix(np.arange(20_000, dtype=np.uint64))
+    mph = token_store.PerfectHash.build(keys)
+    assert sorted(mph.find(keys).tolist()) == list(range(len(keys)))
+
+
+def test_unknown_keys_are_not_found(spark, sf):
+    store = token_store.write_store(documents(spark, sf), packing.vocabulary_path("word_bpe_49k.json"))
+    asked = spark.range(10_000, 10_500).selectExpr("id", "false AS is_null", "0L AS ordinal")
+    assert store.lookup(asked).count() == 0
+
+
+def test_packing(spark, sf, texts):
+    whole = tokenizer("byte_bpe_50k.json")
+    ids = {k: np.array(whole.encode(t, add_special_tokens=False).ids + [1], "<u4") for k, t in texts.items()}
+    rows = packing.op7_sum_of_squares_packing(spark, sf).collect()
+    parts, windows = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(piece.tobytes()) and r.doc_tokens == len(ids[r.doc_id]) and len(piece) == r.length
+        parts[r.doc_id].append((r.start, r.length))
+        windows[r.sequence_id].append((r.offset, r.length))
+    for k, p in parts.items():
+        at = 0
+        for start, n in sorted(p):
+            assert start == at
+            at += n
+        assert at == len(ids[k])
+    assert set(parts) == set(texts) and sorted(windows) == list(range(len(windows)))
+    for w in windows.values():
+        at = 0
+        for offset, n in sorted(w):
+            assert offset == at
+            at += n
+        assert at == 2048 or at & (at - 1) == 0
+
+
+def test_packer_chooses_by_squares():
+    p = packing.Packer(10, lambda pieces: None)
+    p.counts[4], p.counts[5] = 3, 1
+    # To 4: -2*3+1 and 2*c[8]+1; to 5: -2*1+1 and 2*c[9]+1; new: 2*c[4]+1.
+    assert p.level_for(4) == 4
+    p.counts[8] = 6
+    assert p.level_for(4) == 5
+
+
+def test_fingerprints(spark, sf, texts):
+    got = {r.doc_id: r for r in fingerprints.op4_document_fingerprints(spark, sf).collect()}
+    order = sorted(texts)
+    paragraphs = lambda t: set(re.findall(fingerprints.PARAGRAPH, t))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, k in enumerate(order):
+        t, after = texts[k], texts[order[(i + 1) % len(order)]]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        r, own = got[k], paragraphs(t)
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(like(own, paragraphs(edited))) and r.near_next == pytest.approx(like(own, paragraphs(after)))
+    by_text = collections.defaultdict(set)
+    for k, t in texts.items():
+        by_text[t].add(got[k].fingerprint)
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_toxicity_on_held_out_rows():
+    bad = ["you idiot go away", "what a moron he is", "such scum and filth"]
+    good = ["the weather is fine today", "a long walk by the river", "bread and butter for all"]
+    texts, labels = [], []
+    for i in range(120):
+        toxic = i % 3 == 0
+        body = [good[(i + k) % 3] + f" number{i}" for k in range(3)]
+        if toxic:
+            body[i % 3] = bad[i // 3 % 3] + f" number{i}"
+        texts.append(". ".join(body))
+        labels.append(int(toxic))
+    model = toxicity.fit(texts[:90], labels[:90])
+    scores = [model.document_score(toxicity.bags(t)) for t in texts[90:]]
+    assert [int(s >= 0.7) for s in scores] == labels[90:]
+    a, b = toxicity.worst_sentence(model, "The sky is blue. You idiot. Bye.")
+    assert "idiot" in "The sky is blue. You idiot. Bye."[a:b]
+    assert model.document_score(toxicity.bags("")) == 0.0
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.findall("[0-9]", m[0])) <= 15]
+
+
+def test_pii(spark, sf, texts):
+    odd = ["a@b.c.d@e.f x@y", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 0256.1.1.1", "4111 1111 1111 1111-4111111111111111", "+1 (2) 3-4.5 678 90 +12", "a.@b.c @b.c a@@b.c", "1234567890123456789012"]
+    for t in [*texts.values(), *odd]:
+        assert pii.base_spans(t) == plain_spans(t), t[:200]
+    for r in pii.op6_personal_data(spark, sf).collect():
+        base = plain_spans(texts[r.doc_id])
+        joined = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest() and set(joined) <= set(filter(None, r.spans.split(",")))
+    (_, spans), = pii.all_spans(pii.trained(), ['so token = "aaf4c61ddcc5e8a2dabede0f3b482cd9aea9434d" it is'])
+    assert [k for k, _, _ in spans] == ["secret"]
+
+
+def plain_shingles(t, n):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x]
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def plain_components(sets, percent):
+    up = {k: k for k in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    order = sorted(sets)
+    for x, a in enumerate(order):
+        for b in order[:x]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                i, j = find(a), find(b)
+                up[max(i, j)] = min(i, j)
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("family_rows", [4000, 2])
+def test_ngram_join(spark, sf, texts, family_rows):
+    got = {r.doc_id: r for r in ngram_join.join(documents(spark, sf), 4, 85, family_rows).collect()}
+    sets = {k: plain_shingles(t, 4) for k, t in texts.items()}
+    want = plain_components(sets, 85)
+    assert {k: r.n_shingles for k, r in got.items()} == {k: len(s) for k, s in sets.items()}
+    assert {k: r.component_id for k, r in got.items()} == want
+
+
+@pytest.mark.parametrize("family_rows", [4000, 8])
+def test_near_copies_at_the_threshold(spark, family_rows):
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w[: rng.randrange(80, 91)])))
+    docs += [(100 + i, " ".join(base[:i])) for i in range(1, 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join(df, 5, 80, family_rows).collect()}
+    assert got == plain_components({k: plain_shingles(t, 5) for k, t in docs}, 80)
+
+
+def test_pairs_agree_in_a_block():
+    """The bound behind the join: any pair at the threshold shares a key."""
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        scheme = ngram_join.Scheme(percent)
+        for _ in range(400):
+            n = int(rng.integers(1, 60))
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            keep = a[: max(1, int(n - rng.integers(0, n // 6 + 2)))]
+            b = np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert set(scheme.keys(a).tolist()) & set(scheme.keys(b).tolist())
+
+
+def plain_targets(source_sizes):
+    names = sorted((s for s in source_sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in source_sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, target, free = sum(source_sizes.values()), {}, set(names)
+    while free:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = {s for s in free if share[s] > 3 * source_sizes[s]}
+        if not over:
+            return target | share
+        target |= {s: 3 * source_sizes[s] for s in over}
+        free -= over
+    return target
+
+
+def test_mixing(spark, sf, texts):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, sf).withColumn("source", F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 97 == 1, "tiny").otherwise(F.col("source")))
+    got = mixing.taken(docs, block_words=512, blocks_per_shard=8).collect()
+    sums, taken = collections.Counter(), collections.Counter()
+    for r in got:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])) and r.taken <= 3 * r["size"]
+        sums[r.source] += r["size"]
+        taken[r.source] += r.taken
+    want = plain_targets(sums)
+    for r in got:
+        assert r.source_size == sums[r.source] and r.target == pytest.approx(want[r.source])
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sums)
+    again = {r.doc_id: r.taken for r in mixing.taken(docs, block_words=512, blocks_per_shard=8).collect()}
+    assert again == {r.doc_id: r.taken for r in got}
+    mixed = mixing.mixed(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()
+    assert all(abs(r.n - want[r.source]) <= 1 for r in mixed)
+
+
+def test_shards_get_all_quotas(spark, sf):
+    placed, pieces = mixing.mix(documents(spark, sf), block_words=256, blocks_per_shard=8)
+    table = mixing.stored(mixing.targets(mixing.sizes(documents(spark, sf))))
+    quotas = mixing.shard_quotas(table, 256, 8)
+    blocks = {r["rank"]: -(-r.quota // 256) for r in table.collect()}
+    dealt = collections.defaultdict(list)
+    for r in quotas.collect():
+        dealt[r["rank"]].append(r.dealt)
+    assert {k: sorted(v) for k, v in dealt.items()} == {k: list(range(n)) for k, n in blocks.items() if n}
+    sizes = collections.Counter(r.shard for r in quotas.collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_substrings(spark, sf, texts):
+    raw = {k: t.encode() for k, t in texts.items()}
+    seen = collections.Counter(b[i : i + 200] for b in raw.values() for i in range(len(b) - 199))
+    got = {r.doc_id: r for r in substrings.op10_suffix_array_dedup(spark, sf).collect()}
+    for k, b in raw.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        r = got[k]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_interval_expansion():
+    rng = np.random.default_rng(1)
+    data = np.concatenate([rng.integers(97, 100, 3000).astype(np.uint8), np.full(90, 0xFF, np.uint8)])
+    order, starts = substrings.separated(data, 20)
+    raw = data.tobytes()
+    for a, b, s in zip(order, order[1:], starts[1:]):
+        shares = raw[a : a + 20] == raw[b : b + 20] and min(a, b) + 20 <= len(raw) and max(a, b) + 20 <= len(raw)
+        if max(a, b) + 20 <= len(raw):
+            assert s == (not shares)
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, sf).collect()
+    windows = collections.Counter()
+    for r in rows:
+        windows[r.sequence_id] += r.length
+    assert rows and all(n == 2048 or n & (n - 1) == 0 for n in windows.values())
+
+
+def test_pipeline_stages(spark, sf, texts):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = documents(spark, sf)
+    kept = {r.doc_id for r in stages["ngram_join"](spark, docs, sf).collect()}
+    assert kept == set(plain_components({k: plain_shingles(t, 5) for k, t in texts.items()}, 80).values())
+    for r in stages["pii"](spark, docs, sf).collect():
+        assert not plain_spans(r.text) or all(k == "card" for k, *_ in plain_spans(r.text))
+        assert r.n_chars == len(r.text)
+    left = {r.doc_id for r in stages["toxicity"](spark, docs, sf).collect()}
+    assert left <= set(texts) and len(left) > 0.8 * len(texts)
