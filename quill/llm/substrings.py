@@ -3,15 +3,19 @@
 A repeated string must be found wherever its copies are, so the corpus is cut
 by content: every run of LENGTH bytes holds an anchor, the ANCHOR-byte string
 of least hash in it, and copies hold the same anchor at the same place. Only
-anchors that occur twice matter, each with the bytes about it that a run could
-reach. Equal surroundings repeat whole. Different surroundings of one anchor
-are compared by the method: their Burrows-Wheeler transform is built, and
-intervals of suffixes are extended backwards, breadth first. Each level finds
-the common prefixes of one length, by increasing length, and the expansion
-stops at LENGTH; what no level has separated by then shares LENGTH bytes.
-
-Texts are shuffled twice, by a hash of the text: to cut out surroundings that
-must be compared, and to cut out what repeats. Anchors are some numbers each.
+anchors that occur twice matter. The runs about an anchor are dealt to a few
+ranges by where the anchor stands in them. All runs of a range lie in a span
+and hold a core. Where two places have the same span, all runs of the range
+repeat; places without the same core have no run in common.
+
+What is left, equal cores in different spans, is compared by the method: the
+Burrows-Wheeler transform of the spans is built, and intervals of suffixes are
+extended backwards, breadth first. Each level finds the common prefixes of one
+length, by increasing length, and the expansion stops at LENGTH; what no level
+has separated by then shares LENGTH bytes.
+
+Texts are shuffled twice, by a hash of the text: to cut out spans that must be
+compared, and to cut out what repeats. Anchors are some numbers each.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ ANCHOR = 32
 #: Bytes of surroundings that one transform holds, unless one anchor has more.
 BLOCK_BYTES = 1_500_000
 END = 0xFF  # no byte of UTF-8
+#: Ranges of distances from a run's start to its anchor.
+RANGES = 3
+#: Bytes that the first sort of suffixes looks at, and so the length that expansion starts from.
+FIRST = 8
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -97,15 +105,20 @@ class Hashes:
 # ---- Burrows-Wheeler transform -----------------------------------------------
 
 
+def first_bytes(data: np.ndarray) -> np.ndarray:
+    """The first FIRST bytes from each place, as one number."""
+    wide = np.concatenate([data, np.full(FIRST, END, np.uint8)]).astype(np.uint64)
+    key = np.zeros(len(data), np.uint64)
+    for k in range(FIRST):
+        key = (key << np.uint64(8)) | wide[k : len(data) + k]
+    return key
+
+
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first `depth` bytes or more; data ends with as many END."""
-    n = len(data)
-    wide = np.concatenate([data, np.full(8, END, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | wide[k : n + k]
+    n, key = len(data), first_bytes(data)
     order = np.argsort(key, kind="stable")
-    done = 8
+    done = FIRST
     while True:
         new = np.empty(n, bool)
         new[0] = True
@@ -129,7 +142,8 @@ def separated(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     Backward extension over intervals of the transform: the interval of a string
     w gives, for each byte c before its suffixes, the interval of cw. All strings
     of one length are extended before the next; an interval that ends where no
-    shorter one did shows a common prefix of just that length.
+    shorter one did shows a common prefix of just that length. The intervals of
+    the first FIRST bytes are read off the sorted suffixes.
     """
     n = len(data)
     order = suffix_order(data, length + 56)
@@ -137,11 +151,12 @@ def separated(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     by_byte = np.argsort(before, kind="stable")
     step = np.empty(n, np.int64)
     step[by_byte] = np.arange(n)
-    starts = np.zeros(n + 1, bool)
-    starts[n] = True
-    starts[0] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n - 1)
-    for _ in range(length):
+    key = first_bytes(data)[order]
+    starts = np.ones(n + 1, bool)
+    starts[1:n] = key[1:] != key[:-1]
+    low = np.flatnonzero(starts[:n])
+    high = np.flatnonzero(starts[1:])
+    for _ in range(FIRST, length):
         wide = high > low
         single = step[low[~wide]]
         lo, hi = low[wide], high[wide]
@@ -199,9 +214,14 @@ def merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 # ---- Spark -------------------------------------------------------------------
 
 
+def ranges_of(length: int) -> list[tuple[int, int]]:
+    """(least, greatest) distance of each range: a run that starts that far before the anchor belongs to it."""
+    edges = [round(i * (length - ANCHOR + 1) / RANGES) for i in range(RANGES + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
 def _find_anchors(length: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = length - ANCHOR
         for batch in arrow:
             nodes, texts = batch.column("node").to_numpy(), batch.column("text").to_pylist()
             at, size = 0, 0
@@ -221,41 +241,47 @@ def _find_anchors(length: int):
                 inside = (places + ANCHOR <= ends[doc]) & (lengths[doc] >= length) if len(places) else np.zeros(0, bool)
                 places, hashes, doc = places[inside], hashes[inside], doc[inside]
                 begin = ends - lengths
-                a, b = np.maximum(begin[doc], places - reach), np.minimum(ends[doc], places + length)
-                digest = mix(Hashes(data).of(a, b) + (places - a).astype(np.uint64) * _M2)
-                columns = [hashes.view(np.int64), digest.view(np.int64), own[doc], (places - begin[doc]).astype(np.int32), (lengths[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "digest", "node", "place", "n_bytes"])
+                sums = Hashes(data)
+                first, last = begin[doc], ends[doc]
+                columns = [hashes.view(np.int64), own[doc], (places - first).astype(np.int32), lengths[doc].astype(np.int32)]
+                names = ["h", "node", "place", "n_bytes"]
+                for k, (low, high) in enumerate(ranges_of(length)):
+                    a, b = np.maximum(first, places - high), np.minimum(last, places - low + length)
+                    # In all runs of the range; without it there is none.
+                    x, y = places - low, places - high + length
+                    none = (x < first) | (y > last) | (b - a < length)
+                    core = sums.of(np.where(none, 0, x), np.where(none, 0, y))
+                    span = mix(sums.of(np.where(none, 0, a), np.where(none, 0, b)) + (places - a).astype(np.uint64) * _M2)
+                    columns += [pa.array((core >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=none), span.view(np.int64)]
+                    names += [f"core{k}", f"span{k}"]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
 
     return run
 
 
-def _cut_contexts(length: int):
+def _cut_spans(length: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = length - ANCHOR
         for batch in arrow:
             out: list[tuple] = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
-                for x in wanted:
-                    p = x["place"]
-                    a = max(0, p - reach)
-                    out.append((x["h"], x["digest"], p - a, raw[a : p + length]))
+                out += [(x["g"], x["span"], x["place"] - x["a"], raw[x["a"] : x["b"]]) for x in wanted]
                 if len(out) > 20_000:
-                    yield _context_batch(out)
+                    yield _span_batch(out)
                     out = []
             if out:
-                yield _context_batch(out)
+                yield _span_batch(out)
 
     return run
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["h", "digest", "left", "context"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["g", "span", "left", "bytes"])
 
 
 def _compare(length: int):
-    """(h, digest, spans): where each context holds strings that another of its anchor's has too; spans count from the anchor."""
+    """(g, span, starts, ends): where each span holds strings that another of its group has too, counted from the anchor."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -268,7 +294,7 @@ def _compare(length: int):
             held.clear()
             types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             columns = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["h", "digest", "starts", "ends"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["g", "span", "starts", "ends"])
 
         for batch in arrow:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -276,7 +302,7 @@ def _compare(length: int):
                     yield done()
                     size = 0
                 if held and held[-1][:2] == row[:2]:
-                    continue  # copies of a text bring the same surroundings
+                    continue  # copies of a text bring the same span
                 held.append(row)
                 size += len(row[3])
         if held:
@@ -315,21 +341,30 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_ranges(read: DataFrame, length: int = LENGTH) -> DataFrame:
     """(node, ranges): the byte ranges of each text, named by its hash, that hold strings which start elsewhere too."""
-    found = read.select("node", "text").mapInArrow(_find_anchors(length), "h long, digest long, node long, place int, n_bytes int")
-    group, same = Window.partitionBy("h"), Window.partitionBy("h", "digest")
-    place = F.struct("node", "place")
-    # Copies of a text are one node. A digest is full if it stands at two places.
-    seen = found.withColumn("mixed", F.min("digest").over(group) != F.max("digest").over(group))
-    seen = seen.withColumn("first", F.min(place).over(same)).withColumn("full", F.col("first") != F.max(place).over(same))
-    seen = stored(seen.filter("mixed or full").select("h", "digest", "node", "place", "n_bytes", "mixed", "full", (F.col("first") == place).alias("is_first")).distinct(), "anchors")
-
-    wanted = seen.filter("mixed and is_first").groupBy("node").agg(F.collect_list(F.struct("h", "digest", "place")).alias("wanted"))
-    contexts = read.select("node", "text").join(wanted, "node").mapInArrow(_cut_contexts(length), "h long, digest long, left int, context binary")
-    compared = contexts.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(_compare(length), "h long, digest long, starts array<int>, ends array<int>")
-
-    reach = length - ANCHOR
-    whole = seen.filter("full").select("node", F.greatest(F.lit(0), F.col("place") - reach).alias("a"), F.least("n_bytes", F.col("place") + length).alias("b")).filter(F.col("b") - F.col("a") >= length)
-    part = seen.filter("mixed and not full").join(compared, ["h", "digest"]).select("node", "place", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
+    schema = "h long, node long, place int, n_bytes int" + "".join(f", core{k} int, span{k} long" for k in range(RANGES))
+    found = read.select("node", "text").mapInArrow(_find_anchors(length), schema)
+    # Copies of a text are one node, so their anchors are the same places.
+    place, anchor = F.struct("node", "place"), Window.partitionBy("h")
+    found = found.withColumn("twice", F.min(place).over(anchor) != F.max(place).over(anchor)).filter("twice")
+    bounds = ranges_of(length)
+    each = F.array(*(F.struct(F.lit(k).alias("range"), F.col(f"core{k}").alias("core"), F.col(f"span{k}").alias("span"), F.lit(low).alias("low"), F.lit(high).alias("high")) for k, (low, high) in enumerate(bounds)))
+    units = found.select("h", "node", "place", "n_bytes", F.explode(F.filter(each, lambda x: x.core.isNotNull())).alias("x")).select("h", "node", "place", "n_bytes", "x.*")
+    units = units.withColumn("a", F.greatest(F.lit(0), F.col("place") - F.col("high"))).withColumn("b", F.least("n_bytes", F.col("place") - F.col("low") + length))
+    # Still dealt by h: none of these windows moves a row.
+    alike, near = Window.partitionBy("h", "range", "span"), Window.partitionBy("h", "range", "core")
+    units = units.withColumn("first", F.min(place).over(alike)).withColumn("full", F.col("first") != F.max(place).over(alike))
+    units = units.withColumn("open", (F.min("span").over(near) != F.max("span").over(near)) & ~F.min("full").over(near))
+    units = units.filter("full or open").select(
+        "node", "place", "a", "b", "full", "open", "span", F.xxhash64("h", "range", "core").alias("g"), (F.col("open") & (F.col("first") == place)).alias("is_first")
+    )
+    units = stored(units, "spans")
+
+    wanted = units.filter("is_first").groupBy("node").agg(F.collect_list(F.struct("g", "span", "place", "a", "b")).alias("wanted"))
+    cut = read.select("node", "text").join(wanted, "node").mapInArrow(_cut_spans(length), "g long, span long, left int, bytes binary")
+    compared = cut.repartition("g").sortWithinPartitions("g", "span").mapInArrow(_compare(length), "g long, span long, starts array<int>, ends array<int>")
+
+    whole = units.filter("full").select("node", "a", "b")
+    part = units.filter("open and not full").join(compared, ["g", "span"]).select("node", "place", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
     part = part.select("node", (F.col("place") + F.col("x.starts")).alias("a"), (F.col("place") + F.col("x.ends")).alias("b"))
     return whole.unionByName(part).groupBy("node").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
