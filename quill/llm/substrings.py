@@ -37,6 +37,10 @@ BLOCK_BYTES = 1_500_000
 END = 0xFF  # no byte of UTF-8
 #: Ranges of distances from a run's start to its anchor.
 RANGES = 3
+#: Distances in a range of the second round, among spans that share a core.
+NARROW = 13
+#: Stands for a whole core; no byte of UTF-8 either.
+CORE = b"\xfe"
 #: Bytes that the first sort of suffixes looks at, and so the length that expansion starts from.
 FIRST = 8
 
@@ -203,6 +207,49 @@ def repeated_windows(contexts: list[bytes], groups: np.ndarray, lefts: np.ndarra
     return [o[t] for o, t in zip(np.split(offset, cuts), np.split(twice, cuts))]
 
 
+def _runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, nth): for each count its number as often, and 0, 1, 2 up to it."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def repeated_starts(spans: list[bytes], groups: np.ndarray, lefts: np.ndarray, length: int = LENGTH, width: int = NARROW) -> list[np.ndarray]:
+    """As repeated_windows(), after a second round of spans and cores over narrow ranges, which leaves little to compare."""
+    sizes = np.array([len(x) for x in spans], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    # All ranges are of one width, if need be by overlap of the last two.
+    low = np.minimum(np.arange(0, length - ANCHOR + 1, width), length - ANCHOR + 1 - width)
+    high = low + width - 1
+    a, b = np.maximum(0, lefts[:, None] - high), np.minimum(sizes[:, None], lefts[:, None] - low + length)
+    x, y = lefts[:, None] - low, lefts[:, None] - high + length
+    row, k = np.nonzero((b - a >= length) & (x >= 0) & (y <= sizes[:, None]) & (y > x))
+    a, b, x, y = a[row, k], b[row, k], x[row, k], y[row, k]
+    sums = Hashes(np.frombuffer(b"".join(spans), np.uint8))
+    where = mix(groups.astype(np.int64).view(np.uint64)[row] + mix(k.astype(np.uint64)))
+    core = mix(where + sums.of(begin[row] + x, begin[row] + y))
+    span = mix(where + mix(sums.of(begin[row] + a, begin[row] + b) + (lefts[row] - a).astype(np.uint64) * _M2))
+    _, one, same, count = np.unique(span, return_index=True, return_inverse=True, return_counts=True)
+    full = count[same] > 1
+    _, near = np.unique(core, return_inverse=True)
+    open_ = (np.bincount(near[one], minlength=len(near))[near] > 1) & (np.bincount(near, ~full, len(near))[near] > 0)
+    asked = one[open_[one]]
+    pick, nth = _runs(np.where(full, b - a - length + 1, 0))
+    rows, starts = [row[pick]], [a[pick] + nth]
+    if len(asked):
+        # A core that all of a group share counts as one byte, so runs of `length` become runs of `width`.
+        places = (v[asked].tolist() for v in (row, a, x, y, b))
+        cut = [spans[r][i:j] + CORE + spans[r][m:n] for r, i, j, m, n in zip(*places)]
+        for u, found in zip(asked.tolist(), repeated_windows(cut, near[asked], lefts[row[asked]] - a[asked], width)):
+            if not full[u] and len(found):
+                rows.append(np.full(len(found), row[u]))
+                starts.append(a[u] + found)
+    rows, starts = np.concatenate(rows), np.concatenate(starts)
+    order = np.lexsort((starts, rows))
+    rows, starts = rows[order], starts[order]
+    edges = np.searchsorted(rows, np.arange(len(spans) + 1))
+    return [np.unique(starts[i:j]) for i, j in zip(edges, edges[1:])]
+
+
 def merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs covered by strings of `length` bytes at sorted starts."""
     if not len(starts):
@@ -289,7 +336,7 @@ def _compare(length: int):
 
         def done() -> pa.RecordBatch:
             lefts = np.array([r[2] for r in held], np.int64)
-            found = repeated_windows([r[3] for r in held], np.array([r[0] for r in held], np.int64), lefts, length)
+            found = repeated_starts([r[3] for r in held], np.array([r[0] for r in held], np.int64), lefts, length)
             rows = [(r[0], r[1], [a - r[2] for a, _ in m], [b - r[2] for _, b in m]) for r, o in zip(held, found) if (m := merged(o, length))]
             held.clear()
             types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
