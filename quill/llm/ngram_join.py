@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import documents, stored, whole_text
 from .components import components
@@ -51,9 +52,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; those met first, so the frequent ones, are kept."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        got = xxhash.xxh64_intdigest(word)
+        got = xxh64_intdigest(word)
         if len(self) < CACHE_WORDS:
             self[word] = got
         return got
@@ -72,9 +71,11 @@ def shingles(text: str, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
     n = min(size, len(w))
+    # Word hashes are random, so a sum with odd factors tells their sequences apart.
     total = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
-        total = mix(total + w[k : len(w) - n + 1 + k] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & MASK))
+        total += w[k : len(w) - n + 1 + k] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & MASK)
+    total = mix(total)
     return np.unique(total)
 
 
@@ -122,23 +123,28 @@ def linked(overlap: np.ndarray, a, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Rows:
-    """The incidence rows of one group, over the columns that occur in it."""
+    """The incidence rows of one group, and by column the rows that have it."""
 
     def __init__(self, arrays: list[np.ndarray]):
         self.sizes = np.array([len(a) for a in arrays], np.int64)
-        self.ends = np.cumsum(self.sizes)
         flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-        self.columns, self.flat = np.unique(flat, return_inverse=True)
+        order = np.argsort(flat, kind="stable")
+        self.rows = np.repeat(np.arange(len(arrays), dtype=np.int32), self.sizes)[order]
+        flat = flat[order]
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1]]))
+        self.columns, self.starts = flat[head], np.append(head, len(flat))
 
     def product(self, arrays: list[np.ndarray]) -> np.ndarray:
-        """Overlap counts of a block of rows with all rows of the group."""
-        out = np.empty((len(arrays), len(self.sizes)), np.int64)
+        """Overlap counts of a block of rows with all rows of the group: what the rows' columns hold, added up."""
+        out = np.zeros((len(arrays), len(self.sizes)), np.int64)
         for i, a in enumerate(arrays):
-            mark = np.zeros(len(self.columns) + 1, np.int8)
             at = np.searchsorted(self.columns, a)
-            mark[at[at < len(self.columns)]] = self.columns[at[at < len(self.columns)]] == a[at < len(self.columns)]
-            sums = np.concatenate([[0], np.cumsum(mark[self.flat], dtype=np.int64)])
-            out[i] = sums[self.ends] - sums[self.ends - self.sizes]
+            at = at[at < len(self.columns)]
+            at = at[np.isin(self.columns[at], a)]
+            at = np.unique(at)
+            counts = self.starts[at + 1] - self.starts[at]
+            places = np.arange(counts.sum()) + np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts)
+            out[i] = np.bincount(self.rows[places], minlength=len(self.sizes))
         return out
 
 
