@@ -3,8 +3,7 @@
 Rows are texts with different n-gram sets (equal sets are one row, found by a
 digest). Columns, the hashed n-grams, are dealt to blocks. A pair that reaches
 the threshold differs in a number of columns bounded by its sizes; with more
-blocks than that, the two rows agree wholly in a block that holds n-grams of
-both. So only rows that agree in a block can be a pair: blocks are keyed by
+blocks than that, the two rows agree wholly in some that hold n-grams of both. So only rows that agree in a block can be a pair: blocks are keyed by
 their content, and rows that never meet are never multiplied. Rows of very
 different sizes are kept apart by size classes.
 
@@ -92,29 +91,32 @@ class Scheme:
             self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.bounds, size, "right")) - 1
 
-    def blocks(self, k: int) -> tuple[int, int]:
-        """(blocks, spare) of class k: one more than the columns a pair may differ in, and some spare for empty blocks."""
-        self.class_of(self.bounds[0])
+    def blocks(self, k: int) -> tuple[int, int, int]:
+        """(blocks, spare, weak) of class k: one more than the columns a pair may differ in, and some to spare for weak blocks.
+
+        Agreement in a block with `weak` columns or fewer says little: it may be one passage that many texts share.
+        """
         while len(self.bounds) < k + 2:
             self.class_of(self.bounds[-1])
         largest = self.bounds[k + 1] - 1
         differ = (100 - self.percent) * 2 * largest // (100 + self.percent)
-        spare = 0 if differ == 0 else 1 + differ // 50
-        return differ + 1 + spare, spare
+        weak = int(differ >= 8)
+        spare = 0 if differ == 0 else 1 + differ // (12 if weak else 50)
+        return differ + 1 + spare, spare, weak
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """The content keys of a row's blocks, for its own class and, as the smaller row, the next."""
         own = self.class_of(len(grams))
         out = []
         for k in (own, own + 1):
-            n, spare = self.blocks(k)
+            n, spare, weak = self.blocks(k)
             block = (grams % np.uint64(n)).astype(np.int64)
             low = np.bincount(block, (grams & np.uint64(0xFFFFFFFF)).astype(float), n).astype(np.uint64)
             high = np.bincount(block, (grams >> np.uint64(32)).astype(float), n).astype(np.uint64)
             content = mix(mix(low + np.uint64(k + 1)) + high + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             count = np.bincount(block, minlength=n)
-            # Agreement in empty blocks says nothing, unless a row has so many that no other need be left.
-            out.append(content if (count == 0).sum() > spare else content[count > 0])
+            # Weak blocks are left out, unless a row has so many that no other need be left.
+            out.append(content if (count <= weak).sum() > spare else content[count > weak])
         return np.concatenate(out)
 
 
