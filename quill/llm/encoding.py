@@ -81,10 +81,7 @@ class Encoder:
 
     def _merged(self, parts: list[str]) -> None:
         """Caches the ids of parts, none of which the vocabulary splits further."""
-        line = "\0".join(parts)
-        if self.cut == "word":
-            line = line.lower()
-        line = line.encode().decode("latin-1").translate(_MAPPED)
+        line = "\0".join(parts).encode().decode("latin-1").translate(_MAPPED)
         ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids)
         ends = np.flatnonzero(ids == self.end).tolist()
         if len(ends) != len(parts) - 1:
@@ -97,7 +94,9 @@ class Encoder:
 
     def _fill(self, missing: set[str]) -> dict[str, bytes]:
         split, out = _PLAIN_SPLIT[self.cut], {}
-        plain = {p: split(p) for p in missing if _PLAIN(p)}
+        # Lower case comes before the split: an upper-case ending is an ending too.
+        small = self.cut == "word"
+        plain = {p: split(p.lower() if small else p) for p in missing if _PLAIN(p)}
         if len(self.parts) > CACHE_ENTRIES:
             self.parts.clear()
         parts = self.parts
