@@ -39,6 +39,8 @@ END = 0xFF  # no byte of UTF-8
 RANGES = 3
 #: Distances in a range of the second round, among spans that share a core.
 NARROW = 13
+#: Spans whose parts are hashed at a time.
+HASHED_ROWS = 4000
 #: Stands for a whole core; no byte of UTF-8 either.
 CORE = b"\xfe"
 #: Bytes that the first sort of suffixes looks at, and so the length that expansion starts from.
@@ -216,18 +218,23 @@ def _runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_starts(spans: list[bytes], groups: np.ndarray, lefts: np.ndarray, length: int = LENGTH, width: int = NARROW) -> list[np.ndarray]:
     """As repeated_windows(), after a second round of spans and cores over narrow ranges, which leaves little to compare."""
     sizes = np.array([len(x) for x in spans], np.int64)
-    begin = np.cumsum(sizes) - sizes
     # All ranges are of one width, if need be by overlap of the last two.
     low = np.minimum(np.arange(0, length - ANCHOR + 1, width), length - ANCHOR + 1 - width)
     high = low + width - 1
-    a, b = np.maximum(0, lefts[:, None] - high), np.minimum(sizes[:, None], lefts[:, None] - low + length)
-    x, y = lefts[:, None] - low, lefts[:, None] - high + length
-    row, k = np.nonzero((b - a >= length) & (x >= 0) & (y <= sizes[:, None]) & (y > x))
-    a, b, x, y = a[row, k], b[row, k], x[row, k], y[row, k]
-    sums = Hashes(np.frombuffer(b"".join(spans), np.uint8))
-    where = mix(groups.astype(np.int64).view(np.uint64)[row] + mix(k.astype(np.uint64)))
-    core = mix(where + sums.of(begin[row] + x, begin[row] + y))
-    span = mix(where + mix(sums.of(begin[row] + a, begin[row] + b) + (lefts[row] - a).astype(np.uint64) * _M2))
+    parts = []
+    for at in range(0, len(spans), HASHED_ROWS):
+        size, left, group = sizes[at : at + HASHED_ROWS], lefts[at : at + HASHED_ROWS], groups[at : at + HASHED_ROWS]
+        a, b = np.maximum(0, left[:, None] - high), np.minimum(size[:, None], left[:, None] - low + length)
+        x, y = left[:, None] - low, left[:, None] - high + length
+        row, k = np.nonzero((b - a >= length) & (x >= 0) & (y <= size[:, None]) & (y > x))
+        a, b, x, y = a[row, k], b[row, k], x[row, k], y[row, k]
+        begin = (np.cumsum(size) - size)[row]
+        sums = Hashes(np.frombuffer(b"".join(spans[at : at + HASHED_ROWS]), np.uint8))
+        where = mix(group.astype(np.int64).view(np.uint64)[row] + mix(k.astype(np.uint64)))
+        core = mix(where + sums.of(begin + x, begin + y))
+        span = mix(where + mix(sums.of(begin + a, begin + b) + (left[row] - a).astype(np.uint64) * _M2))
+        parts.append((row + at, *(v.astype(np.int32) for v in (a, b, x, y)), core, span))
+    row, a, b, x, y, core, span = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 7
     _, one, same, count = np.unique(span, return_index=True, return_inverse=True, return_counts=True)
     full = count[same] > 1
     _, near = np.unique(core, return_inverse=True)
@@ -235,11 +242,23 @@ def repeated_starts(spans: list[bytes], groups: np.ndarray, lefts: np.ndarray, l
     asked = one[open_[one]]
     pick, nth = _runs(np.where(full, b - a - length + 1, 0))
     rows, starts = [row[pick]], [a[pick] + nth]
-    if len(asked):
+    # Group by group, a bounded number of bytes at a time.
+    asked = asked[np.argsort(near[asked], kind="stable")]
+    weight = np.cumsum((b - a)[asked] - (y - x)[asked] + 2)
+    ends = np.flatnonzero(np.diff(near[asked])) + 1
+    cuts, last = [0], 0
+    for e in ends.tolist():
+        if weight[e - 1] - last > BLOCK_BYTES // 4:
+            cuts.append(e)
+            last = weight[e - 1]
+    for i, j in zip(cuts, [*cuts[1:], len(asked)]):
+        own = asked[i:j]
+        if not len(own):
+            continue
         # A core that all of a group share counts as one byte, so runs of `length` become runs of `width`.
-        places = (v[asked].tolist() for v in (row, a, x, y, b))
-        cut = [spans[r][i:j] + CORE + spans[r][m:n] for r, i, j, m, n in zip(*places)]
-        for u, found in zip(asked.tolist(), repeated_windows(cut, near[asked], lefts[row[asked]] - a[asked], width)):
+        places = (v[own].tolist() for v in (row, a, x, y, b))
+        cut = [spans[r][p:q] + CORE + spans[r][m:n] for r, p, q, m, n in zip(*places)]
+        for u, found in zip(own.tolist(), repeated_windows(cut, near[own], lefts[row[own]] - a[own], width)):
             if not full[u] and len(found):
                 rows.append(np.full(len(found), row[u]))
                 starts.append(a[u] + found)
@@ -360,30 +379,35 @@ def _compare(length: int):
 
 def _remove(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in arrow:
-        rows, kept_texts = [], []
-        for text, ranges, all_ in zip(*(batch.column(c).to_pylist() for c in ("text", "ranges", "whole"))):
+        lists = batch.column("ranges")
+        offsets, struct = lists.offsets.to_numpy(), lists.values
+        low, high = (struct.field(f).to_numpy(zero_copy_only=False) for f in ("a", "b"))
+        none = lists.is_null().to_numpy(zero_copy_only=False)
+        rows = []
+        for i, (text, all_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist())):
             raw = text.encode("utf-8", "surrogatepass")
-            spans = [(0, len(raw))] if all_ else joined([(x["a"], x["b"]) for x in ranges or []])
+            spans: list = [(0, len(raw))] if all_ else []
+            if not all_ and not none[i]:
+                spans = joined(low[offsets[i] : offsets[i + 1]], high[offsets[i] : offsets[i + 1]])
             at, parts = 0, []
             for a, b in spans:
                 parts.append(raw[at:a])
                 at = b
-            kept = b"".join([*parts, raw[at:]])
+            kept = b"".join([*parts, raw[at:]]) if spans else raw
             rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, types)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def joined(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping and touching ranges as one, in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    if not len(low):
+        return []
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    new = np.flatnonzero(low[1:] > reach[:-1]) + 1
+    return list(zip(low[np.concatenate([[0], new])].tolist(), reach[np.concatenate([new - 1, [len(low) - 1]])].tolist()))
 
 
 def repeated_ranges(read: DataFrame, length: int = LENGTH) -> DataFrame:
