@@ -125,10 +125,11 @@ _DEPTHS = _PAIRS.replace("WITH base", "WITH RECURSIVE base") + """, depth AS (
 """
 
 
-@query(SHAPES_SQL + """SELECT a.image_id, a.path_idx AS i, b.path_idx AS j FROM s a JOIN s b ON a.image_id = b.image_id AND a.fill = b.fill AND a.transform = b.transform AND a.path_idx % 20 = b.path_idx % 20 AND a.path_idx < b.path_idx
+@query(SHAPES_SQL + """SELECT a.image_id, a.path_idx AS i, b.path_idx AS j FROM s a JOIN s b ON a.image_id = b.image_id AND a.fill = b.fill AND a.path_idx < b.path_idx
   AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.mergeable_pairs(proxies.grouped(spark, sf_dir)).select("image_id", "i", "j")
+    one = proxies.grouped(spark, sf_dir).withColumn("group_idx", F.lit(0)).withColumn("transform", F.lit(None).cast("string"))
+    return merging.mergeable_pairs(one).select("image_id", "i", "j")
 
 
 @query(_PAIRS + "SELECT image_id, child, parent FROM parents")
