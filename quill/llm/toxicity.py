@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents, whole_text
 
 #: Labelled rows the model is fitted on, at most, of each label; chosen by the md5 of the id.
-MOST_TRAINING = 4000
+MOST_TRAINING = 2700
 BITS = 20
 PREFIXES = (4, 5)
 STEPS = 300
