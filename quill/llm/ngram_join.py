@@ -182,8 +182,9 @@ def group_components(arrays: list[np.ndarray], percent: int) -> list[int]:
         for i, c in zip(block, counts):
             for j in np.flatnonzero(linked(c, rows.sizes[i], rows.sizes, percent)).tolist():
                 union.join(i, j)
+        # Rows of the largest component stay: another may become the largest before they are joined to it.
         gone = set(block)
-        todo = [i for i in outside if i not in gone]
+        todo = [i for i in todo if i not in gone]
     return [union.find(i) for i in range(n)]
 
 

@@ -208,6 +208,28 @@ def test_near_copies_at_the_threshold(spark, family_rows):
     assert got == plain_components({k: plain_shingles(t, 5) for k, t in docs}, 80)
 
 
+def star(start, leaves):
+    """A hub and leaves that reach 80 % with the hub only."""
+    hub = start + np.arange(100, dtype=np.uint64)
+    return [hub] + [np.concatenate([hub, start + np.arange(1000 + 25 * i, 1025 + 25 * i, dtype=np.uint64)]) for i in range(leaves)]
+
+
+@pytest.mark.parametrize("hub", range(60))
+def test_a_star_is_one_component(hub):
+    arrays = star(np.uint64(1), 59)
+    arrays.insert(hub, arrays.pop(0))
+    assert set(ngram_join.group_components(arrays, 80)) == {0}
+
+
+def test_components_that_overtake_each_other():
+    for seed in range(10):
+        arrays = [a for k, n in enumerate((40, 44, 20, 3)) for a in star(np.uint64(1 + 100_000 * k), n)]
+        order = np.random.default_rng(seed).permutation(len(arrays))
+        arrays = [arrays[i] for i in order]
+        want = plain_components({i: frozenset(a.tolist()) for i, a in enumerate(arrays)}, 80)
+        assert dict(enumerate(ngram_join.group_components(arrays, 80))) == want
+
+
 def test_pairs_agree_in_a_block():
     """The bound behind the join: any pair at the threshold shares a key."""
     rng = np.random.default_rng(3)
