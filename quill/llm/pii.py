@@ -24,7 +24,9 @@ from .common import documents, whole_text
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 CONTEXT_CHARS = 60
-SEQUENCE_TOKENS = 48
+#: Tokens whose scores are held at once, unless one sequence has more; no sequence is cut.
+DECODE_TOKENS = 50_000
+FEATURE_TOKENS = 1000
 STEPS = 200
 RATE = 0.1
 PENALTY = 0.002
@@ -175,9 +177,10 @@ def near_features(word: str) -> tuple[str, str]:
     return shape(core), core if len(core) <= 12 and core.isascii() else "-"
 
 
-def features(words: list[str]) -> list[list[str]]:
+def features(words: list[str], first: int = 0, last: int | None = None) -> list[list[str]]:
+    """The features of words first to last, which see their neighbours beyond these."""
     out = []
-    for i, w in enumerate(words):
+    for i, w in enumerate(words[first:last], first):
         f = ["b", *word_features(w)]
         for name, j in (("p", i - 1), ("q", i - 2), ("f", i + 1)):
             s, core = near_features(words[j]) if 0 <= j < len(words) else ("", "")
@@ -222,8 +225,12 @@ class Field:
         """Best states of each sequence of emissions; sequences of like length share a batch."""
         out: list = [None] * len(sequences)
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        for first in range(0, len(order), 256):
-            group = order[first : first + 256]
+        first = 0
+        while first < len(order):
+            end = first + 1
+            while end < min(len(order), first + 256) and (end + 1 - first) * len(sequences[order[end]]) <= DECODE_TOKENS:
+                end += 1
+            group, first = order[first:end], end
             lengths = np.array([len(sequences[i]) for i in group])
             t_max = int(lengths.max())
             e = np.zeros((len(group), t_max, len(STATES)))
@@ -325,7 +332,7 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """(start, end) of the tokens of each region, in runs of SEQUENCE_TOKENS at most."""
+    """(start, end) of the tokens of each region, all of them in one sequence."""
     out, free = [], 0
     for a, b in regions(text):
         # Words at the edges are taken whole.
@@ -341,20 +348,33 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
         b = m.start() if m else len(text)
         tokens = [t.span() for t in _TOKEN.finditer(text, a, b)]
         free = b
-        out += [tokens[i : i + SEQUENCE_TOKENS] for i in range(0, len(tokens), SEQUENCE_TOKENS)]
+        if tokens:
+            out.append(tokens)
     return out
 
 
+def _paths(field: Field, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int]], np.ndarray]]:
+    """(text, tokens, best states) of each sequence of each text."""
+    where, scores, held = [], [], 0
+    for i, text in enumerate(texts):
+        for tokens in sequences(text):
+            words = [text[a:b] for a, b in tokens]
+            parts = [field.emissions(features(words, k, k + FEATURE_TOKENS)) for k in range(0, len(words), FEATURE_TOKENS)]
+            where.append((i, tokens))
+            scores.append(np.concatenate(parts))
+            held += len(words)
+            if held >= DECODE_TOKENS:
+                for (j, run), path in zip(where, field.decode(scores)):
+                    yield j, run, path
+                where, scores, held = [], [], 0
+    for (j, run), path in zip(where, field.decode(scores)):
+        yield j, run, path
+
+
 def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """The spans that the field finds in each text."""
-    where, scores = [], []
-    for i, text in enumerate(texts):
-        if _SIGNAL.search(text):
-            for tokens in sequences(text):
-                where.append((i, tokens))
-                scores.append(field.emissions(features([text[a:b] for a, b in tokens])))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (i, tokens), path in zip(where, field.decode(scores)):
+    for i, tokens, path in _paths(field, texts):
         text, last = texts[i], None
         for (a, b), state in zip(tokens, path.tolist()):
             name = STATES[state]
@@ -365,6 +385,7 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
                 last[2] = b
             else:
                 last = None
+    for i, text in enumerate(texts):
         trimmed = []
         for kind, a, b in out[i]:
             if kind == "secret":

@@ -158,6 +158,20 @@ def test_pii(spark, sf, texts):
     assert [k for k, _, _ in spans] == ["secret"]
 
 
+@pytest.mark.parametrize("secret", ["password = hunter2Xk9", "call +1 (212) 555/0147"])
+def test_pii_at_every_place_of_a_long_line(secret):
+    field = pii.trained()
+    words = [f"x{i % 10}" for i in range(140)]
+    alone = pii.all_spans(field, [" ".join([*words[:5], secret, *words[5:10]])])[0][1]
+    assert len(alone) == 1, alone
+    kind, a, b = alone[0]
+    shift = len(" ".join(words[:5])) + 1
+    for at in range(61):
+        text = " ".join([*words[:at], secret, *words[at:]])
+        start = len(" ".join(words[:at])) + (at > 0)
+        assert (kind, a - shift + start, b - shift + start) in pii.all_spans(field, [text])[0][1], at
+
+
 def plain_shingles(t, n):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x]
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
