@@ -115,7 +115,9 @@ def denoise(image: np.ndarray, strength: float = 10, template: int = 7, search:
 def quantize(image: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Each pixel its nearest centre, cut to bytes."""
     flat = image.reshape(-1, 3).astype(float)
-    best = ((flat[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1)
+    # A block of pixels at a time: their distances to all centres are held at once.
+    best = [((flat[i : i + 65_536, None, :] - centres[None]) ** 2).sum(-1).argmin(1) for i in range(0, len(flat), 65_536)]
+    best = np.concatenate(best) if best else np.zeros(0, int)
     return np.clip(centres, 0, 255).astype(np.uint8)[best].reshape(image.shape)
 
 
@@ -204,13 +206,44 @@ def trace_images(images: DataFrame, settings: dict) -> DataFrame:
                     image = denoise(image, p["denoise_strength"]) if p["denoise"] else image
                     image = sharpen(image) if p["sharpen"] else image
                 if p["quantize_colors"]:
-                    image = quantize(image, centres(image, p["quantize_n_colors"]))
+                    image = fewer_colours(image, p)
                 rows.append((r.path, trace(image, speckle)))
             yield pd.DataFrame(rows, columns=["path", "svg"])
 
     return images.mapInPandas(run, "path string, svg string")
 
 
+def chosen_k(pixels: np.ndarray, n: int, least: int, most: int) -> int:
+    """adaptive_k of an array of pixels, for use inside a task."""
+    unique, spread = len(np.unique(pixels, axis=0)), float(pixels.astype(float).std(axis=0).mean())
+    if unique <= n:
+        return 0
+    k = n
+    if spread > 30 or unique > 2048:
+        k = max(n, most)
+    elif spread > 20 or unique > 1024:
+        k = n * 2
+    elif spread > 12 or unique > 512:
+        k = int(n * 1.5)
+    return max(least, min(most, k))
+
+
+def fewer_colours(image: np.ndarray, p: dict, seed: int = 42) -> np.ndarray:
+    """The image quantized as the preprocessing settings say; as it is where the adaptive mode finds few colours."""
+    lab = p["quantize_color_space"].lower() == "lab"
+    work = to_lab8(image) if lab else image
+    pixels = work.reshape(-1, 3)
+    if len(pixels) > p["quantize_sample_size"]:
+        pixels = pixels[np.random.default_rng(seed).choice(len(pixels), p["quantize_sample_size"], replace=False)]
+    k = p["quantize_n_colors"]
+    if p["quantize_mode"] == "adaptive":
+        k = chosen_k(pixels, k, p["quantize_n_colors_min"], p["quantize_n_colors_max"])
+    if k <= 0:
+        return image
+    out = quantize(work, centres(pixels, k))
+    return from_lab8(out) if lab else out
+
+
 def centres(image: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
     """k-means centres of one image's pixels, for use inside a task."""
     flat = image.reshape(-1, 3).astype(float)
