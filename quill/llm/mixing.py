@@ -174,21 +174,24 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int =
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """The documents of mix(), each with the words taken of it."""
+    """The documents of mix(), each with the words taken of it, its pieces by turn, and the shard and position of the first."""
     placed, pieces = mix(docs, **options)
-    sums = pieces.groupBy("rank", "at").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("turns"))
+    piece = F.struct("turn", F.col("taken").alias("words"), "shard", "position")
+    sums = pieces.groupBy("rank", "at").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(piece)).alias("pieces"))
     # Documents without words share a place with the one behind them, and are not taken.
     own = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return placed.join(sums, ["rank", "at"], "left").withColumn("taken", own)
+    out = placed.join(sums, ["rank", "at"], "left").withColumn("taken", own).withColumn("pieces", F.when(F.col("size") > 0, F.col("pieces")))
+    return out.withColumn("shard", F.get("pieces", F.lit(0))["shard"]).withColumn("position", F.get("pieces", F.lit(0))["position"])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself, with the columns of docs: a row for each turn a document is taken.
 
+    Rows of a shard are in one partition, in the order of their positions.
     A piece that is less than its document has that many of its words, one blank apart.
     """
     names = docs.columns
-    chosen = taken(docs, **options).filter("taken > 0").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("taken")).alias("_takes"))
+    chosen = taken(docs, **options).filter("taken > 0").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("pieces")).alias("_takes"))
     text = whole_text()
     keyed = docs.withColumn("_h", F.xxhash64(F.lit(SEED), "doc_id", "source", text)).withColumn("_id", F.col("doc_id"))
     chosen = chosen.select(F.col("doc_id").alias("_cid"), F.col("h").alias("_ch"), "_takes")
@@ -196,13 +199,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     same = Window.partitionBy("_id", "_h").orderBy(F.lit(1))
     both = both.withColumn("_mine", F.get("_takes", F.row_number().over(same) - 1)).filter("_mine is not null")
     both = both.withColumn("_size", F.size(words(text)).cast("long"))
-    both = both.withColumn("_piece", F.explode(F.concat(F.array_repeat("_size", (F.col("_mine") / F.col("_size")).cast("int")), F.filter(F.array(F.col("_mine") % F.col("_size")), lambda x: x > 0))))
+    both = both.withColumn("_at", F.explode("_mine")).withColumn("_piece", F.col("_at.words"))
     part = F.array_join(F.slice(words(text), F.lit(1), F.col("_piece").cast("int")), " ")
     both = both.withColumn("text", F.when(F.col("_piece") < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in names:
         both = both.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*names)
+    dealt = both.withColumn("_shard", F.col("_at.shard")).withColumn("_position", F.col("_at.position"))
+    return dealt.repartition("_shard").sortWithinPartitions("_shard", "_position").select(*names)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "turns")
+    return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "turns", "shard", "position")

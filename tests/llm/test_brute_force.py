@@ -307,6 +307,34 @@ def test_shards_get_all_quotas(spark, sf):
     assert max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_mixture_is_dealt_by_shard_and_in_order(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs, bounds = documents(spark, sf), {"block_words": 512, "blocks_per_shard": 8}
+    pieces = mixing.mix(docs, **bounds)[1].collect()
+    first = {}
+    for r in sorted(pieces, key=lambda r: r.turn):
+        first.setdefault(r.doc_id, (r.shard, r.position))
+    got = mixing.taken(docs, **bounds)
+    assert {r.doc_id: (r.shard, r.position) for r in got.collect() if r.taken} == first
+    want = collections.defaultdict(list)
+    for r in sorted(pieces, key=lambda r: (r.shard, r.position)):
+        want[r.shard].append(r.doc_id)
+    parts = mixing.mixed(docs, **bounds).withColumn("p", F.spark_partition_id()).collect()
+    rows = collections.defaultdict(list)
+    for r in parts:
+        rows[r.p].append(r.doc_id)
+    assert len(want) > 1 and sum(map(len, rows.values())) == len(pieces)
+    # Each partition is whole shards, one behind the other.
+    left = dict(want)
+    for ids in rows.values():
+        while ids:
+            shard = next(s for s, w in sorted(left.items()) if ids[: len(w)] == w)
+            ids = ids[len(left.pop(shard)) :]
+    assert not left
+    assert {"shard", "position"} <= set(mixing.op9_source_mixing(spark, sf).columns)
+
+
 def test_substrings(spark, sf, texts):
     raw = {k: t.encode() for k, t in texts.items()}
     seen = collections.Counter(b[i : i + 200] for b in raw.values() for i in range(len(b) - 199))
