@@ -55,3 +55,24 @@ def words(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: A key of more rows than this, and than a BROADCAST_KEYS-th of all rows, has its row of a table broadcast: BROADCAST_KEYS rows at most.
+HOT_ROWS = 2000
+BROADCAST_KEYS = 50_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined ("left" or "inner") with a table that has each key once, and in _n how many of the rows have it.
+
+    The keys of very many rows are joined by broadcast, so no key's rows pile
+    up in one task; by their definition they are few. _n is left out.
+    """
+    most, total = table.agg(F.max("_n"), F.sum("_n")).first()
+    bound = max(HOT_ROWS, (total or 0) // BROADCAST_KEYS)
+    if (most or 0) <= bound:
+        return rows.join(table.drop("_n"), key, how)
+    hot = table.filter(F.col("_n") > bound).drop("_n").withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), key, "left")
+    rest = met.filter("_hot is null").select(*rows.columns).join(table.filter(F.col("_n") <= bound).drop("_n"), key, how)
+    return met.filter("_hot").drop("_hot").unionByName(rest)

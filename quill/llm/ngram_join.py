@@ -1,20 +1,25 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows are texts with different n-gram sets (equal sets are one row, found by a
-digest). Columns, the hashed n-grams, are dealt to blocks. A pair that reaches
-the threshold differs in a number of columns bounded by its sizes; with more
-blocks than that, the two rows agree wholly in some that hold n-grams of both. So only rows that agree in a block can be a pair: blocks are keyed by
-their content, and rows that never meet are never multiplied. Rows of very
-different sizes are kept apart by size classes.
-
-Rows that meet, directly or through others, form a family. In a family the
-product is taken block of rows by block of rows: overlap counts are accumulated
-over all its columns and pairs below the size-derived bound fall away. A row in
-the family's largest component need not be multiplied with rows of the same
-component, so a thousand near copies cost a few block products, not a million
-pairs. Families beyond FAMILY_ROWS are cut into chunks; a few rows are
-multiplied with all chunks, and every row that is then outside the largest
-component as well, so no link is lost.
+Rows of the matrix are texts with different n-gram sets (equal sets are one
+row, found by a digest); columns are hashed n-grams, ordered by their frequency
+in the corpus, rare ones first.
+
+1. Frequencies. Scan tasks deal their n-grams to column blocks by hash, as
+   packed arrays; a block's task counts them and sends back to each batch of
+   rows only the columns that a second row has. An n-gram that many rows of a
+   batch have is sent once, with its count.
+2. Prefixes. Two sets can reach the threshold only if they share one of their
+   first |x| - ceil(t |x|) + 1 columns. Unique columns come first in the order,
+   so most rows have no column left to share and are done.
+3. Candidates. The rows of a column are paired where their sizes, and the
+   columns that are left behind this one in both, allow the overlap that the
+   two sizes ask for. Columns of up to LIST_ROWS rows are paired whole. Rows of
+   longer ones meet a few pivots, so a thousand near copies cost a thousand
+   products; only rows that are then outside the column's largest component
+   meet the others, so no link is lost.
+4. Products. A row is multiplied with blocks of its candidates: overlap counts
+   are accumulated column block by column block, and a pair is dropped as soon
+   as the columns left cannot bring it to the size-derived bound.
 """
 
 from __future__ import annotations
@@ -23,312 +28,404 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import documents, stored, whole_text
+from .common import documents, looked_up, stored, whole_text
 from .components import components
+from .wordhash import digests, shingle_sets, text_bytes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-FAMILY_ROWS = 4000
-PIVOTS = 16
-ROW_BLOCK = 16
-CACHE_WORDS = 400_000
-MASK = 0xFFFFFFFFFFFFFFFF
+#: Rows of a column that are paired whole.
+LIST_ROWS = 32
+#: Rows that each row of a longer column meets in a round, and how many rounds there are before the rest is paired.
+PIVOTS = 8
+PIVOT_ROUNDS = 2
+#: Bytes of text, and n-grams of a batch of rows, that a scan task holds at once (one text at least).
+BATCH_BYTES = 4_000_000
+BATCH_ROWS = 60_000
+#: N-grams of a column block, about.
+BLOCK_GRAMS = 2_000_000
+#: An n-gram of so many rows of a batch is sent as one count.
+BATCH_HOT = 64
+#: Candidates of a row that one task multiplies with it, about; columns of a step of the product.
+ROW_BLOCK = 2000
+COLUMN_BLOCK = 64
+#: Rows of the list of left-out documents up to which it is broadcast.
+BROADCAST_ROWS = 500_000
+KEY_BITS = np.uint64((1 << 48) - 1)
+
+
+def runs(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts with at most `most` bytes, one text at least, and BATCH_ROWS texts at most."""
+    ends = text_bytes(column)[1]
+    first = 0
+    while first < len(column):
+        end = int(np.searchsorted(ends, ends[first] + most, "right")) - 1
+        end = min(max(end, first + 1), first + BATCH_ROWS, len(column))
+        yield first, end
+        first = end
+
+
+# ---- rows --------------------------------------------------------------------
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+def _row_sets(size: int):
+    """Adds n_shingles and node, the name of the row's set (null: none), in place of _text."""
 
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            texts = batch.column("_text")
+            for first, end in runs(texts, BATCH_BYTES):
+                grams, starts = shingle_sets(texts.slice(first, end - first), size)
+                counts, nodes = np.diff(starts), digests(grams, starts)
+                rest = batch.slice(first, end - first).drop_columns(["_text"])
+                yield pa.RecordBatch.from_arrays(
+                    [*rest.columns, pa.array(counts, pa.int64()), pa.array(nodes, pa.int64(), mask=counts == 0)], names=[*rest.schema.names, "n_shingles", "node"]
+                )
 
-class _WordHashes(dict):
-    """64-bit hashes of words; those met first, so the frequent ones, are kept."""
+    return run
 
-    def __missing__(self, word: bytes) -> int:
-        got = xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = got
-        return got
 
+# ---- column frequencies ------------------------------------------------------
 
-_HASHES = _WordHashes()
+#: block -1 - ...: a batch's manifest; else a batch's n-grams of a column block.
+_SENT = "batch long, block long, a binary, b binary, c binary, d binary"
 
 
-def shingles(text: str, size: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-grams; of fewer words than n, the hash of all; of none, nothing.
+def _six(keys: np.ndarray) -> bytes:
+    """The low 48 bits of each key."""
+    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    bytes.lower() maps A-Z only and bytes.split() cuts at \\x20 and \\x09-\\x0D only.
-    """
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
-    n = min(size, len(w))
-    # Word hashes are random, so a sum with odd factors tells their sequences apart.
-    total = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        total += w[k : len(w) - n + 1 + k] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & MASK)
-    total = mix(total)
-    return np.unique(total)
-
-
-class Scheme:
-    """Size classes for a threshold, and how many column blocks each needs."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.bounds = [1]
-
-    def class_of(self, size: int) -> int:
-        """Sizes whose ratio can reach the threshold are in the same class or neighbours."""
-        while self.bounds[-1] <= size:
-            self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.bounds, size, "right")) - 1
-
-    def blocks(self, k: int) -> tuple[int, int, int]:
-        """(blocks, spare, weak) of class k: one more than the columns a pair may differ in, and some to spare for weak blocks.
-
-        Agreement in a block with `weak` columns or fewer says little: it may be one passage that many texts share.
-        """
-        while len(self.bounds) < k + 2:
-            self.class_of(self.bounds[-1])
-        largest = self.bounds[k + 1] - 1
-        differ = (100 - self.percent) * 2 * largest // (100 + self.percent)
-        weak = int(differ >= 8)
-        spare = 0 if differ == 0 else 1 + differ // (12 if weak else 50)
-        return differ + 1 + spare, spare, weak
-
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        """The content keys of a row's blocks, for its own class and, as the smaller row, the next."""
-        own = self.class_of(len(grams))
-        out = []
-        for k in (own, own + 1):
-            n, spare, weak = self.blocks(k)
-            block = (grams % np.uint64(n)).astype(np.int64)
-            low = np.bincount(block, (grams & np.uint64(0xFFFFFFFF)).astype(float), n).astype(np.uint64)
-            high = np.bincount(block, (grams >> np.uint64(32)).astype(float), n).astype(np.uint64)
-            content = mix(mix(low + np.uint64(k + 1)) + high + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            count = np.bincount(block, minlength=n)
-            # Weak blocks are left out, unless a row has so many that no other need be left.
-            out.append(content if (count <= weak).sum() > spare else content[count > weak])
-        return np.concatenate(out)
-
-
-def linked(overlap: np.ndarray, a, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * overlap >= percent * (a + b - overlap)
-
-
-class Rows:
-    """The incidence rows of one group, and by column the rows that have it."""
-
-    def __init__(self, arrays: list[np.ndarray]):
-        self.sizes = np.array([len(a) for a in arrays], np.int64)
-        flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.rows = np.repeat(np.arange(len(arrays), dtype=np.int32), self.sizes)[order]
-        flat = flat[order]
-        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1]]))
-        self.columns, self.starts = flat[head], np.append(head, len(flat))
-
-    def product(self, arrays: list[np.ndarray]) -> np.ndarray:
-        """Overlap counts of a block of rows with all rows of the group: what the rows' columns hold, added up."""
-        out = np.zeros((len(arrays), len(self.sizes)), np.int64)
-        for i, a in enumerate(arrays):
-            at = np.searchsorted(self.columns, a)
-            at = at[at < len(self.columns)]
-            at = at[np.isin(self.columns[at], a)]
-            at = np.unique(at)
-            counts = self.starts[at + 1] - self.starts[at]
-            places = np.arange(counts.sum()) + np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts)
-            out[i] = np.bincount(self.rows[places], minlength=len(self.sizes))
-        return out
-
-
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
-def group_components(arrays: list[np.ndarray], percent: int) -> list[int]:
-    """For each row the first row of its component; every link of the group is in it."""
-    n = len(arrays)
-    rows, union = Rows(arrays), Union(n)
-    todo = list(range(n))
-    while todo:
-        roots = np.array([union.find(i) for i in range(n)])
-        largest = np.bincount(roots).argmax()
-        outside = [i for i in todo if roots[i] != largest]
-        if not outside:
-            break
-        block = outside[:ROW_BLOCK]
-        counts = rows.product([arrays[i] for i in block])
-        for i, c in zip(block, counts):
-            for j in np.flatnonzero(linked(c, rows.sizes[i], rows.sizes, percent)).tolist():
-                union.join(i, j)
-        # Rows of the largest component stay: another may become the largest before they are joined to it.
-        gone = set(block)
-        todo = [i for i in todo if i not in gone]
-    return [union.find(i) for i in range(n)]
-
-
-# ---- Spark -------------------------------------------------------------------
-
-
-def _node(grams: np.ndarray) -> int:
-    """A row's name: 63 bits of the digest of its set."""
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little") >> 1
 
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
-def _row_sets(size: int):
-    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            nodes, counts = [], []
-            for text in batch.column("_text").to_pylist():
-                g = shingles(text, size)
-                counts.append(len(g))
-                nodes.append(_node(g) if len(g) else None)
-            rest = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(counts, pa.int64()), pa.array(nodes, pa.int64())], names=[*rest.schema.names, "n_shingles", "node"])
 
-    return run
+def _sent_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["batch", "block", "a", "b", "c", "d"])
 
 
-def _list_array(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+def _block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _row_keys(size: int, percent: int):
-    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent)
-        for batch in arrow:
-            texts = batch.column("_text").to_pylist()
-            for first in range(0, len(texts), 500):
-                sets = [g for g in (shingles(t, size) for t in texts[first : first + 500]) if len(g)]
-                keys = [scheme.keys(g) for g in sets]
-                if keys:
-                    whose = np.repeat(np.array([_node(g) for g in sets], np.int64), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(whose)], names=["key", "node"])
-
-    return run
+def _send(size: int, blocks: int):
+    """Each batch's n-grams by column block: a keys, b the rows they are of; c keys of many rows, d their counts.
 
+    The manifest of a batch: a its nodes, b their sizes, c keys of many rows, d the rows, as (key, row).
+    """
 
-def _row_grams(size: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            texts = batch.column("_text").to_pylist()
-            for first in range(0, len(texts), 500):
-                part = batch.slice(first, 500).drop_columns(["_text"])
-                arrays = [shingles(t, size) for t in texts[first : first + 500]]
-                keep = np.array([len(a) > 0 and _node(a) == n for a, n in zip(arrays, part.column("node").to_pylist())], bool)
-                grams = _list_array([a for a, k in zip(arrays, keep) if k])
-                rest = pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in part.columns], names=part.schema.names)
-                yield pa.RecordBatch.from_arrays([*rest.columns, grams], names=[*rest.schema.names, "grams"])
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for whole in arrow:
+            texts = whole.column(0)
+            for first, end in runs(texts, BATCH_BYTES):
+                grams, starts = shingle_sets(texts.slice(first, end - first), size)
+                nodes, sizes = digests(grams, starts), np.diff(starts)
+                # One row for each set of the batch.
+                _, once = np.unique(nodes, return_index=True)
+                once = once[sizes[once] > 0]
+                once.sort()
+                if not len(once):
+                    continue
+                chosen = np.zeros(len(nodes), bool)
+                chosen[once] = True
+                row = np.cumsum(chosen) - 1
+                of = np.repeat(np.arange(len(nodes)), sizes)
+                mine = chosen[of]
+                grams, of = grams[mine], row[of[mine]]
+                values, counts = np.unique(grams, return_counts=True) if len(once) > BATCH_HOT else (grams[:0], grams[:0])
+                hot = values[counts >= BATCH_HOT]
+                hot_counts = counts[counts >= BATCH_HOT].astype("<u4")
+                is_hot = np.zeros(len(grams), bool)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+                    is_hot = hot[at] == grams
+                pairs = np.stack([_ids(grams[is_hot], blocks), of[is_hot].astype(np.uint64)], 1) if len(hot) else np.zeros((0, 2), np.uint64)
+                out = [(number, -1, nodes[once].astype("<i8").tobytes(), sizes[once].astype("<i8").tobytes(), pairs.astype("<u8").tobytes(), b"")]
+                grams, of = grams[~is_hot], of[~is_hot]
+                block, hot_block = _block_of(grams, blocks), _block_of(hot, blocks)
+                order = np.argsort(block.astype(np.uint16) if blocks < 65536 else block, kind="stable")
+                grams, of, block = grams[order], of[order].astype("<u2"), block[order]
+                used = np.union1d(block, hot_block)
+                cuts = np.searchsorted(block, used), np.searchsorted(block, used, "right")
+                for b, lo, hi in zip(used.tolist(), cuts[0].tolist(), cuts[1].tolist()):
+                    here = hot_block == b if len(hot) else np.zeros(0, bool)
+                    out.append((number, b, _six(grams[lo:hi]), of[lo:hi].tobytes(), _six(hot[here]), hot_counts[here].tobytes()))
+                number += 1
+                yield _sent_rows(out)
 
     return run
 
 
-def _groups(arrow: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows of a sorted partition, group by group: the leading `keys` columns tell groups apart, the last is the grams."""
-    held, held_grams, last = [], [], None
+def _ids(grams: np.ndarray, blocks: int) -> np.ndarray:
+    """A column's name: 48 bits of the n-gram's hash and 16 of its block's number."""
+    return (grams & KEY_BITS) | (_block_of(grams, blocks).astype(np.uint64) << np.uint64(48))
+
+
+def _answer(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every block, to each batch: a the columns that two rows have, b the rows, c the frequencies; columns of many rows with row 65,535."""
+    held: list[tuple] = []
+
+    def counted() -> pa.RecordBatch | None:
+        keys = [_from_six(r[2]) for r in held]
+        hots = [_from_six(r[4]) for r in held]
+        flat = np.concatenate([*keys, *hots])
+        order = np.argsort(flat)
+        ordered = flat[order]
+        weights = np.concatenate([np.ones(sum(map(len, keys)), np.int64), *[np.frombuffer(r[5], "<u4").astype(np.int64) for r in held]])[order]
+        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        total = np.add.reduceat(weights, head) if len(head) else weights
+        frequency = np.empty(len(flat), np.int64)
+        frequency[order] = np.repeat(total, np.diff(np.append(head, len(flat))))
+        ids = flat | np.uint64((held[0][1] & 0xFFFF) << 48)
+        rows, at, hot_at = [], 0, sum(map(len, keys))
+        for (batch, block, _, of, *_), k, h in zip(held, keys, hots):
+            mine, f = ids[at : at + len(k)], frequency[at : at + len(k)]
+            row = np.frombuffer(of, "<u2")
+            shared = f > 1
+            hot_ids, hot_f = ids[hot_at : hot_at + len(h)], frequency[hot_at : hot_at + len(h)]
+            at, hot_at = at + len(k), hot_at + len(h)
+            if shared.any() or len(h):
+                sent_ids = np.concatenate([mine[shared], hot_ids]).astype("<u8")
+                sent_rows = np.concatenate([row[shared], np.full(len(h), 65535, "<u2")]).astype("<u2")
+                sent_f = np.minimum(np.concatenate([f[shared], hot_f]), 0xFFFFFFFF).astype("<u4")
+                rows.append((batch, block, sent_ids.tobytes(), sent_rows.tobytes(), sent_f.tobytes(), b""))
+        held.clear()
+        return _sent_rows(rows) if rows else None
+
     for batch in arrow:
-        columns = [c.to_pylist() for c in batch.columns[:-1]]
-        lists = batch.column(batch.num_columns - 1)
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        for i, row in enumerate(zip(*columns)):
-            if row[:keys] != last:
-                if held:
-                    yield held, held_grams
-                held, held_grams, last = [], [], row[:keys]
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[1] < 0:
+                yield _sent_rows([row])
+                continue
+            if held and held[-1][1] != row[1] and (out := counted()):
+                yield out
             held.append(row)
-            held_grams.append(flat[ends[i] : ends[i + 1]].copy())
-    if held:
-        yield held, held_grams
+    if held and (out := counted()):
+        yield out
+
+
+ROWS = "node long, n long, prefix int, first int, grams array<long>"
 
 
-def _within(percent: int, keys: int):
-    """(node, label) inside each group; label is the first row's node of the component."""
+def _ordered(percent: int):
+    """Rows that have a shared column in their prefix: how many such, the place of the first, and all shared columns in order."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, grams in _groups(arrow, keys):
-            first = {}
-            for row, g in zip(rows, grams):
-                first.setdefault(row[-1], g)
-            nodes = list(first)
-            label = group_components([first[n] for n in nodes], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[i] for i in label], pa.int64())], names=["u", "v"])
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch | None:
+            manifest = next(r for r in held if r[1] < 0)
+            nodes, sizes = (np.frombuffer(manifest[k], "<i8") for k in (2, 3))
+            answers = [r for r in held if r[1] >= 0]
+            held.clear()
+            if not answers:
+                return None
+            ids = np.concatenate([np.frombuffer(r[2], "<u8") for r in answers])
+            rows = np.concatenate([np.frombuffer(r[3], "<u2") for r in answers]).astype(np.int64)
+            freq = np.concatenate([np.frombuffer(r[4], "<u4") for r in answers])
+            hot = rows == 65535
+            pairs = np.frombuffer(manifest[4], "<u8").reshape(-1, 2)
+            if len(pairs):
+                by = np.argsort(ids[hot])
+                known, known_f = ids[hot][by], freq[hot][by]
+                ids = np.concatenate([ids[~hot], pairs[:, 0]])
+                freq = np.concatenate([freq[~hot], known_f[np.searchsorted(known, pairs[:, 0])]])
+                rows = np.concatenate([rows[~hot], pairs[:, 1].astype(np.int64)])
+            order = np.lexsort((ids, freq, rows))
+            ids, rows = ids[order], rows[order]
+            shared = np.bincount(rows, minlength=len(nodes))
+            prefix = sizes - (percent * sizes + 99) // 100 + 1 - (sizes - shared)
+            kept = np.flatnonzero(prefix > 0)
+            if not len(kept):
+                return None
+            wanted = (prefix > 0)[rows]
+            offsets = np.concatenate([[0], np.cumsum(shared[kept])]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[wanted].view(np.int64)))
+            columns = [pa.array(nodes[kept]), pa.array(sizes[kept]), pa.array(np.minimum(prefix, shared)[kept], pa.int32()), pa.array((sizes - shared)[kept], pa.int32()), grams]
+            return pa.RecordBatch.from_arrays(columns, names=["node", "n", "prefix", "first", "grams"])
+
+        for batch in arrow:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][0] != row[0] and (got := out()):
+                    yield got
+                held.append(row)
+        if held and (got := out()):
+            yield got
 
     return run
 
 
-def _across(percent: int):
-    """Links of each group's probes (role 0, which come first) with its members (role 1)."""
+def incidence(texts: DataFrame, size: int, percent: int, n_grams: int, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """The rows of the incidence matrix that can have a link: ROWS, one per set. texts: _text."""
+    blocks = max(1, -(-n_grams // block_grams))
+    sent = texts.select("_text").mapInArrow(_send(size, blocks), _SENT)
+    # Manifests only pass through, dealt by their batch.
+    dealt = sent.repartition("block", F.when(F.col("block") < 0, F.col("batch"))).sortWithinPartitions("block")
+    answers = dealt.mapInArrow(_answer, _SENT)
+    rows = answers.repartition("batch").sortWithinPartitions("batch").mapInArrow(_ordered(percent), ROWS)
+    rows = stored(rows, "rows")
+    # A set that several batches hold: frequencies are the same for all, so any of its rows will do.
+    again = rows.groupBy("node").count().filter("count > 1").select("node")
+    if again.isEmpty():
+        return rows
+    return stored(rows.dropDuplicates(["node"]), "rows")
 
-    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, grams in _groups(arrow, 2):
-            probes = [(r[-1], g) for r, g in zip(rows, grams) if r[2] == 0]
-            members = [(r[-1], g) for r, g in zip(rows, grams) if r[2] == 1]
-            if not probes or not members:
-                continue
-            table, names = Rows([g for _, g in members]), np.array([n for n, _ in members], np.int64)
-            for first in range(0, len(probes), ROW_BLOCK):
-                block = probes[first : first + ROW_BLOCK]
-                for (node, g), counts in zip(block, table.product([g for _, g in block])):
-                    to = names[linked(counts, len(g), table.sizes, percent)]
-                    if len(to):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), node, np.int64)), pa.array(to)], names=["u", "v"])
 
-    return run
+# ---- candidates --------------------------------------------------------------
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether two rows of a column can reach the bound: by size, and by what is left behind the column in both."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & ((F.lit(100 + percent) * left) >= F.lit(percent) * (n + m))
+
+
+def _pairs_of(x: Column, y: Column) -> list[Column]:
+    return [F.greatest(x, y).alias("u"), F.least(x, y).alias("v")]
 
 
-def _sorted_groups(df: DataFrame, *keys: str) -> DataFrame:
-    """Dealt by the first two keys at most, and in order of all in each partition."""
-    return df.repartition(*keys[:2]).sortWithinPartitions(*keys, "node")
+def _whole(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the rows of each short column."""
+    lists = postings.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("node", "n", "at"))).alias("rows"))
+    one = lists.select(F.posexplode("rows").alias("i", "x"), "rows")
+    two = one.select("x", F.explode(F.slice("rows", F.col("i") + 2, F.size("rows"))).alias("y"))
+    return two.filter(_possible("x", "y", percent)).select(*_pairs_of(F.col("x.node"), F.col("y.node"))).distinct()
 
 
-def _large_families(rows: DataFrame, percent: int) -> DataFrame:
-    """Links that connect each component of families too large for one task. rows: family, chunks, node, grams."""
-    rows = stored(rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "chunks")
-    inner = stored(_sorted_groups(rows.select("family", "chunk", "node", "grams"), "family", "chunk").mapInArrow(_within(percent, 2), "u long, v long"), "inner")
-    # Some rows of each family's largest chunk components meet all its chunks.
-    sizes = inner.groupBy("v").count()
-    by_size = Window.partitionBy("family").orderBy(F.desc("count"), "v")
-    heads = rows.join(sizes, F.col("node") == F.col("v")).withColumn("nth", F.row_number().over(by_size)).filter(F.col("nth") <= PIVOTS)
+def _meeting(rows: DataFrame, probes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the probes of each long column with its rows of other labels. Both: gram, node, n, at, label; salts of the column."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+    sent = probes.select("gram", F.struct("node", "n", "at").alias("y"), F.col("label").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    met = dealt.withColumn("x", F.struct("node", "n", "at")).join(sent, ["gram", "salt"]).filter(F.col("label") != F.col("other"))
+    return met.filter(_possible("x", "y", percent)).select(*_pairs_of(F.col("x.node"), F.col("y.node"))).distinct()
 
-    def probe(probes: DataFrame) -> DataFrame:
-        sent = probes.select("family", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.lit(0).alias("role"), "node", "grams")
-        members = rows.select("family", "chunk", F.lit(1).alias("role"), "node", "grams")
-        return _sorted_groups(sent.unionByName(members), "family", "chunk", "role").mapInArrow(_across(percent), "u long, v long")
 
-    links = stored(inner.unionByName(probe(heads)), "links")
-    labels = components(links)
-    named = rows.join(labels, F.col("node") == F.col("u"), "left").withColumn("label", F.coalesce("label", "node"))
-    most = named.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-    outside = named.join(most, "family").filter("label != most").drop("most", "label", "u")
-    return links.unionByName(stored(probe(outside), "links"))
+# ---- products ----------------------------------------------------------------
+
+
+def overlaps(left: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, size: int, percent: int, step: int = COLUMN_BLOCK) -> np.ndarray:
+    """Overlap counts of one row with a block of rows, whose columns follow one another in flat; -1 where a pair was dropped.
+
+    Columns are in one order in all rows. After each column block of the rows a
+    pair is dropped whose count, with all columns that are left, stays below the bound.
+    """
+    n = np.diff(starts)
+    bound = (percent * (size + sizes) + 99 + percent) // (100 + percent)
+    counts, alive = np.zeros(len(n), np.int64), np.minimum(n, len(left)) >= bound
+    table, at = np.sort(left), 0
+    while (todo := np.flatnonzero(alive & (n > at))).size:
+        width = np.minimum(n[todo] - at, step)
+        places = np.arange(width.sum()) + np.repeat(starts[todo] + at - np.cumsum(width) + width, width)
+        values = flat[places]
+        found = table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+        counts[todo] += np.bincount(np.repeat(np.arange(len(todo)), width), found, len(todo)).astype(np.int64)
+        at += step
+        alive[todo] = counts[todo] + np.maximum(n[todo] - at, 0) >= bound[todo]
+    return np.where(alive & (counts >= bound), counts, -1)
+
+
+def _products(percent: int):
+    """Links of each left row (role 0, which comes first of its group) with the block of rows behind it."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, left_n = None, None, 0
+        for batch in arrow:
+            group = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            nodes, sizes = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            lists = batch.column(5)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy()
+            change = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
+            us, vs = [], []
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(nodes)]):
+                name = (int(group[lo, 0]), int(group[lo, 1]))
+                if group[lo, 2] == 0:
+                    key, left, left_n = name, flat[ends[lo] : ends[lo + 1]].copy(), int(sizes[lo])
+                    continue
+                if name != key:
+                    raise AssertionError("a block of candidates without its row")
+                got = overlaps(left, flat, ends[lo : hi + 1], sizes[lo:hi], left_n, percent)
+                hit = np.flatnonzero(got >= 0)
+                us.append(np.full(len(hit), name[0], np.int64))
+                vs.append(nodes[lo:hi][hit])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
 
 
-def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, family_rows: int = FAMILY_ROWS) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that are links. Of two rows the one in more pairs is sent once to each block of its candidates."""
+    pairs = stored(pairs, "pairs")
+    degrees = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_n")), "degrees")
+
+    def of(end: str) -> DataFrame:
+        return degrees.select(F.col("node").alias(end), F.col("_n").alias(f"n_{end}"), "_n")
+
+    both = looked_up(looked_up(pairs, of("u"), "u"), of("v"), "v")
+    u, v = F.struct(F.col("n_u").alias("n"), F.col("u").alias("node")), F.struct(F.col("n_v").alias("n"), F.col("v").alias("node"))
+    blocks = lambda n: F.ceil(F.col(n) / ROW_BLOCK).cast("long")
+    ends = both.select(F.greatest(u, v).alias("hub"), F.least(u, v).alias("leaf"))
+    ends = ends.select(F.col("hub.node").alias("hub"), F.col("leaf.node").alias("node"), F.pmod(F.xxhash64("leaf.node"), blocks("hub.n")).alias("block"), F.pmod(F.xxhash64("hub.node"), blocks("leaf.n")).alias("copy"))
+    ends = stored(ends, "ends")
+    copies = degrees.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks("_n") - 1)).alias("copy"))
+    wide = copies.join(rows.select("node", "n", "grams"), "node")
+    rights = ends.join(wide, ["node", "copy"]).select("hub", "block", F.lit(1).alias("role"), "node", "n", "grams")
+    hubs = ends.select(F.col("hub").alias("node"), "block").distinct()
+    lefts = hubs.join(rows, "node").select(F.col("node").alias("hub"), "block", F.lit(0).alias("role"), "node", "n", "grams")
+    dealt = lefts.unionByName(rights).repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
+    return stored(dealt.mapInArrow(_products(percent), "u long, v long"), "links")
+
+
+def links(rows: DataFrame, percent: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(u, label) of every row that is linked to another and is not its component's label."""
+    exploded = rows.select("node", "n", "first", F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("i", "gram"))
+    postings = stored(exploded.select("gram", "node", "n", (F.col("first") + F.col("i")).cast("long").alias("at")), "postings")
+    lengths = stored(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "lengths")
+    short = looked_up(postings, lengths.filter(F.col("_n") <= list_rows), "gram", "inner")
+    found = _verified(_whole(short, percent), rows, percent)
+    long_lists = lengths.filter(F.col("_n") > list_rows)
+    if long_lists.isEmpty():
+        return components(found)
+    salted = long_lists.withColumn("salts", F.ceil(F.col("_n") / ROW_BLOCK).cast("long"))
+    left = stored(looked_up(postings, salted, "gram", "inner").select("gram", "node", "n", "at", "salts"), "long")
+    # The more of the long columns a row has, the nearer it is to the middle of its copies.
+    weights = stored(left.groupBy("node").agg(F.count(F.lit(1)).alias("_n")), "weights")
+    for turn in range(PIVOT_ROUNDS + 1):
+        labels = components(found)
+        per_node = weights.join(labels, F.col("node") == F.col("u"), "left").select("node", "_n", F.col("_n").alias("weight"), F.coalesce("label", "node").alias("label"))
+        named = looked_up(left, per_node, "node", "inner").select("gram", "node", "n", "at", "salts", "weight", "label")
+        parts = named.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("size"))
+        most = parts.groupBy("gram").agg(F.sum("size").alias("_n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most"))
+        most = stored(most.filter("labels > 1"), "most")
+        if most.isEmpty():
+            return labels
+        open_rows = stored(looked_up(named, most, "gram", "inner"), "open")
+        if turn < PIVOT_ROUNDS:
+            # Other rows in every round, the best of each of PIVOTS hashed parts.
+            mine = open_rows.filter(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(PIVOT_ROUNDS)) == turn)
+            best = mine.groupBy("gram", F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(PIVOTS))).agg(F.max(F.struct("weight", F.xxhash64(F.lit(3), "node"), "node", "n", "at", "label", "salts")).alias("pivot"))
+            probes = best.select("gram", "pivot.node", "pivot.n", "pivot.at", "pivot.label", "pivot.salts")
+        else:
+            probes = open_rows.filter("label != most")
+        found = found.unionByName(_verified(_meeting(open_rows, probes, percent), rows, percent))
+    return components(found)
+
+
+# ---- documents ---------------------------------------------------------------
+
+
+def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, list_rows: int = LIST_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per row of docs: doc_id, h (a hash of the row's id and text), n_shingles, label, component_id.
 
     Two documents link if the Jaccard similarity of their sets of word n-grams
@@ -337,63 +434,47 @@ def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, fam
     or empty text, or one without words, has no n-grams and links with nothing;
     fewer words than n are one n-gram. Repeated rows link (unless empty); a
     null doc_id takes part and is never the smallest. An empty table gives no
-    rows. Other columns are not looked at. Sets and n-grams are told apart by
-    63 and 64 hashed bits.
+    rows. Other columns are not looked at. Sets are told apart by 63 hashed
+    bits, n-grams by 48 and those of their column block's number.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
     hashed = read.withColumn("h", F.xxhash64("doc_id", "_text"))
     sets = stored(hashed.mapInArrow(_row_sets(size), "doc_id long, h long, n_shingles long, node long"), "sets")
-    labels = links(read, sets, size, percent, family_rows)
-    named = sets.join(labels, F.col("node") == F.col("u"), "left").withColumn("label", F.coalesce("label", "node")).drop("u")
-    # A document without n-grams is alone; its label must not bring it together with others.
-    least = named.filter("node is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", "h", "n_shingles", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    n_grams = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    labels = links(incidence(read, size, percent, n_grams, block_grams), percent, list_rows)
+    nodes = sets.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("least"))
+    named = nodes.join(labels, F.col("node") == F.col("u"), "left").withColumn("label", F.coalesce("label", "node")).drop("u")
+    least = named.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("least").alias("component"))
+    named = stored(looked_up(named.withColumnRenamed("_n", "copies").drop("least"), least, "label", "inner").select("node", F.col("copies").alias("_n"), "label", "component"), "named")
+    # A document without n-grams is alone.
+    found = looked_up(sets, named, "node")
+    return found.select("doc_id", "h", "n_shingles", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id, of equals by a hash of the row.
 
-    Rows without n-grams are components of their own and stay.
+    A null doc_id comes behind all others. Rows without n-grams are components
+    of their own and stay, repeated ones too; of rows that are alike in id and
+    text one stays. An empty table stays empty; other columns are kept.
     """
     joined = join(docs, **options)
     order = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    chosen = joined.filter("label is not null").groupBy("label").agg(F.min(order).alias("_best")).select("_best._id", "_best._h", F.lit(False).alias("_all"))
-    empty = joined.filter("label is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.lit(True).alias("_all")).distinct()
     none = F.lit(-(1 << 63))
-    keep = chosen.unionByName(empty).select(F.coalesce("_id", none).alias("_kid"), F.col("_h").alias("_kh"), "_all")
-    row_id = F.coalesce(F.col("doc_id").cast("long"), none)
-    keyed = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", row_id.alias("_kid"), F.xxhash64(F.col("doc_id").cast("long"), whole_text()).alias("_kh"))
-    # Rows that are alike in id and text: only the first of them.
-    alike = Window.partitionBy("_kid", "_kh").orderBy(F.lit(1))
-    return keyed.join(keep, ["_kid", "_kh"]).withColumn("_nth", F.row_number().over(alike)).filter("_all or _nth = 1").select("_row.*")
-
-
-def links(read: DataFrame, sets: DataFrame, size: int, percent: int, family_rows: int) -> DataFrame:
-    """(u, label) of every set that is linked to another and is not its component's label."""
-    # Rows that agree in a block: each with the least of them, a number that grows with rows, not pairs.
-    met = Window.partitionBy("key")
-    keyed = read.select("_text").mapInArrow(_row_keys(size, percent), "key long, node long")
-    stars = keyed.withColumn("least", F.min("node").over(met)).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    families = components(stars)
-    families = stored(families.select(F.col("u").alias("node"), F.col("label").alias("family")).unionByName(families.select(F.col("label").alias("node"), F.col("label").alias("family")).distinct()), "families")
-    sizes = families.groupBy("family").count()
-    large = stored(sizes.filter(F.col("count") > family_rows).select("family", F.ceil(F.col("count") / family_rows).cast("int").alias("chunks")), "large")
-
-    def rows(chosen: DataFrame, *more: str) -> DataFrame:
-        # Any document of a set will do for its text; grams are dropped where a doc_id stands for several texts.
-        none = F.lit(-(1 << 63))
-        reps = sets.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", none)).alias("rep")).join(chosen, "node")
-        texts = read.withColumn("rep", F.coalesce("doc_id", none)).join(reps, "rep").select("family", *more, "node", "_text")
-        schema = ", ".join(["family long", *(f"{m} int" for m in more), "node long", "grams array<long>"])
-        return texts.mapInArrow(_row_grams(size), schema)
-
-    small = rows(families.join(large, "family", "left_anti"))
-    found = _sorted_groups(small, "family").mapInArrow(_within(percent, 1), "u long, v long").filter("u != v")
-    found = stored(found, "links")
-    if large.isEmpty():
-        return found.select("u", F.col("v").alias("label"))
-    return found.select("u", F.col("v").alias("label")).unionByName(components(_large_families(rows(families.join(large, "family"), "chunks"), percent)))
+    keys = stored(joined.filter("label is not null").groupBy("label", F.coalesce("doc_id", none).alias("_kid"), F.col("h").alias("_kh")).agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("order")), "keys")
+    best = keys.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("order").alias("best"))
+    judged = looked_up(keys, best, "label", "inner").select("_kid", "_kh", (F.col("order") != F.col("best")).alias("_goes"), (F.col("copies") > 1).alias("_more"))
+    # Only the rows that go, or stand for several, have to be found again.
+    marked = stored(judged.filter("_goes or _more"), "marked")
+    if marked.count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
+    keyed = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.coalesce(F.col("doc_id").cast("long"), none).alias("_kid"), F.xxhash64(F.col("doc_id").cast("long"), whole_text()).alias("_kh"))
+    found = keyed.join(marked, ["_kid", "_kh"], "left").filter("_goes is null or not _goes")
+    alone = found.filter("_goes is null").select("_row.*")
+    more = found.filter("_goes is not null").groupBy("_kid", "_kh").agg(F.first("_row").alias("_row")).select("_row.*")
+    return alone.unionByName(more)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join() over all documents, by 4-word shingles and a similarity of 0.85; odd rows as stated there."""
     return join(documents(spark, sf_dir), size=4, percent=85).select("doc_id", "n_shingles", "component_id")

@@ -12,7 +12,9 @@ pytest.importorskip("quill.llm")
 
 import numpy as np  # noqa: E402
 
-from quill.llm import encoding, fingerprints, mixing, ngram_join, packing, pii, queries, substrings, token_store, toxicity  # noqa: E402
+import pyarrow as pa  # noqa: E402
+
+from quill.llm import common, components, encoding, fingerprints, mixing, ngram_join, packing, pii, queries, substrings, token_store, toxicity, wordhash  # noqa: E402
 from quill.llm.common import documents  # noqa: E402
 
 
@@ -195,17 +197,17 @@ def plain_components(sets, percent):
     return {k: find(k) for k in sets}
 
 
-@pytest.mark.parametrize("family_rows", [4000, 2])
-def test_ngram_join(spark, sf, texts, family_rows):
-    got = {r.doc_id: r for r in ngram_join.join(documents(spark, sf), 4, 85, family_rows).collect()}
+@pytest.mark.parametrize("list_rows, block_grams", [(32, 2_000_000), (2, 20_000)])
+def test_ngram_join(spark, sf, texts, list_rows, block_grams):
+    got = {r.doc_id: r for r in ngram_join.join(documents(spark, sf), 4, 85, list_rows, block_grams).collect()}
     sets = {k: plain_shingles(t, 4) for k, t in texts.items()}
     want = plain_components(sets, 85)
     assert {k: r.n_shingles for k, r in got.items()} == {k: len(s) for k, s in sets.items()}
     assert {k: r.component_id for k, r in got.items()} == want
 
 
-@pytest.mark.parametrize("family_rows", [4000, 8])
-def test_near_copies_at_the_threshold(spark, family_rows):
+@pytest.mark.parametrize("list_rows", [32, 4])
+def test_near_copies_at_the_threshold(spark, list_rows):
     import random
 
     rng = random.Random(5)
@@ -218,45 +220,110 @@ def test_near_copies_at_the_threshold(spark, family_rows):
         docs.append((i, " ".join(w[: rng.randrange(80, 91)])))
     docs += [(100 + i, " ".join(base[:i])) for i in range(1, 12)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.join(df, 5, 80, family_rows).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.join(df, 5, 80, list_rows).collect()}
     assert got == plain_components({k: plain_shingles(t, 5) for k, t in docs}, 80)
 
 
+def set_rows(spark, arrays):
+    """Rows as incidence() gives them, in the order of an index made in plain Python; only those with a shared column in their prefix."""
+    seen = collections.Counter(g for a in arrays for g in a)
+    out = []
+    for node, a in enumerate(arrays):
+        n, shared = len(a), sorted((g for g in a if seen[g] > 1), key=lambda g: (seen[g], g))
+        prefix = n - -(-80 * n // 100) + 1 - (n - len(shared))
+        if prefix > 0:
+            out.append((node, n, min(prefix, len(shared)), n - len(shared), shared))
+    return spark.createDataFrame(out, ngram_join.ROWS)
+
+
 def star(start, leaves):
     """A hub and leaves that reach 80 % with the hub only."""
-    hub = start + np.arange(100, dtype=np.uint64)
-    return [hub] + [np.concatenate([hub, start + np.arange(1000 + 25 * i, 1025 + 25 * i, dtype=np.uint64)]) for i in range(leaves)]
+    hub = [start + i for i in range(100)]
+    return [hub] + [hub + [start + 1000 + 25 * i + k for k in range(25)] for i in range(leaves)]
+
+
+def component_labels(spark, arrays, list_rows):
+    found = {r.u: r.label for r in ngram_join.links(set_rows(spark, arrays), 80, list_rows).collect()}
+    return {i: found.get(i, i) for i in range(len(arrays))}
 
 
-@pytest.mark.parametrize("hub", range(60))
-def test_a_star_is_one_component(hub):
-    arrays = star(np.uint64(1), 59)
+@pytest.mark.parametrize("hub, list_rows", [(0, 8), (59, 8), (30, 100)])
+def test_a_star_is_one_component(spark, hub, list_rows):
+    arrays = star(1, 59)
     arrays.insert(hub, arrays.pop(0))
-    assert set(ngram_join.group_components(arrays, 80)) == {0}
+    assert set(component_labels(spark, arrays, list_rows).values()) == {0}
 
 
-def test_components_that_overtake_each_other():
-    for seed in range(10):
-        arrays = [a for k, n in enumerate((40, 44, 20, 3)) for a in star(np.uint64(1 + 100_000 * k), n)]
-        order = np.random.default_rng(seed).permutation(len(arrays))
-        arrays = [arrays[i] for i in order]
-        want = plain_components({i: frozenset(a.tolist()) for i, a in enumerate(arrays)}, 80)
-        assert dict(enumerate(ngram_join.group_components(arrays, 80))) == want
+def test_components_of_several_stars_that_share_a_passage(spark):
+    passage = list(range(10**7, 10**7 + 3))
+    arrays = [a + passage for k, n in enumerate((40, 44, 20, 3)) for a in star(1 + 100_000 * k, n)]
+    order = np.random.default_rng(1).permutation(len(arrays))
+    arrays = [arrays[i] for i in order]
+    assert component_labels(spark, arrays, 8) == plain_components({i: frozenset(a) for i, a in enumerate(arrays)}, 80)
 
 
-def test_pairs_agree_in_a_block():
-    """The bound behind the join: any pair at the threshold shares a key."""
+def test_products_drop_only_pairs_below_the_bound():
     rng = np.random.default_rng(3)
-    for percent in (80, 85):
-        scheme = ngram_join.Scheme(percent)
-        for _ in range(400):
-            n = int(rng.integers(1, 60 if rng.random() < 0.5 else 600))
-            a = rng.integers(0, 2**63, n, dtype=np.uint64)
-            keep = a[: max(1, int(n - rng.integers(0, n // 8 + 2)))]
-            b = np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, n // 10 + 1)), dtype=np.uint64)])
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                assert set(scheme.keys(a).tolist()) & set(scheme.keys(b).tolist())
+    for _ in range(60):
+        n = int(rng.integers(1, 300))
+        left = np.sort(rng.choice(10**6, n, False))
+        rights = []
+        for _ in range(20):
+            kept = left[rng.random(n) > rng.random() * 0.3]
+            rights.append(np.sort(np.union1d(kept, rng.choice(10**6, int(rng.integers(0, n // 5 + 2)), False))))
+        sizes = np.array([len(r) for r in rights])
+        got = ngram_join.overlaps(left, np.concatenate(rights), np.concatenate([[0], np.cumsum(sizes)]), sizes, n, 80, step=16)
+        for r, o in zip(rights, got):
+            both = len(np.intersect1d(left, r))
+            assert o == (both if 100 * both >= 80 * (n + len(r) - both) else -1)
+
+
+@pytest.mark.parametrize("edges_per_task", [200_000, 40])
+def test_components(spark, edges_per_task):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, 1000 + i) for i in range(1, 90)] + [(2000 + i, 2001 + i) for i in range(70)] + [(5, 5)]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = {r.u: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long"), edges_per_task).collect()}
+    assert got == {i: find(i) for i in up if find(i) != i}
+
+
+def test_hot_keys_are_looked_up_alike(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 4 if i % 4 < 3 else None, i) for i in range(40)] + [(9, 99), (2, 100)], "k long, x long")
+    table = spark.createDataFrame([(0, "a", 10), (1, "b", 10), (9, "c", 1)], "k long, y string, _n long")
+    want = sorted(((r.k, r.x, {0: "a", 1: "b", 9: "c"}.get(r.k)) for r in rows.collect()), key=str)
+    assert sorted((tuple(r) for r in common.looked_up(rows, table, "k").select("k", "x", "y").collect()), key=str) == want
+    assert common.looked_up(rows, table, "k", "inner").count() == sum(w[2] is not None for w in want)
+
+
+def test_a_thousand_near_copies_without_ids(spark):
+    base = [f"w{i}" for i in range(120)]
+    docs = [(None, " ".join([*base[: i % 120], f"v{i}", *base[i % 120 + 1 :]])) for i in range(1000)] + [(7, " ".join(base)), (8, "other words here")]
+    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()
+    assert collections.Counter(r.component_id for r in got) == {7: 1001, 8: 1}
+    kept = ngram_join.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [7, 8]
+
+
+def test_word_hashes_of_odd_texts():
+    odd = ["", " ", "a", "A b", "a\x0bb c\x1cd", "\u00e9\u00c9 \u00e9\u00c9 x", "w " * 50, "x" * 3000, "tail   ", "a b c d e f g"]
+    for segment in (1 << 20, 8):
+        wordhash.SEGMENT_BYTES, before = segment, wordhash.SEGMENT_BYTES
+        grams, starts = wordhash.shingle_sets(pa.array(odd), 4)
+        wordhash.SEGMENT_BYTES = before
+        assert np.diff(starts).tolist() == [len(plain_shingles(t, 4)) for t in odd]
+        if segment == 8:
+            assert np.array_equal(grams, first)
+        first = grams
 
 
 def plain_targets(source_sizes):
