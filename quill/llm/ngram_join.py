@@ -46,7 +46,7 @@ PIVOT_ROUNDS = 2
 BATCH_BYTES = 4_000_000
 BATCH_ROWS = 60_000
 #: N-grams of a column block, about.
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 1_000_000
 #: An n-gram of so many rows of a batch is sent as one count.
 BATCH_HOT = 64
 #: Candidates of a row that one task multiplies with it, about; columns of a step of the product.
