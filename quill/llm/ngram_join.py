@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, looked_up, stored, whole_text
 from .components import components
-from .wordhash import digests, shingle_sets, text_bytes
+from .wordhash import digests, runs, shingle_sets
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -44,7 +44,6 @@ PIVOTS = 8
 PIVOT_ROUNDS = 2
 #: Bytes of text, and n-grams of a batch of rows, that a scan task holds at once (one text at least).
 BATCH_BYTES = 4_000_000
-BATCH_ROWS = 60_000
 #: N-grams of a column block, about.
 BLOCK_GRAMS = 1_000_000
 #: An n-gram of so many rows of a batch is sent as one count.
@@ -57,17 +56,6 @@ BROADCAST_ROWS = 500_000
 KEY_BITS = np.uint64((1 << 48) - 1)
 
 
-def runs(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts with at most `most` bytes, one text at least, and BATCH_ROWS texts at most."""
-    ends = text_bytes(column)[1]
-    first = 0
-    while first < len(column):
-        end = int(np.searchsorted(ends, ends[first] + most, "right")) - 1
-        end = min(max(end, first + 1), first + BATCH_ROWS, len(column))
-        yield first, end
-        first = end
-
-
 # ---- rows --------------------------------------------------------------------
 
 

@@ -147,8 +147,9 @@ def _pack_partition(path: str, window: int, end_id: int):
         end = np.array([end_id], enc.dtype)
         for batch in arrow:
             ids_of = batch.column(0).to_pylist()
-            for doc_id, raw in zip(ids_of, enc.encode(batch.column(1).to_pylist())):
-                ids = np.concatenate([np.frombuffer(raw, enc.dtype), end])
+            found, ends = enc.encode_column(batch.column(1))
+            for doc_id, a, b in zip(ids_of, ends[:-1].tolist(), ends[1:].tolist()):
+                ids = np.concatenate([found[a:b], end])
                 whole = len(ids) // window * window
                 for first in range(0, whole, window):
                     close([((doc_id, first, ids[first : first + window], len(ids)), window)])

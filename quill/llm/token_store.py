@@ -200,17 +200,18 @@ def _write_shards(folder: str, path: str, end_id: int, width: int):
         end = np.array([end_id], enc.dtype).tobytes()
         out, at, last, ordinal, body = None, 0, None, 0, None
         for batch in arrow:
-            ids, nulls, texts = (batch.column(i).to_pylist() for i in range(3))
+            ids, nulls = (batch.column(i).to_pylist() for i in range(2))
             if not ids:
                 continue
             if out is None:
                 out = _Out(folder, f"body-{shard:08d}")
             rows = []
-            for doc_id, is_null, raw in zip(ids, nulls, enc.encode(texts)):
+            found, ends = enc.encode_column(batch.column(2))
+            for doc_id, is_null, a, b in zip(ids, nulls, ends[:-1].tolist(), ends[1:].tolist()):
                 ordinal = ordinal + 1 if last == (doc_id, is_null) else 0
                 last = (doc_id, is_null)
-                n = len(raw) // width + 1
-                out.write(raw)
+                n = b - a + 1
+                out.write(found[a:b].tobytes())
                 out.write(end)
                 rows.append((doc_id, is_null, ordinal, shard, at, n))
                 at += n

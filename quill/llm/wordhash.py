@@ -7,12 +7,16 @@ word's sum by one subtraction. Words are cut at \\x20 and \\x09-\\x0D.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Bytes looked at together; a longer word is looked at whole.
 SEGMENT_BYTES = 1 << 20
+#: Texts looked at together, at most: their numbers fit 16 bits.
+RUN_TEXTS = 60_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -27,7 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+#: A random number for each byte; in _VALUE, A-Z have those of a-z.
+BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_VALUE = BYTE_VALUE.copy()
 _VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
 
 
@@ -55,34 +61,51 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of all texts, words before each text and all words)."""
-    raw, ends = text_bytes(column)
+def runs(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts with at most `most` bytes, one text at least, and RUN_TEXTS texts at most."""
+    ends = text_bytes(column)[1]
+    first = 0
+    while first < len(column):
+        end = int(np.searchsorted(ends, ends[first] + most, "right")) - 1
+        end = min(max(end, first + 1), first + RUN_TEXTS, len(column))
+        yield first, end
+        first = end
+
+
+def word_places(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte behind the last) of all words of texts that follow one another; ends: text_bytes()."""
     n = len(raw)
     gap = _SPACE[raw]
     opens = np.zeros(n + 1, bool)
     opens[ends] = True
-    word = ~gap
-    starts = word.copy()
+    starts, stops = ~gap, ~gap
     starts[1:] &= gap[:-1] | opens[1:n]
-    stops = word
-    if n:
-        stops = word.copy()
-        stops[:-1] &= gap[1:] | opens[1:n]
-    first, last = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    stops[:-1] &= gap[1:] | opens[1:n]
+    return np.flatnonzero(starts), np.flatnonzero(stops) + 1
+
+
+def place_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces raw[first:last], which are in order; values: a random number for each byte."""
     out = np.empty(len(first), np.uint64)
     at = 0
     while at < len(first):
-        # As many words as fit the segment, one at least.
+        # As many pieces as fit the segment, one at least.
         end = max(at + 1, int(np.searchsorted(last, first[at] + SEGMENT_BYTES, "right")))
         a, b = first[at], last[end - 1]
         up, down = _POWERS.of(max(SEGMENT_BYTES, int(b - a)))
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_VALUE[raw[a:b]] * up[: b - a], out=sums[1:])
+        np.cumsum(values[raw[a:b]] * up[: b - a], out=sums[1:])
         s = first[at:end] - a
         out[at:end] = (sums[last[at:end] - a] - sums[s]) * down[s]
         at = end
-    return mix(out), np.searchsorted(first, ends)
+    return mix(out)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts, words before each text and all words)."""
+    raw, ends = text_bytes(column)
+    first, last = word_places(raw, ends)
+    return place_hashes(raw, first, last, _VALUE), np.searchsorted(first, ends)
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
