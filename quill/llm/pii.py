@@ -1,10 +1,11 @@
 """PII: exact base patterns, and a linear-chain conditional random field over word shapes for the rest.
 
 The field is trained at first use from the small labelled table below (forward
-and backward sums, Adam) and decoded by Viterbi in numpy batches. Sequences are
-cut out around tokens that hold a digit or one of @ = + _, with the words about
-them; everywhere else the field has no evidence to go by. Whole texts are
-searched, in one pass over the scan partitions without a shuffle.
+and backward sums, Adam) and decoded by Viterbi over every word of every text,
+in numpy batches: different words are looked at once, their parts of the scores
+are gathered by place, and all chains of a batch take each step together. Long
+texts are decoded in windows that overlap; a window's edges are left to its
+neighbours. One pass over the scan partitions, without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, whole_text
+from .wordhash import BYTE_VALUE, place_hashes, runs, text_bytes, word_places
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-CONTEXT_CHARS = 60
-#: Tokens whose scores are held at once, unless one sequence has more; no sequence is cut.
-DECODE_TOKENS = 50_000
-FEATURE_TOKENS = 1000
+#: Words of a window, and of its overlap with the windows on both sides.
+WINDOW = 256
+OVERLAP = 32
+#: Bytes of text looked at together, one text at least; different words kept with their features.
+BATCH_BYTES = 2_000_000
+KNOWN_WORDS = 2_000_000
 STEPS = 200
 RATE = 0.1
 PENALTY = 0.002
@@ -81,6 +85,34 @@ between 1914 and 1918 the town had 65536 people
 from 10 to 20 or 30 of the 40 left
 order 7741 of 15 boxes, 230 kg
 a ratio of 16:9 and 1920x1080 dots
+password: {secret|sunrise} for the guest
+the password is: {secret|Tr0ub4dor} until Monday
+Password = {secret|hunter2Xk9} in the file
+passwd={secret|letmein2020} on that host
+secret: {secret|blue-horse-42} as agreed
+my token: {secret|zx81kq72mw} works
+then their password: {secret|elephant} came by post
+with password = {secret|orchid} it opens at once
+enter passwd: {secret|maple} in the box
+and the token = {secret|riverbank} too
+key = {secret|9f8e7d6c5b4a} of the box
+the password of the house was lost long ago
+a secret is a secret: nobody told the others
+the key to the door and a token of love
+he said: nobody knows the answer
+note: the list = the sum of all parts
+The quick brown fox jumps over the lazy dog near the old bridge.
+She said, "we will not go there again," and closed the door.
+Nobody knew why Mr. Brown's well-known house on Hill Street stood empty; perhaps it was haunted!
+Le chat noir dort sur la chaise, et la fenêtre reste ouverte.
+L'été dernier, Élise a visité Orléans; c'était très agréable.
+Der Mann ging über die Brücke, und die Kinder spielten im Garten.
+Größere Häuser stehen an der Straße nach München.
+El niño corrió hacia la montaña; ¿quién abrió la puerta?
+La señora García compró pan, leche y huevos en el mercado.
+NOTE: THIS TEXT IS IN CAPITALS AND MEANS NOTHING AT ALL
+click here | home | about us | contact | terms of use
+http://www.example.org/path/page.html and more at example.com
 """
 
 
@@ -136,9 +168,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- features ----------------------------------------------------------------
 
-_TOKEN = re.compile(r"\S+")
-_SIGNAL = re.compile(r"[0-9@=+_]+")
-_SPACE = re.compile(r"\s")
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = "\"'()[]{}<>,;:.!?|"
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
@@ -150,7 +180,6 @@ def shape(word: str) -> str:
     return re.sub(r"[0-9]+", "9", out)[:12]
 
 
-@lru_cache(maxsize=100_000)
 def word_features(word: str) -> tuple[str, ...]:
     core = word.strip(_TRIM)
     length = min(6, len(core) // 4)
@@ -171,20 +200,25 @@ def word_features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-@lru_cache(maxsize=100_000)
-def near_features(word: str) -> tuple[str, str]:
+def near_features(word: str) -> tuple[str, ...]:
+    """What a word tells of its neighbours."""
     core = word.strip(_TRIM).lower()
-    return shape(core), core if len(core) <= 12 and core.isascii() else "-"
+    name = core if len(core) <= 12 and core.isascii() else "-"
+    mark = word[-1] if word and word[-1] in ":=" else ""
+    return (f"s={shape(core)}", f"w={name}", f"m={mark}", f"wm={name}{mark}")
 
 
-def features(words: list[str], first: int = 0, last: int | None = None) -> list[list[str]]:
-    """The features of words first to last, which see their neighbours beyond these."""
+#: Where a neighbour stands, by the prefix of its features.
+NEIGHBOURS = (("p", -1), ("q", -2), ("f", 1))
+
+
+def features(words: list[str]) -> list[list[str]]:
+    """The features of each word: its own, and those of the words about it."""
     out = []
-    for i, w in enumerate(words[first:last], first):
+    for i, w in enumerate(words):
         f = ["b", *word_features(w)]
-        for name, j in (("p", i - 1), ("q", i - 2), ("f", i + 1)):
-            s, core = near_features(words[j]) if 0 <= j < len(words) else ("", "")
-            f += [f"{name}s={s}", f"{name}w={core}"]
+        for name, step in NEIGHBOURS:
+            f += [name + x for x in near_features(words[i + step] if 0 <= i + step < len(words) else "")]
         out.append(f)
     return out
 
@@ -210,47 +244,115 @@ def _allowed() -> np.ndarray:
     return out
 
 
+FREE = [i for i, s in enumerate(STATES) if not s.startswith("I-")]
+INNER = [i for i, s in enumerate(STATES) if s.startswith("I-")]
+
+
 class Field:
+    """A trained field. Words are known by two numbers: those of their own features and of what they tell of neighbours."""
+
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.names, self.emit, self.move, self.start = names, emit, move, start
-
-    def emissions(self, rows: list[list[str]]) -> np.ndarray:
-        names, out = self.names, np.zeros((len(rows), len(STATES)))
-        for i, row in enumerate(rows):
-            ids = [names[f] for f in row if f in names]
-            out[i] = self.emit[ids].sum(axis=0)
-        return out
-
-    def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Best states of each sequence of emissions; sequences of like length share a batch."""
-        out: list = [None] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        first = 0
-        while first < len(order):
-            end = first + 1
-            while end < min(len(order), first + 256) and (end + 1 - first) * len(sequences[order[end]]) <= DECODE_TOKENS:
-                end += 1
-            group, first = order[first:end], end
-            lengths = np.array([len(sequences[i]) for i in group])
-            t_max = int(lengths.max())
-            e = np.zeros((len(group), t_max, len(STATES)))
-            for row, i in enumerate(group):
-                e[row, : lengths[row]] = sequences[i]
-            best = self.start + e[:, 0]
-            back = np.zeros((len(group), t_max, len(STATES)), np.int8)
-            for t in range(1, t_max):
-                through = best[:, :, None] + self.move
-                back[:, t] = through.argmax(axis=1)
-                step = through.max(axis=1) + e[:, t]
-                best = np.where((t < lengths)[:, None], step, best)
-            state = best.argmax(axis=1)
-            paths = np.zeros((len(group), t_max), np.int64)
-            for t in range(t_max - 1, -1, -1):
-                paths[:, t] = state
-                inside = (t < lengths) & (t > 0)
-                state = np.where(inside, back[np.arange(len(group)), t, state], state)
-            for row, i in enumerate(group):
-                out[i] = paths[row, : lengths[row]]
+        self.keys = np.zeros(0, np.uint64)
+        self.numbers = np.zeros((0, 2), np.int32)
+        self.sets: tuple[dict, dict] = ({}, {})
+        self.tables: list[list] = [[], *([] for _ in NEIGHBOURS)]
+        self.arrays: list[np.ndarray] = []
+        self.cores = {f.partition("=")[2] for f in names if f[1:].startswith(("w=", "wm="))}
+        self.plain: dict[tuple, tuple[int, int]] = {}
+        self.nothing = self._number("")[1]
+
+    def _row(self, prefix: str, features: tuple[str, ...]) -> np.ndarray:
+        ids = [self.names[f] for f in (prefix + x for x in features) if f in self.names]
+        return self.emit[ids].sum(axis=0)
+
+    def _number(self, word: str) -> tuple[int, int]:
+        """Words of small letters, most of all, differ only in length, closing mark and whether their name has a weight."""
+        core = word.strip(_TRIM)
+        if not (core.isalpha() and core.islower()):
+            return self._number_of(word)
+        mark = word[-1] if word[-1] in ":=" else ""
+        kind = (min(6, len(core) // 4), core if core in self.cores or core + mark in self.cores else len(core) <= 12 and core.isascii(), mark)
+        if kind not in self.plain:
+            self.plain[kind] = self._number_of(word)
+        return self.plain[kind]
+
+    def _number_of(self, word: str) -> tuple[int, int]:
+        own = tuple(f for f in ("b", *word_features(word)) if f in self.names)
+        near = tuple(f for f in near_features(word) if any(name + f in self.names for name, _ in NEIGHBOURS))
+        for known, found, tables in ((self.sets[0], own, [("", 0)]), (self.sets[1], near, [(name, k) for k, (name, _) in enumerate(NEIGHBOURS, 1)])):
+            if found not in known:
+                known[found] = len(known)
+                for prefix, k in tables:
+                    self.tables[k].append(self._row(prefix, found))
+                self.arrays = []
+        return self.sets[0][own], self.sets[1][near]
+
+    def number(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The two numbers of each word raw[first:last]."""
+        coded = pa.array(place_hashes(raw, first, last, BYTE_VALUE) ^ (last - first).astype(np.uint64)).dictionary_encode()
+        codes, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        out = np.zeros((len(keys), 2), np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        there = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out[there] = self.numbers[at[there]]
+        new = np.flatnonzero(~there)
+        if len(new):
+            where = np.empty(len(keys), np.int64)
+            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            data = raw.tobytes()
+            words = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist())]
+            out[new] = [self._number(w) for w in words]
+            if len(self.keys) < KNOWN_WORDS:
+                order = new[np.argsort(keys[new])]
+                place = np.searchsorted(self.keys, keys[order])
+                self.keys = np.insert(self.keys, place, keys[order])
+                self.numbers = np.insert(self.numbers, place, out[order], axis=0)
+        return out[codes]
+
+    def decode(self, numbers: np.ndarray, starts: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP) -> np.ndarray:
+        """The best state of each word of texts that follow one another; starts: words before each text and all words."""
+        if not self.arrays:
+            self.arrays = [np.array(t, np.float32).T.copy() for t in self.tables]
+        own, near = numbers[:, 0], numbers[:, 1]
+        text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        beside = []
+        for _, step in NEIGHBOURS:
+            other = np.arange(len(own)) + step
+            safe = np.clip(other, 0, max(0, len(own) - 1))
+            beside.append(np.where((other == safe) & (text[safe] == text), near[safe], self.nothing))
+        # Windows of all texts, the longest first: those that still run at a step are the first ones.
+        count = -(-np.diff(starts) // window)
+        of = np.repeat(np.arange(len(count)), count)
+        middle = starts[of] + (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * window
+        first, end = np.maximum(middle - overlap, starts[of]), np.minimum(middle + window + overlap, starts[of + 1])
+        order = np.argsort(first - end, kind="stable")
+        first, end, middle, stop = first[order], end[order], middle[order], np.minimum(middle + window, starts[of + 1])[order]
+        length = end - first
+        running = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]) if len(length) else 0)]
+        move, scores = self.move.astype(np.float32), []
+        for t, k in enumerate(running):
+            at = first[:k] + t
+            e = self.arrays[0][:, own[at]]
+            for table, b in zip(self.arrays[1:], beside):
+                e += table[:, b[at]]
+            if t == 0:
+                e += self.start.astype(np.float32)[:, None]
+            else:
+                best = scores[-1][:, :k]
+                for j in FREE:
+                    e[j] += (best + move[:, j, None]).max(axis=0)
+                for j in INNER:  # behind its own B- or I- only
+                    e[j] += np.maximum(best[j - 1] + move[j - 1, j], best[j] + move[j, j])
+            scores.append(e)
+        out, state = np.zeros(len(own), np.int8), np.zeros(0, np.int64)
+        for t in range(len(running) - 1, -1, -1):
+            total = scores[t]
+            total[:, : len(state)] += move[:, state]
+            state = total.argmax(axis=0)
+            at = first[: running[t]] + t
+            inside = (at >= middle[: running[t]]) & (at < stop[: running[t]])
+            out[at[inside]] = state[inside]
         return out
 
 
@@ -319,84 +421,52 @@ def trained(table: str = LABELLED, steps: int = STEPS, rate: float = RATE, penal
 # ---- spans -------------------------------------------------------------------
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text about tokens with a signal, cut between words."""
-    out: list[list[int]] = []
-    for m in _SIGNAL.finditer(text):
-        a, b = max(0, m.start() - CONTEXT_CHARS), min(len(text), m.end() + CONTEXT_CHARS)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """The spans that the field finds in each text."""
+    column = pa.array(texts, pa.large_string())
+    out: list[list] = []
+    for lo, hi in runs(column, BATCH_BYTES):
+        out += _run_spans(field, column.slice(lo, hi - lo))
+    return [_trimmed(text, spans) for text, spans in zip(texts, out)]
+
+
+def _run_spans(field: Field, column: pa.Array) -> list[list]:
+    raw, ends = text_bytes(column)
+    first, last = word_places(raw, ends)
+    starts = np.searchsorted(first, ends)
+    states = field.decode(field.number(raw, first, last), starts)
+    out: list[list] = [[] for _ in range(len(column))]
+    found = np.flatnonzero(states)
+    text = np.searchsorted(starts, found, "right") - 1
+    last_word, span = -2, None
+    for w, i, name in zip(found.tolist(), text.tolist(), [STATES[s] for s in states[found].tolist()]):
+        if name.startswith("B-"):
+            span = [name[2:], first[w], last[w]]
+            out[i].append(span)
+        elif span and w == last_word + 1:
+            span[2] = last[w]
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """(start, end) of the tokens of each region, all of them in one sequence."""
-    out, free = [], 0
-    for a, b in regions(text):
-        # Words at the edges are taken whole.
-        a = max(a, free)
-        if a > free and not text[a - 1].isspace() and not text[a].isspace():
-            m = _SPACE.search(text, a, b)
-            lead = text[a : m.start() if m else b]
-            if _SIGNAL.search(lead):
-                a = max(free, 1 + max(text.rfind(c, free, a) for c in " \n\t\r"))
-            else:
-                a = m.end() if m else b
-        m = _SPACE.search(text, b)
-        b = m.start() if m else len(text)
-        tokens = [t.span() for t in _TOKEN.finditer(text, a, b)]
-        free = b
-        if tokens:
-            out.append(tokens)
+            span = None
+        last_word = w
+    for i in sorted({int(x) for x in text}):
+        a = ends[i]
+        places = np.cumsum((raw[a : ends[i + 1]] & 0xC0) != 0x80)
+        # A byte's place in code points: the characters that begin before it.
+        out[i] = [(kind, int(places[x - a]) - 1, int(places[y - a - 1])) for kind, x, y in out[i]]
     return out
 
 
-def _paths(field: Field, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int]], np.ndarray]]:
-    """(text, tokens, best states) of each sequence of each text."""
-    where, scores, held = [], [], 0
-    for i, text in enumerate(texts):
-        for tokens in sequences(text):
-            words = [text[a:b] for a, b in tokens]
-            parts = [field.emissions(features(words, k, k + FEATURE_TOKENS)) for k in range(0, len(words), FEATURE_TOKENS)]
-            where.append((i, tokens))
-            scores.append(np.concatenate(parts))
-            held += len(words)
-            if held >= DECODE_TOKENS:
-                for (j, run), path in zip(where, field.decode(scores)):
-                    yield j, run, path
-                where, scores, held = [], [], 0
-    for (j, run), path in zip(where, field.decode(scores)):
-        yield j, run, path
-
-
-def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The spans that the field finds in each text."""
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, tokens, path in _paths(field, texts):
-        text, last = texts[i], None
-        for (a, b), state in zip(tokens, path.tolist()):
-            name = STATES[state]
-            if name.startswith("B-"):
-                last = [name[2:], a, b]
-                out[i].append(last)
-            elif name != "O" and last:
-                last[2] = b
-            else:
-                last = None
-    for i, text in enumerate(texts):
-        trimmed = []
-        for kind, a, b in out[i]:
-            if kind == "secret":
-                a += text[a:b].rfind("=", 0, b - a - 1) + 1
-            while a < b and text[a] in _TRIM and not (kind == "phone" and text[a] in "(+"):
-                a += 1
-            while b > a and text[b - 1] in _TRIM:
-                b -= 1
-            if a < b and (kind != "card" or luhn(re.sub(r"[^0-9]", "", text[a:b]))):
-                trimmed.append((kind, a, b))
-        out[i] = trimmed
+def _trimmed(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    out = []
+    for kind, a, b in spans:
+        if kind == "secret":
+            a += text[a:b].rfind("=", 0, b - a - 1) + 1
+        while a < b and text[a] in _TRIM and not (kind == "phone" and text[a] in "(+"):
+            a += 1
+        while b > a and text[b - 1] in _TRIM:
+            b -= 1
+        if a < b and (kind != "card" or luhn(re.sub(r"[^0-9]", "", text[a:b]))):
+            out.append((kind, a, b))
     return out
 
 
@@ -421,25 +491,42 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 def _batches(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, list[str]]]:
     texts = batch.column(name).to_pylist()
-    for first in range(0, len(texts), 500):
-        yield first, texts[first : first + 500]
+    for first in range(0, len(texts), 2000):
+        yield first, texts[first : first + 2000]
 
 
-def _find(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FIELDS: dict[bytes, Field] = {}
+
+
+def _sent() -> tuple:
+    """What a worker needs of the trained field."""
     field = trained()
+    return field.names, field.emit, field.move, field.start
+
+
+def _field(sent: tuple) -> Field:
+    """One field per Python worker, which keeps the words it has met; a worker serves many tasks."""
+    key = hashlib.sha256(sent[1].tobytes() + sent[2].tobytes()).digest()
+    if key not in _FIELDS:
+        _FIELDS[key] = Field(*sent)
+    return _FIELDS[key]
+
+
+def _find(sent: tuple, arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    field = _field(sent)
     for batch in arrow:
         rows = []
         for _, texts in _batches(batch, "text"):
             for base, spans in all_spans(field, texts):
                 counts = [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
-                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-        types = [pa.int64()] * 4 + [pa.string()] * 2
-        columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), sum(k == "secret" for k, _, _ in spans), len(spans)))
+        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+        columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 8, types)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_spans"])
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: counts and digest of the base spans, and all spans.
+    """One row per row of docs: counts and digest of the base spans, all spans, and how many of them are secrets and in all.
 
     A null text is empty and has none. Repeated rows and repeated or null
     doc_ids are rows of their own. An empty table gives no rows. Other columns
@@ -448,15 +535,15 @@ def find(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id").schema
     for name in ("n_email", "n_ip", "n_card", "n_phone"):
         schema = schema.add(name, "long")
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(_find, schema.add("base_sha256", "string").add("spans", "string"))
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(partial(_find, _sent()), schema.add("base_sha256", "string").add("spans", "string").add("n_secret", "long").add("n_spans", "long"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; the same columns, n_chars counted anew. Null texts stay null."""
-    names = docs.columns
+    names, sent = docs.columns, _sent()
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = trained()
+        field = _field(sent)
         for batch in arrow:
             at = batch.schema.get_field_index("text")
             new: list = []
