@@ -43,33 +43,37 @@ def shifted(b: Column, dx: Column, dy: Column) -> Column:
     return box(b["xmin"] + dx, b["ymin"] + dy, b["xmax"] + dx, b["ymax"] + dy)
 
 
-def ring_shifted(ring: Column, dx: Column, dy: Column) -> Column:
-    return F.transform(ring, lambda p: F.struct((p.x + dx).alias("x"), (p.y + dy).alias("y")))
+#: The text of a translation, and of a number.
+TRANSLATE = r"translate\(\s*([-\d.+eE]+)(?:[,\s]+([-\d.+eE]+))?\s*\)"
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
 
 
-def ring_area(ring: Column) -> Column:
-    """Shoelace area of a simple ring."""
-    n = F.size(ring)
-    cross = F.transform(ring, lambda p, i: p.x * F.get(ring, (i + 1) % n).y - F.get(ring, (i + 1) % n).x * p.y)
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+def number(text: Column) -> Column:
+    """The double that a text spells, or null. A plain cast would also take a type letter, as in 1d."""
+    return F.when(text.rlike(NUMBER), F.btrim(text).try_cast("double"))
 
 
 def parse_translate(transform: Column) -> Column:
-    """STRUCT<tx,ty> of the first translate(x[,y]); without a proper one, zeros."""
-    inner = F.regexp_extract(F.coalesce(transform, F.lit("")), r"translate\(\s*([^)]*)\)", 1)
-    parts = F.filter(F.split(F.btrim(inner), r"[\s,]+"), lambda p: p != "")
-    x, y = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
-    good = x.isNotNull() & ((F.size(parts) < 2) | y.isNotNull())
-    return F.struct(F.when(good, x).otherwise(0.0).alias("tx"), F.when(good, F.coalesce(y, F.lit(0.0))).otherwise(0.0).alias("ty"))
+    """STRUCT<tx,ty> of the first place that reads as translate(x) or translate(x, y); zeros without one, or if a part is no number."""
+    text = F.coalesce(transform, F.lit(""))
+    x, second = number(F.regexp_extract(text, TRANSLATE, 1)), F.regexp_extract(text, TRANSLATE, 2)
+    y = F.when(second == "", F.lit(0.0)).otherwise(number(second))
+    good = x.isNotNull() & y.isNotNull()
+    return F.struct(F.when(good, x).otherwise(0.0).alias("tx"), F.when(good, y).otherwise(0.0).alias("ty"))
 
 
 def dimensions(view_box: Column, width: Column, height: Column) -> Column:
-    """STRUCT<w,h>: of a viewBox with four blank-separated parts, else of width and height less px and pt, else 1."""
-    parts = F.split(F.btrim(F.coalesce(view_box, F.lit(""))), r"\s+")
+    """STRUCT<w,h> of a viewBox with four blank-separated parts, whose fourth counts only behind a good third.
 
-    def side(part: int, attribute: Column) -> Column:
-        of_box = F.when(F.size(parts) == 4, F.get(parts, F.lit(part)).try_cast("double"))
-        own = F.replace(F.replace(F.coalesce(attribute, F.lit("")), F.lit("px"), F.lit("")), F.lit("pt"), F.lit("")).try_cast("double")
-        return F.when(F.coalesce(of_box, F.lit(1.0)) > 1.0, of_box).otherwise(F.coalesce(own, F.lit(1.0)))
+    A side that is then missing or 1 at most is taken from its own attribute, less px and pt, if that is a number; 1 is the last resort.
+    """
+    parts = F.split(F.btrim(F.coalesce(view_box, F.lit("")), F.lit(" \t\n\r\f\x0b")), r"\s+")
+    of_box = [F.when(F.size(parts) == 4, number(F.get(parts, F.lit(k)))) for k in (2, 3)]
+    of_box[1] = F.when(of_box[0].isNotNull(), of_box[1])
 
-    return F.struct(side(2, width).alias("w"), side(3, height).alias("h"))
+    def side(first: Column, attribute: Column) -> Column:
+        first = F.coalesce(first, F.lit(1.0))
+        own = number(F.replace(F.replace(F.coalesce(attribute, F.lit("")), F.lit("px"), F.lit("")), F.lit("pt"), F.lit("")))
+        return F.when(first <= 1.0, F.coalesce(own, first)).otherwise(first)
+
+    return F.struct(side(of_box[0], width).alias("w"), side(of_box[1], height).alias("h"))

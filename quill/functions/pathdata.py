@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import cmath
 import math
+import decimal
 import re
+from functools import lru_cache
 
 _COMMAND = re.compile(r"[MmZzLlHhVvCcSsQqTtAa]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
+#: Fixed value: what counts as a number when path data is rounded.
 _NUMBER = re.compile(r"-?\d+\.?\d*")
 _ARGS = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7, "Z": 0}
 _JUNK = re.compile(r"[^\s,MmZzLlHhVvCcSsQqTtAa0-9eE.+-]")
@@ -240,17 +243,19 @@ def write(segments: list[tuple]) -> str:
     return " ".join(out)
 
 
-def round_numbers(d: str, precision: int) -> str:
-    """Every run of digits with an optional sign and point, rounded half to even on its exact value, without trailing zeros."""
+#: Digits that the largest double needs, and its smallest fraction.
+_EXACT = decimal.Context(prec=1200, rounding=decimal.ROUND_HALF_EVEN)
+
 
-    def one(m: re.Match) -> str:
-        value = round(float(m[0]), precision)
-        if precision <= 0:
-            return str(int(value))
-        text = f"{value:.{precision}f}"
-        return text.rstrip("0").rstrip(".")
+@lru_cache(maxsize=50_000)
+def _rounded(number: str, precision: int) -> str:
+    near = _EXACT.quantize(decimal.Decimal(float(number)), decimal.Decimal((0, (1,), -precision)))
+    return f"{near.normalize(_EXACT):f}" if precision > 0 else str(int(near))
 
-    return _NUMBER.sub(one, d)
+
+def round_numbers(d: str, precision: int) -> str:
+    """Every run of digits with an optional sign and point, rounded half to even on its exact value, without trailing zeros."""
+    return _NUMBER.sub(lambda found: _rounded(found[0], precision), d)
 
 
 def simplified(d: str, precision: int, tolerance: float, enabled: bool = True) -> str:

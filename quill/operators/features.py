@@ -19,7 +19,7 @@ def with_features(paths: DataFrame, w: dict | None = None) -> DataFrame:
     image = Window.partitionBy("image_id")
     or_one = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(1.0))
     p = paths.withColumn("_max_area", or_one(F.max("area").over(image))).withColumn("_max_complexity", or_one(F.max(F.col("complexity").cast("double")).over(image)))
-    p = p.withColumn("_w", F.when(F.col("w") < 1.0, F.max("bbox.xmax").over(image)).otherwise(F.col("w"))).withColumn("_h", F.when(F.col("h") < 1.0, F.max("bbox.ymax").over(image)).otherwise(F.col("h")))
+    p = p.withColumn("_w", F.when(F.col("w") < 1.0, or_one(F.max("bbox.xmax").over(image))).otherwise(F.col("w"))).withColumn("_h", F.when(F.col("h") < 1.0, or_one(F.max("bbox.ymax").over(image))).otherwise(F.col("h")))
     lab = F.col("lab")
     raw: list[Column] = [
         F.col("centroid.x") / F.col("_w"),

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
+
 MOST_ROUNDS = 100
 
 
@@ -16,11 +18,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the logarithm of the longest way. Rows are told apart by image, so nothing
     meets that is not of one image. Each round is checkpointed.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-"))
+    shared.folder(nodes.sparkSession)
     both = edges.select("image_id", F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select("image_id", F.col("j").alias("a"), F.col("i").alias("b"))).checkpoint()
     labels = nodes.select("image_id", "path_idx", F.col("path_idx").alias("label"))
     for _ in range(MOST_ROUNDS):

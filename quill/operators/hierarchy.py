@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
 from ..functions import geometry, pathdata
 
-MOST_DEPTH = 1000
-
 
 def containment_pairs(boxes: DataFrame, ratio: float = 1.1) -> DataFrame:
     """(image_id, parent, child, parent_area): boxes that hold another and are more than `ratio` times its area.
@@ -58,18 +57,15 @@ def roots(groups: DataFrame, parents: DataFrame) -> DataFrame:
 
 def depths(groups: DataFrame, parents: DataFrame) -> DataFrame:
     """(image_id, group_idx, parent_idx, depth): level by level from the roots; what no root reaches becomes a root."""
-    spark = groups.sparkSession
+    shared.folder(groups.sparkSession)
     edges = parents.select("image_id", F.col("child").alias("group_idx"), F.col("parent").alias("parent_idx"))
     # Ancestors by doubling: after k rounds every row knows its 2^k-th one, and how many lie between.
     up = groups.select("image_id", "group_idx").join(edges, ["image_id", "group_idx"], "left").select("image_id", "group_idx", "parent_idx", F.col("parent_idx").alias("top"), F.when(F.col("parent_idx").isNull(), 0).otherwise(1).alias("depth"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-"))
     up = up.checkpoint()
-    for _ in range(MOST_DEPTH.bit_length()):
-        if up.filter("top is not null").isEmpty():
-            break
+    before = None
+    # Each round settles the rows that are next above those left; a round that settles none has only circles before it.
+    while (left := up.filter("top is not null").count()) and left != before:
+        before = left
         over = up.select("image_id", F.col("group_idx").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
         up = up.join(over, ["image_id", "top"], "left").select("image_id", "group_idx", "parent_idx", F.col("next").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
     lost = F.col("top").isNotNull()
@@ -94,8 +90,3 @@ def detect(paths: DataFrame, boxes: DataFrame, settings: dict) -> DataFrame:
     if h["containment_method"] == "geometric":
         pairs = exact_pairs(pairs, paths)
     return depths(boxes, direct_parents(pairs))
-
-
-def with_child_order(tree: DataFrame) -> DataFrame:
-    order = Window.partitionBy("image_id", "parent_idx").orderBy("group_idx")
-    return tree.withColumn("child_ord", F.row_number().over(order) - 1)

@@ -6,64 +6,84 @@ or group is one task's work; everything around them is relational.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
 
+def first_claims(n: int, fits: Callable[[int], np.ndarray]) -> np.ndarray:
+    """For each of n rows the first row before it that fits and stands for itself, or the row itself if none does.
 
-def box_distance(a: tuple, b: tuple) -> float:
-    return math.hypot(max(0.0, a[0] - b[2], b[0] - a[2]), max(0.0, a[1] - b[3], b[1] - a[3]))
-
-
-def fixpoint(groups: list[list[dict]], proximity: float, tolerance: float) -> list[list[int]]:
-    """Members of each group after merging; a group is a list of rows with path, lab and box.
-
-    In a pass, each group in turn takes in the later groups that fit what both
-    were when the pass began; passes go on until one changes nothing.
+    fits(j): whether each of the rows before j fits row j.
     """
-    members = [list(g) for g in groups]
-
-    def summary(rows: list[dict]) -> tuple:
-        labs = [r["lab"] for r in rows if r["lab"] is not None]
-        mean = tuple(sum(v) / len(labs) for v in zip(*labs)) if labs else (50.0, 0.0, 0.0)
-        lows, highs = [r["box"][:2] for r in rows], [r["box"][2:] for r in rows]
-        return mean, (*map(min, zip(*lows)), *map(max, zip(*highs)))
-
-    changed = len(members) > 1
-    while changed:
-        changed = False
-        known = [summary(m) for m in members]
-        gone, out = set(), []
-        for i, rows in enumerate(members):
-            if i in gone:
-                continue
-            rows = list(rows)
-            for j in range(i + 1, len(members)):
-                fits = j not in gone and math.dist(known[i][0], known[j][0]) <= tolerance and box_distance(known[i][1], known[j][1]) <= proximity
-                if fits:
-                    rows += members[j]
-                    gone.add(j)
-                    changed = True
-            out.append(rows)
-        members = out
-    return [[r["path"] for r in rows] for rows in members]
+    lead, own = np.arange(n), np.ones(n, bool)
+    for j in range(1, n):
+        taker = np.flatnonzero(own[:j] & fits(j))
+        if len(taker):
+            lead[j], own[j] = taker[0], False
+    return lead
+
+
+class Groups:
+    """Sums of colour and the box of each group, and the first groups that it holds, in order."""
+
+    def __init__(self, labs: np.ndarray, boxes: np.ndarray, group: np.ndarray):
+        """labs (nan: no colour) and boxes by path; group: the group's number by path, from 0."""
+        n = int(group.max()) + 1 if len(group) else 0
+        known = ~np.isnan(labs).any(axis=1)
+        self.colour, self.coloured = np.zeros((n, 3)), np.zeros(n)
+        np.add.at(self.colour, group[known], labs[known])
+        np.add.at(self.coloured, group[known], 1)
+        self.low, self.high = np.full((n, 2), np.inf), np.full((n, 2), -np.inf)
+        np.minimum.at(self.low, group, boxes[:, :2])
+        np.maximum.at(self.high, group, boxes[:, 2:])
+        self.held = [[i] for i in range(n)]
+
+    def fold(self, proximity: float, tolerance: float) -> bool:
+        """One pass: groups that fit what they were at its beginning go to their first taker. Whether any did."""
+        mean = np.where(self.coloured[:, None] > 0, self.colour / np.maximum(self.coloured, 1)[:, None], [50.0, 0.0, 0.0])
+
+        def fits(j: int) -> np.ndarray:
+            gap = np.maximum(0.0, np.maximum(self.low[:j] - self.high[j], self.low[j] - self.high[:j]))
+            return (np.linalg.norm(mean[:j] - mean[j], axis=1) <= tolerance) & (np.hypot(gap[:, 0], gap[:, 1]) <= proximity)
+
+        lead = first_claims(len(mean), fits)
+        stay, place = np.unique(lead, return_inverse=True)
+        if len(stay) == len(lead):
+            return False
+        held: list[list[int]] = [[] for _ in stay]
+        for i, k in enumerate(place):
+            held[k] += self.held[i]
+        colour, coloured = np.zeros((len(stay), 3)), np.zeros(len(stay))
+        np.add.at(colour, place, self.colour)
+        np.add.at(coloured, place, self.coloured)
+        low, high = self.low[stay], self.high[stay]
+        np.minimum.at(low, place, self.low)
+        np.maximum.at(high, place, self.high)
+        self.colour, self.coloured, self.low, self.high, self.held = colour, coloured, low, high, held
+        return True
 
 
 def merge_groups(paths: DataFrame, proximity: float = 50.0, tolerance: float = 25.0) -> DataFrame:
     """Paths with group_idx and member_ord after merging; groups keep their order and are numbered anew."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[int, list[dict]] = {}
-        for r in pdf.sort_values(["group_idx", "member_ord"]).itertuples():
-            lab = None if pd.isna(r.l) else (r.l, r.a, r.b)
-            groups.setdefault(r.group_idx, []).append({"path": r.path_idx, "lab": lab, "box": (r.xmin, r.ymin, r.xmax, r.ymax)})
-        merged = fixpoint([groups[g] for g in sorted(groups)], proximity, tolerance)
-        rows = [(pdf["image_id"].iloc[0], p, g, o) for g, m in enumerate(merged) for o, p in enumerate(m)]
-        return pd.DataFrame(rows, columns=["image_id", "path_idx", "group_idx", "member_ord"])
+        pdf = pdf.sort_values(["group_idx", "member_ord"], ignore_index=True)
+        group = pdf["group_idx"].rank(method="dense").astype(int).to_numpy() - 1
+        groups = Groups(pdf[["l", "a", "b"]].to_numpy(float), pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float), group)
+        while groups.fold(proximity, tolerance):
+            pass
+        # Members stand in the order of the groups that came together.
+        now, rank = np.zeros(len(groups.held) and 1 + max(map(max, groups.held)), int), {}
+        for g, held in enumerate(groups.held):
+            now[held] = g
+            rank.update((old, i) for i, old in enumerate(held))
+        out = pd.DataFrame({"image_id": pdf["image_id"], "path_idx": pdf["path_idx"], "group_idx": now[group], "_at": [rank[g] for g in group]})
+        out = out.sort_values(["group_idx", "_at"], kind="stable")
+        return out.assign(member_ord=out.groupby("group_idx").cumcount())[["image_id", "path_idx", "group_idx", "member_ord"]]
 
     thin = paths.select("image_id", "path_idx", "group_idx", "member_ord", F.col("lab.l").alias("l"), F.col("lab.a").alias("a"), F.col("lab.b").alias("b"), "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax")
     new = thin.groupBy("image_id").applyInPandas(one, "image_id long, path_idx int, group_idx int, member_ord int")
@@ -80,20 +100,10 @@ def mergeable_pairs(paths: DataFrame) -> DataFrame:
     return a.join(b, [*key, "t"]).filter((F.col("i") < F.col("j")) & geometry.overlaps(F.col("ba"), F.col("bb"))).select("image_id", "group_idx", "i", "j")
 
 
-def seeded(rows: list[tuple]) -> list[list[int]]:
-    """Places of rows (box) that join: each unclaimed row claims the later ones that touch it, not what those touch."""
-    claimed, out = set(), []
-    for i, a in enumerate(rows):
-        if i in claimed:
-            continue
-        own = [i]
-        for j in range(i + 1, len(rows)):
-            b = rows[j]
-            if j not in claimed and not (a[2] < b[0] or b[2] < a[0] or a[3] < b[1] or b[3] < a[1]):
-                own.append(j)
-                claimed.add(j)
-        out.append(own)
-    return out
+def touching(boxes: np.ndarray) -> np.ndarray:
+    """For each box the first box before it that it touches and that goes with no other; itself if there is none."""
+    low, high = boxes[:, :2], boxes[:, 2:]
+    return first_claims(len(boxes), lambda j: ((low[:j] <= high[j]) & (low[j] <= high[:j])).all(axis=1))
 
 
 def merge_paths(paths: DataFrame) -> DataFrame:
@@ -104,16 +114,19 @@ def merge_paths(paths: DataFrame) -> DataFrame:
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member_ord")
-        kinds: dict[tuple, list] = {}
-        for r in pdf.itertuples():
-            kinds.setdefault((r.fill, None if pd.isna(r.transform) else r.transform), []).append(r)
-        rows, place = [], 0
-        for members in kinds.values():
-            for own in seeded([(r.xmin, r.ymin, r.xmax, r.ymax) for r in members]):
-                rows += [(pdf["image_id"].iloc[0], pdf["group_idx"].iloc[0], members[k].path_idx, members[own[0]].path_idx, place, o) for o, k in enumerate(own)]
-                place += 1
-        return pd.DataFrame(rows, columns=["image_id", "group_idx", "path_idx", "lead", "lead_ord", "part_ord"])
+        pdf = pdf.sort_values("member_ord", ignore_index=True)
+        kind = pdf.groupby(["fill", "transform"], dropna=False, sort=False).ngroup().to_numpy()
+        boxes, lead = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float), np.arange(len(pdf))
+        for k in range(kind.max() + 1):
+            own = np.flatnonzero(kind == k)
+            lead[own] = own[touching(boxes[own])]
+        # Kinds by first use, then leads by their order.
+        leads = sorted(set(lead.tolist()), key=lambda i: (kind[i], i))
+        place = {i: n for n, i in enumerate(leads)}
+        out = pd.DataFrame({"path_idx": pdf["path_idx"], "lead": pdf["path_idx"].to_numpy()[lead], "lead_ord": [place[i] for i in lead.tolist()]})
+        out.insert(0, "image_id", pdf["image_id"])
+        out.insert(1, "group_idx", pdf["group_idx"])
+        return out.assign(part_ord=out.groupby("lead_ord").cumcount())
 
     thin = paths.select("image_id", "group_idx", "path_idx", "member_ord", "fill", "transform", "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax")
     return thin.groupBy("image_id", "group_idx").applyInPandas(one, "image_id long, group_idx int, path_idx int, lead int, lead_ord int, part_ord int")
@@ -132,11 +145,3 @@ def merged_paths(paths: DataFrame, settings: dict) -> DataFrame:
 
 def totals(paths: DataFrame) -> DataFrame:
     return paths.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_paths"), F.countDistinct("group_idx").alias("n_groups"))
-
-
-def numbered(paths: DataFrame) -> DataFrame:
-    order = Window.partitionBy("image_id", "group_idx").orderBy("path_idx")
-    return paths.withColumn("member_ord", F.row_number().over(order) - 1)
-
-
-__all__ = ["merge_groups", "merge_paths", "merged_paths", "mergeable_pairs", "fixpoint", "seeded", "stats", "totals", "numbered", "box_distance"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +55,13 @@ def path_element(d: Column, fill: Column, stroke: Column, opacity: Column, trans
     return F.concat(F.lit("<path "), parts, F.lit("/>"))
 
 
+#: Groups without content, and the white space behind them.
+CLOSED_GROUP, EMPTY_GROUP = r"<g[^>]*/>\s*", r"<g[^>]*>\s*</g>\s*"
+
+
 def remove_empty_groups(svg: Column) -> Column:
     """Self-closed groups, then pairs of tags without content: once each, so what becomes empty stays."""
-    return F.regexp_replace(F.regexp_replace(svg, r"<g[^>]*/>", ""), r"<g[^>]*>\s*</g>", "")
+    return F.regexp_replace(F.regexp_replace(svg, CLOSED_GROUP, ""), EMPTY_GROUP, "")
 
 
 def compact_path_data(svg: Column) -> Column:
@@ -141,18 +149,25 @@ def documents(paths: DataFrame, tree: DataFrame, meta: DataFrame, settings: dict
     return out.withColumn("svg", remove_empty_groups(compact_path_data(F.col("svg"))))
 
 
-def write_files(df: DataFrame, folder: str) -> int:
-    """One <image_id>.svg per row, in UTF-8; each file appears whole. Returns how many."""
+def _put_files(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def put(rows):
-        import os
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(temporary) as out:
+                    out.write((text or "").encode())
+                files.move(temporary, f"{root}/{name}.svg")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
 
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            temporary = os.path.join(folder, f".{r.image_id}.{os.getpid()}")
-            with open(temporary, "w", encoding="utf-8") as f:
-                f.write(r.svg)
-            os.replace(temporary, os.path.join(folder, f"{r.image_id}.svg"))
 
-    df.select("image_id", "svg").foreachPartition(put)
-    return df.count()
+def write_files(df: DataFrame, folder: str) -> int:
+    """One <image_id>.svg per row, in UTF-8, through the file system of the folder's URI; each file appears whole. Returns how many were written."""
+    uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    written = df.select(F.col("image_id").cast("string"), "svg").mapInArrow(_put_files(uri), "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -14,7 +14,7 @@ from ..operators import features, graph, grouping, hierarchy, merging, output, r
 from ..sources import svg
 from . import proxies
 from .proxies import PALETTE, SHAPES_SQL
-from .vectorize import Vectorizer
+from .vectorize import Engine
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,20 +64,32 @@ def box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxies.shapes(spark, sf_dir).filter("area >= 500").select("path_idx", "area", F.col("centroid.x").alias("cx"), F.col("centroid.y").alias("cy"), _r(F.col("aspect_ratio")).alias("aspect_ratio"))
 
 
-@query(SHAPES_SQL + r""", t AS (SELECT path_idx, list_filter(string_split_regex(trim(regexp_extract(transform, 'translate\(\s*([^)]*)\)', 1)), '[\s,]+'), lambda p: p <> '') AS p FROM s),
-u AS (SELECT path_idx, try_cast(p[1] AS DOUBLE) AS x, try_cast(p[2] AS DOUBLE) AS y, len(p) AS n FROM t)
-SELECT path_idx, CASE WHEN x IS NULL OR (n > 1 AND y IS NULL) THEN 0.0::DOUBLE ELSE x END AS tx, CASE WHEN x IS NULL OR y IS NULL THEN 0.0::DOUBLE ELSE y END AS ty FROM u""")
+#: Transforms that reach every branch of the rule; # stands for the row's number.
+TRANSFORMS = ("translate(#)", "translate(#,2)", "translate(3 #)", "translate(1,2,3)", "translate(x) translate(5,#)", "translate(,1)", "translate(1d)", "translate(1-2)", "scale(2)",
+              "translate( -#.5 , 4e1 )", "rotate(3) translate(#)", "translate(1 , )", "TRANSLATE(4)", "translate(.5,#.)")
+
+
+@query("WITH t AS (SELECT p_partkey, replace([" + ", ".join(f"'{t}'" for t in TRANSFORMS) + f"][(p_partkey % {len(TRANSFORMS)})::INT + 1], '#', p_partkey::VARCHAR) AS t FROM part)" + r""",
+u AS (SELECT p_partkey, regexp_extract(t, 'translate\(\s*([-\d.+eE]+)(?:[,\s]+([-\d.+eE]+))?\s*\)', ['x', 'y']) AS p FROM t),
+v AS (SELECT p_partkey, try_cast(p.x AS DOUBLE) AS x, CASE WHEN p.y = '' THEN 0.0::DOUBLE ELSE try_cast(p.y AS DOUBLE) END AS y FROM u)
+SELECT p_partkey, CASE WHEN x IS NULL OR y IS NULL THEN 0.0::DOUBLE ELSE x END AS tx, CASE WHEN x IS NULL OR y IS NULL THEN 0.0::DOUBLE ELSE y END AS ty FROM v""")
 def translate_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = geometry.parse_translate(F.col("transform"))
-    return proxies.shapes(spark, sf_dir).select("path_idx", t["tx"].alias("tx"), t["ty"].alias("ty"))
+    k = F.col("p_partkey")
+    text = F.element_at(F.array(*map(F.lit, TRANSFORMS)), (k % len(TRANSFORMS)).cast("int") + 1)
+    t = geometry.parse_translate(F.replace(text, F.lit("#"), k.cast("string")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", t["tx"].alias("tx"), t["ty"].alias("ty"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 100.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE (c_custkey % 90 + 2)::DOUBLE END AS w,
-  CASE c_custkey % 4 WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 60.0::DOUBLE END AS h FROM customer""")
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 100.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 4 THEN 0.5::DOUBLE WHEN 5 THEN 80.0::DOUBLE WHEN 6 THEN 70.0::DOUBLE WHEN 7 THEN (c_custkey % 90 + 2)::DOUBLE ELSE (c_custkey % 90 + 2)::DOUBLE END AS w,
+  CASE c_custkey % 8 WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 4 THEN 0.4::DOUBLE WHEN 5 THEN 60.0::DOUBLE WHEN 6 THEN 1.0::DOUBLE WHEN 7 THEN 33.0::DOUBLE ELSE 60.0::DOUBLE END AS h FROM customer""")
 def document_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    box = F.when(k % 4 == 0, "0 0 100 50").when(k % 4 == 1, "0,0,100,50")
-    d = geometry.dimensions(box, F.when(k % 4 >= 2, F.concat((k % 90 + 2).cast("string"), F.lit("px"))), F.when(k % 4 >= 2, F.lit("60pt")))
+    own = F.concat((k % 90 + 2).cast("string"), F.lit("px"))
+    # 4: sides under 1 stay without attributes; 5: a bad third part hides the fourth; 6: the fourth is bad; 7: a small third gives way.
+    box = F.when(k % 8 == 0, "0 0 100 50").when(k % 8 == 1, "0,0,100,50").when(k % 8 == 4, "0 0 0.5 0.4").when(k % 8 == 5, "0 0 x 50").when(k % 8 == 6, "0 0 70 y").when(k % 8 == 7, "0 0 0.5 33")
+    width = F.when(k % 8 == 5, "80").when(k % 8 == 6, "9px").when(k % 8 == 4, "50%").when(k % 8 != 1, own)
+    height = F.when((k % 8).isin(2, 3, 5), "60pt").when(k % 8 == 7, "9")
+    d = geometry.dimensions(box, width, height)
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", d["w"].alias("w"), d["h"].alias("h"))
 
 
@@ -86,10 +98,10 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", svg.stem(F.col("url")).alias("stem"), svg.suffix(F.col("url")).alias("suffix"))
 
 
-@query(r"""WITH t AS (SELECT page_id, replace(replace(html, '<p', '<g'), '</p', '</g') || '<g id="a"/><g><g> </g></g>' AS h FROM pages)
-SELECT page_id, md5(regexp_replace(regexp_replace(h, '<g[^>]*/>', '', 'g'), '<g[^>]*>\s*</g>', '', 'g')) AS digest FROM t""")
+@query(r"""WITH t AS (SELECT page_id, replace(replace(html, '<p', '<g'), '</p', '</g') || '<g id="a"/>' || chr(10) || '  <b/><g><g> </g> </g> <i/>' AS h FROM pages)
+SELECT page_id, md5(regexp_replace(regexp_replace(h, '<g[^>]*/>\s*', '', 'g'), '<g[^>]*>\s*</g>\s*', '', 'g')) AS digest FROM t""")
 def empty_groups_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.concat(F.replace(F.replace("html", F.lit("<p"), F.lit("<g")), F.lit("</p"), F.lit("</g")), F.lit('<g id="a"/><g><g> </g></g>'))
+    h = F.concat(F.replace(F.replace("html", F.lit("<p"), F.lit("<g")), F.lit("</p"), F.lit("</g")), F.lit('<g id="a"/>\n  <b/><g><g> </g> </g> <i/>'))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(output.remove_empty_groups(h).cast("binary")).alias("digest"))
 
 
@@ -274,12 +286,12 @@ def merged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merged_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.merged_paths(proxies.grouped(spark, sf_dir), Vectorizer().settings).select("image_id", "group_idx", "path_idx", "member_ord", "d")
+    return merging.merged_paths(proxies.grouped(spark, sf_dir), Engine().settings).select("image_id", "group_idx", "path_idx", "member_ord", "d")
 
 
 @query()
 def simplified_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return output.simplified_paths(proxies.shapes(spark, sf_dir), Vectorizer().settings).select("image_id", "path_idx", "d")
+    return output.simplified_paths(proxies.shapes(spark, sf_dir), Engine().settings).select("image_id", "path_idx", "d")
 
 
 @query(SHAPES_SQL + """SELECT path_idx, '<path d="M ' || concat_ws(' ', x0, y0, 'L', x1, y0, 'L', x1, y1, 'L', x0, y1, 'Z') || '"' || CASE WHEN fill <> '#ff0000' THEN ' fill="' || fill || '"' ELSE '' END || ' transform="' || transform || '"/>' AS element FROM s""")
@@ -290,12 +302,12 @@ def path_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vectorized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Vectorizer().run(proxies.svg_documents(spark, sf_dir))
+    return Engine().run(proxies.svg_documents(spark, sf_dir))
 
 
 @query()
 def vectorized_by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Vectorizer({"clustering": {"method": "graph"}, "hierarchy": {"containment_method": "bbox"}}).run(proxies.svg_documents(spark, sf_dir))
+    return Engine({"clustering": {"method": "graph"}, "hierarchy": {"containment_method": "bbox"}}).run(proxies.svg_documents(spark, sf_dir))
 
 
 assert len(PALETTE) == 12

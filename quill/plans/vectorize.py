@@ -11,7 +11,7 @@ from ..operators import features, grouping, hierarchy, merging, output, raster,
 from ..sources import config, svg
 
 
-class Vectorizer:
+class Engine:
     """Settings once, any number of document tables."""
 
     def __init__(self, settings: dict | None = None, path: str | None = None, preset: str | None = None):
@@ -91,7 +91,10 @@ def main(argv: list[str] | None = None) -> int:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.appName("quill").getOrCreate()
     docs = svg.read_documents(spark, a.input).withColumn("image_id", F.xxhash64("path"))
-    result = Vectorizer(overrides(a), a.config, a.preset).run(docs)
-    named = result.join(docs.select("image_id", svg.stem(F.col("path")).alias("stem")), "image_id")
-    output.write_files(named.select(F.col("stem").alias("image_id"), "svg"), a.output)
+    result = Engine(overrides(a), a.config, a.preset).run(docs)
+    stems = docs.select("image_id", svg.stem(F.col("path")).alias("stem"))
+    shared_stems = stems.groupBy("stem").count().filter("count > 1").select("stem", F.lit(True).alias("_shared"))
+    # Files of one stem keep apart by their ids.
+    names = stems.join(shared_stems, "stem", "left").select("image_id", F.when(F.col("_shared"), F.concat_ws("-", "stem", F.hex("image_id"))).otherwise(F.col("stem")).alias("name"))
+    output.write_files(result.join(names, "image_id").select(F.col("name").alias("image_id"), "svg"), a.output)
     return 0

@@ -111,16 +111,16 @@ def projected(found: DataFrame) -> DataFrame:
 
 
 def derived(paths: DataFrame, min_area: float = 2.0) -> DataFrame:
-    """Adds translate, bbox, centroid, area, aspect_ratio, complexity, curve_ratio and lab; drops boxes below min_area.
+    """Adds translate, bbox, centroid, area, aspect_ratio, complexity, curve_ratio and lab; drops boxes below min_area, but none that has an error.
 
     The path data is parsed once. Opacity that is no number is null and told in `error`.
     """
     p = paths.withColumn("_m", path_measures("d")).withColumn("translate", geometry.parse_translate(F.col("transform")))
     raw = geometry.box(*(F.col(f"_m.{n}") for n in ("xmin", "ymin", "xmax", "ymax")))
-    p = p.withColumn("_raw", raw).withColumn("area", geometry.area(F.col("_raw"))).filter(F.col("area") >= F.lit(float(min_area)))
+    p = p.withColumn("opacity", geometry.number(F.col("opacity_text"))).withColumn("error", F.when(F.col("opacity").isNull(), F.concat(F.lit("opacity "), F.col("opacity_text"))))
+    p = p.withColumn("_raw", raw).withColumn("area", geometry.area(F.col("_raw"))).filter((F.col("area") >= F.lit(float(min_area))) | F.col("error").isNotNull())
     p = p.withColumn("aspect_ratio", geometry.aspect_ratio(F.col("_raw"))).withColumn("bbox", geometry.shifted(F.col("_raw"), F.col("translate.tx"), F.col("translate.ty")))
-    p = p.withColumn("centroid", geometry.centroid(F.col("bbox"))).withColumn("lab", color.hex_to_lab(F.col("fill"))).withColumn("opacity", F.col("opacity_text").try_cast("double"))
-    p = p.withColumn("error", F.when(F.col("opacity").isNull(), F.concat(F.lit("opacity "), F.col("opacity_text"))))
+    p = p.withColumn("centroid", geometry.centroid(F.col("bbox"))).withColumn("lab", color.hex_to_lab(F.col("fill")))
     return p.select("*", F.col("_m.complexity").alias("complexity"), F.col("_m.curve_ratio").alias("curve_ratio")).drop("_m", "_raw", "opacity_text")
 
 

@@ -5,7 +5,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
-from quill.plans.vectorize import Vectorizer, arguments, overrides
+from quill.plans.vectorize import Engine, arguments, overrides
 from quill.sources import svg
 
 NS = "{http://www.w3.org/2000/svg}"
@@ -30,7 +30,7 @@ def results(spark):
         6: wrap(box(0, 0, 20) + box(15, 0, 20)),
     }
     df = spark.createDataFrame(list(docs.items()), "image_id long, svg string")
-    return docs, {r.image_id: r for r in Vectorizer({"hierarchy": {"containment_method": "geometric"}, "grouping": {"color_tolerance": 10.0}}).run(df).collect()}
+    return docs, {r.image_id: r for r in Engine({"hierarchy": {"containment_method": "geometric"}, "grouping": {"color_tolerance": 10.0}}).run(df).collect()}
 
 
 def test_empty_and_bad_documents_come_back(results):

@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quill.functions import color, geometry, pathdata
-from quill.operators import graph, merging, raster
+from quill.operators import graph, hierarchy, merging, output, raster
 from quill.sources import config
 
 
@@ -47,15 +48,20 @@ def test_boxes(spark, a, b, overlap, far):
     box = lambda v: geometry.box(*(F.lit(float(x)) for x in v))
     row = spark.range(1).select(geometry.overlaps(box(a), box(b)).alias("o"), geometry.distance(box(a), box(b)).alias("d")).first()
     assert (row.o, row.d) == (overlap, far)
-    assert merging.box_distance(a, b) == far
 
 
-@pytest.mark.parametrize("t, want", [("translate(3)", (3, 0)), ("translate(3,4)", (3, 4)), ("translate(3 4)", (3, 4)), ("scale(2)", (0, 0)), ("translate(1-2)", (0, 0)), ("translate(1,2) translate(5,5)", (1, 2)), (None, (0, 0))])
+@pytest.mark.parametrize(
+    "t, want",
+    [
+        ("translate(3)", (3, 0)), ("translate(3,4)", (3, 4)), ("translate(3 4)", (3, 4)), ("scale(2)", (0, 0)), ("translate(1-2)", (0, 0)), ("translate(1,2) translate(5,5)", (1, 2)), (None, (0, 0)),
+        ("translate(1,2,3)", (0, 0)), ("translate(x) translate(5,5)", (5, 5)), ("translate(,1)", (0, 0)), ("translate(1d)", (0, 0)), ("translate( -1.5 , 2e1 )", (-1.5, 20)),
+    ],
+)
 def test_translate(spark, t, want):
     assert tuple(spark.range(1).select(geometry.parse_translate(F.lit(t).cast("string")).alias("t")).first().t) == want
 
 
-@pytest.mark.parametrize("view, w, h, want", [("0 0 100 50", None, None, (100, 50)), ("0,0,100,50", None, None, (1, 1)), (None, "80px", "60pt", (80, 60)), (None, "100%", "60", (1, 60))])
+@pytest.mark.parametrize("view, w, h, want", [("0 0 100 50", None, None, (100, 50)), ("0,0,100,50", None, None, (1, 1)), (None, "80px", "60pt", (80, 60)), (None, "100%", "60", (1, 60)), ("0 0 0.5 0.4", None, None, (0.5, 0.4)), ("0 0 x 50", "80", "60", (80, 60)), ("0 0 50 x", "8", "60", (50, 60)), ("0 0 0.5 9", "7d", None, (0.5, 9))])
 def test_dimensions(spark, view, w, h, want):
     text = lambda v: F.lit(v).cast("string")
     assert tuple(spark.range(1).select(geometry.dimensions(text(view), text(w), text(h)).alias("d")).first().d) == want
@@ -82,9 +88,66 @@ def test_rings():
 
 
 def test_merges_are_ordered():
-    row = lambda p, x: {"path": p, "lab": (50.0, 0.0, 0.0), "box": (x, 0, x + 10, 10)}
-    assert merging.fixpoint([[row(0, 0)], [row(1, 40)], [row(2, 80)]], 50, 25) == [[0, 1, 2]]
-    assert merging.seeded([(0, 0, 10, 10), (8, 0, 20, 10), (18, 0, 30, 10)]) == [[0, 1], [2]]
+    labs, boxes = np.full((3, 3), 50.0), np.array([[x, 0, x + 10, 10] for x in (0, 40, 80)], float)
+    groups = merging.Groups(labs, boxes, np.arange(3))
+    assert groups.fold(50, 25) and (groups.held == [[0, 1], [2]] or groups.held == [[0, 1, 2]])
+    while groups.fold(50, 25):
+        pass
+    assert groups.held == [[0, 1, 2]]
+    assert merging.touching(np.array([(0, 0, 10, 10), (8, 0, 20, 10), (18, 0, 30, 10)], float)).tolist() == [0, 0, 2]
+
+
+def test_each_box_goes_with_the_first_that_stands_for_itself():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 40, 120):
+        low = rng.integers(0, 60, (n, 2))
+        boxes = np.concatenate([low, low + rng.integers(0, 12, (n, 2))], 1).astype(float)
+        lead = merging.touching(boxes)
+        meets = lambda a, b: a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]  # noqa: B023, E731
+        for j in range(n):
+            takers = [i for i in range(j) if lead[i] == i and meets(boxes[i], boxes[j])]
+            assert lead[j] == (takers[0] if takers else j)
+
+
+def test_merged_groups_are_apart_and_whole(spark):
+    rng = np.random.default_rng(6)
+    rows = [(1, i, int(g), 0, (float(x), float(y), float(x + 5), float(y + 5)), None if i % 9 == 0 else (50.0, float(c), 0.0)) for i, (g, x, y, c) in enumerate(zip(rng.integers(0, 40, 90), *rng.integers(0, 900, (2, 90)), rng.integers(0, 60, 90)))]
+    box, lab = "struct<xmin:double,ymin:double,xmax:double,ymax:double>", "struct<l:double,a:double,b:double>"
+    df = spark.createDataFrame(rows, f"image_id long, path_idx int, group_idx int, member_ord int, bbox {box}, lab {lab}")
+    got = merging.merge_groups(df).collect()
+    assert sorted(r.path_idx for r in got) == list(range(90))
+    now = {}
+    for r in got:
+        now.setdefault(r.group_idx, []).append(r)
+    assert sorted(now) == list(range(len(now)))
+    old = {i: r[2] for i, r in enumerate(rows)}
+    assert all(len({r.group_idx for r in got if old[r.path_idx] == g}) == 1 for g in set(old.values()))
+
+    def summary(members):
+        labs = [tuple(r.lab) for r in members if r.lab]
+        mean = np.mean(labs, axis=0) if labs else np.array([50.0, 0, 0])
+        boxes = np.array([tuple(r.bbox) for r in members])
+        return mean, boxes[:, :2].min(0), boxes[:, 2:].max(0)
+
+    parts = [summary(now[g]) for g in sorted(now)]
+    for i, (m, lo, hi) in enumerate(parts):
+        for n, low, high in parts[:i]:
+            gap = np.maximum(0, np.maximum(lo - high, low - hi))
+            assert np.linalg.norm(m - n) > 25 or np.hypot(*gap) > 50
+
+
+def test_a_deep_chain_and_a_circle(spark):
+    groups = spark.range(1100).selectExpr("0L as image_id", "cast(id as int) as group_idx").union(spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "image_id long, group_idx int"))
+    parents = spark.range(1, 1100).selectExpr("0L as image_id", "cast(id as int) as child", "cast(id - 1 as int) as parent").union(spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 1)], "image_id long, child int, parent int"))
+    got = {(r.image_id, r.group_idx): (r.parent_idx, r.depth) for r in hierarchy.depths(groups, parents).collect()}
+    assert all(got[0, i] == (i - 1 if i else None, i) for i in range(1100))
+    assert [got[1, i] for i in range(3)] == [(None, 0)] * 3
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"<svg>{i}é</svg>") for i in range(7)], "image_id long, svg string")
+    assert output.write_files(docs, str(tmp_path / "out")) == 7
+    assert (tmp_path / "out" / "3.svg").read_text(encoding="utf-8") == "<svg>3é</svg>" and len(list((tmp_path / "out").iterdir())) == 7
 
 
 def test_louvain_finds_two_cliques():
