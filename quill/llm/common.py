@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests,
-    a single machine) a temporary folder takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or f"file://{tempfile.mkdtemp(prefix='quill-shared-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
