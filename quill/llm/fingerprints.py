@@ -9,9 +9,12 @@ right, and the key belongs to the cell. Taking it out of its other cells peels
 the rest. What is recovered are the paragraphs that only one version has, hence
 the likeness: shared over all paragraphs.
 
-A long text's keys are dealt to blocks by their upper bits, as many as the text
-needs, each with a small sketch of its own, so work grows with the text and not
-with its square. A block that does not peel is sketched again, larger.
+A fingerprint is such a sketch, of one size for all texts. Two of them are
+subtracted and peeled. Where more differs than they can tell, larger sketches
+follow: keys are dealt to blocks by their upper bits, as many as both texts
+need, each block with a sketch of its own, so work grows with the texts and not
+with their square; a block that does not peel is sketched again, larger. The
+sketch of both versions' keys together is the difference of their two sketches.
 
 Everything about a document happens in its row. Texts are shuffled once, to
 meet the next document.
@@ -27,8 +30,8 @@ from .common import documents, whole_text
 PARAGRAPH_WORDS = 16
 PARAGRAPH = rf"(?:[^ \n]++ *+){{1,{PARAGRAPH_WORDS}}}\n*+| ++\n*+|\n++"
 TABLES = 3
-#: Cells per table in the printed fingerprint, and in a block at the first and later attempts.
-PRINTED_CELLS = 4
+#: Cells per table in the fingerprint, and in a block at the first and later attempts.
+PRINTED_CELLS = 8
 CELLS = (8, 16)
 KEYS_PER_BLOCK = 8
 ROUNDS = 10
@@ -89,7 +92,7 @@ def sketch(keys_: Column, cells: int) -> Column:
 
 
 def peel(cells_: Column, cells: int) -> Column:
-    """(c, n): the cells that are left, and how many keys were recovered."""
+    """(c, k): the cells that are left, and the keys that were recovered."""
 
     def is_pure(v, i):
         good = _check(F.shiftrightunsigned(v, CHECK_BITS)) == v.bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
@@ -97,48 +100,61 @@ def peel(cells_: Column, cells: int) -> Column:
 
     def take_out(state, pure):
         left = F.zip_with(state.c, _bits(cells), lambda v, bit: _added(v, bit, pure))
-        return F.struct(left.alias("c"), (state.n + F.size(pure)).alias("n"), (F.size(pure) > 0).alias("on"))
+        return F.struct(left.alias("c"), F.concat(state.k, F.transform(pure, lambda x: x.k)).alias("k"), (F.size(pure) > 0).alias("on"))
 
     def one_round(state, _):
         found = lambda st: _masked(F.array_distinct(F.filter(st.c, is_pure)), cells)
         return F.when(~state.on, state).otherwise(with_value(found(state), lambda pure: take_out(state, pure)))
 
-    start = F.struct(cells_.alias("c"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+    start = F.struct(cells_.alias("c"), F.array().cast("array<bigint>").alias("k"), F.lit(True).alias("on"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
 
 
 def _block_difference(run: Column) -> Column:
-    """How many keys of one block only one version has: ever larger sketches until one peels off whole."""
+    """The keys of one block that only one version has: ever larger sketches until one peels off whole."""
 
     def attempt(level: int) -> Column:
         if level == len(CELLS):
             # Keys that share all their cells: compare the sorted keys themselves.
-            return F.size(F.filter(run, lambda k, i: F.coalesce(F.get(run, i - 1) != k, F.lit(True)) & F.coalesce(F.get(run, i + 1) != k, F.lit(True))))
+            return F.filter(run, lambda k, i: F.coalesce(F.get(run, i - 1) != k, F.lit(True)) & F.coalesce(F.get(run, i + 1) != k, F.lit(True)))
         done = peel(sketch(run, CELLS[level]), CELLS[level])
-        return with_value(done, lambda st: F.when(F.exists(st.c, lambda v: v != 0), attempt(level + 1)).otherwise(st.n))
+        return with_value(done, lambda st: F.when(F.exists(st.c, lambda v: v != 0), attempt(level + 1)).otherwise(st.k))
 
     return attempt(0)
 
 
-def with_likeness(df: DataFrame, first: str, second: str, out: str) -> DataFrame:
-    """Adds `out`: shared over all keys of two key columns, from their peeled difference; 1 if both are empty."""
-    both = F.size(first) + F.size(second)
+def with_difference(df: DataFrame, first: str, second: str, out: str) -> DataFrame:
+    """Adds `out` and `out`_keys: the likeness of two versions, and the keys that only one has.
+
+    first and second: structs of keys k and fingerprint cells c. The likeness is
+    shared over all keys; 1 if both have none.
+    """
+    a, b = F.col(first), F.col(second)
+    both = F.size(a["k"]) + F.size(b["k"])
+    cells = F.zip_with(a["c"], b["c"], lambda x, y: x.bitwiseXOR(y))
+    peeled = with_value(peel(cells, PRINTED_CELLS), lambda st: F.when(~F.exists(st.c, lambda v: v != 0), st.k))
+    df = df.withColumn("_p", peeled)
     bits = F.least(F.lit(MOST_BLOCK_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(both, F.lit(1)) / KEYS_PER_BLOCK)).cast("int")))
-    df = df.withColumn("_bits", bits).withColumn("_s", F.sort_array(F.concat(first, second)))
+    # What the fingerprints told is not sketched again.
+    todo = F.when(F.col("_p").isNull(), F.sort_array(F.concat(a["k"], b["k"]))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("_bits", bits).withColumn("_s", todo)
     # A shift by 64 is a shift by 0, so one block needs a rule of its own.
     block = lambda k: F.when(F.col("_bits") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", k, 64 - F.col("_bits")))
     df = df.withColumn("_b", F.transform("_s", block))
     heads = F.filter(F.transform("_b", lambda x, i: F.when((i == 0) | (x != F.get("_b", i - 1)), i + 1)), lambda i: i.isNotNull())
     df = df.withColumn("_heads", heads)
     runs = F.transform("_heads", lambda h, j: F.slice("_s", h, F.coalesce(F.get("_heads", j + 1), F.size("_s") + 1) - h))
-    df = df.withColumn("_d", F.aggregate(F.transform(runs, _block_difference), F.lit(0), lambda t, x: t + x))
-    shared = (both - F.col("_d")) / 2
-    return df.withColumn(out, F.when(both == 0, F.lit(1.0)).otherwise(shared / (shared + F.col("_d")))).drop("_bits", "_s", "_b", "_heads", "_d")
+    df = df.withColumn("_d", F.coalesce("_p", F.flatten(F.transform(runs, _block_difference))))
+    apart = F.size("_d")
+    shared = (both - apart) / 2
+    df = df.withColumn(out, F.when(both == 0, F.lit(1.0)).otherwise(shared / (shared + apart)))
+    return df.withColumn(f"{out}_keys", F.col("_d")).drop("_p", "_bits", "_s", "_b", "_heads", "_d")
 
 
-def printed(keys_: Column, n: Column) -> Column:
-    """The fingerprint: number of paragraphs and the cells of a small sketch, in hexadecimal."""
-    return F.concat(F.hex(n.cast("long")), F.lit(":"), F.array_join(F.transform(sketch(keys_, PRINTED_CELLS), lambda v: F.hex(v)), "-"))
+def printed(version: str) -> Column:
+    """The fingerprint of a version (k, c): number of paragraphs and the cells, in hexadecimal."""
+    v = F.col(version)
+    return F.concat(F.hex(F.size(v["k"]).cast("long")), F.lit(":"), F.array_join(F.transform(v["c"], lambda x: F.hex(x)), "-"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -177,7 +193,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: its fingerprint, its edited text's, and their likenesses.
+    """One row per row of docs: its fingerprint, its edited text's, their likenesses, and the digests of the paragraphs in which text and edited text differ.
 
     A null text is empty; empty texts have no paragraphs and are alike (1.0).
     Rows with the same doc_id follow each other by a hash of the row; a null
@@ -189,10 +205,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - tail), F.substr("next_text", F.lit(1), tail))
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), keys(F.col("text")).alias("k"), keys(F.col("edited")).alias("ke"), keys(F.col("next_text")).alias("kn"))
-    rows = with_likeness(with_likeness(rows, "k", "ke", "near_edited"), "k", "kn", "near_next")
+    texts = {"own": "text", "changed": "edited", "following": "next_text"}
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(keys(F.col(t)).alias(f"_{v}") for v, t in texts.items()))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", *(F.struct(F.col(f"_{v}").alias("k"), sketch(F.col(f"_{v}"), PRINTED_CELLS).alias("c")).alias(v) for v in texts))
+    rows = with_difference(with_difference(rows, "own", "changed", "near_edited"), "own", "following", "near_next")
+    digests = F.array_join(F.transform(F.sort_array("near_edited_keys"), lambda k: F.hex(F.shiftrightunsigned(k, CHECK_BITS))), ",")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", printed(F.col("k"), F.size("k")).alias("fingerprint"), printed(F.col("ke"), F.size("ke")).alias("edited_fingerprint"), "near_edited", "near_next"
+        "doc_id", "n_chars", "edited_sha256", printed("own").alias("fingerprint"), printed("changed").alias("edited_fingerprint"), "near_edited", "near_next", digests.alias("edited_digests")
     )
 
 

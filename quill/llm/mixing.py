@@ -16,7 +16,7 @@ streams are summed in buckets of hashed order, never over a whole source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored, whole_text, words
@@ -29,8 +29,8 @@ DOCS_PER_BUCKET = 500
 SEED = 17
 #: Rows of the table of sources up to which it is broadcast.
 BROADCAST_SOURCES = 50_000
-#: Primes that step through the blocks of a source.
-STEPS = (1_000_000_007, 998_244_353)
+#: Rounds of swaps that permute the blocks of a source.
+SWAP_ROUNDS = 32
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -136,6 +136,17 @@ def shard_quotas(table: DataFrame, block_words: int, blocks_per_shard: int) -> D
     return spans.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("dealt"))
 
 
+def permuted(x: Column, n: Column, seed: Column) -> Column:
+    """A permutation of 0..n-1, row by row: in each round x and its mirror about a hashed point swap places, or not, by a hash of both."""
+
+    def one(at: Column, turn: Column) -> Column:
+        mirrored = lambda v: F.pmod(F.xxhash64(F.lit(SEED), seed, turn) % n - v, n)
+        swap = F.xxhash64(F.lit(SEED + 2), seed, turn, F.greatest(at, mirrored(at))).bitwiseAND(F.lit(1)) == 1
+        return F.when(swap, mirrored(at)).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SWAP_ROUNDS)), x.cast("long"), one)
+
+
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int = BLOCKS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
@@ -165,10 +176,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int =
     start = F.col("turn") * F.col("source_size") + F.col("at")
     pieces = turns.withColumn("start", start).withColumn("taken", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("start")))).filter("taken > 0")
     n = F.ceil(F.col("quota") / block_words).cast("long")
-    step = F.when(n % STEPS[0] != 0, F.lit(STEPS[0]) % n).otherwise(F.lit(STEPS[1]) % n)
     block = F.floor(F.col("start") / block_words).cast("long")
-    dealt = F.pmod(block * step + F.pmod(F.xxhash64(F.lit(SEED), "rank"), n), n)
-    pieces = pieces.withColumn("dealt", dealt).join(shard_quotas(table, block_words, blocks_per_shard), ["rank", "dealt"])
+    pieces = pieces.withColumn("dealt", permuted(block, n, F.col("rank"))).join(shard_quotas(table, block_words, blocks_per_shard), ["rank", "dealt"])
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED + 1), "rank", "at", "turn"), "rank", "at", "turn")
     return placed, pieces.select("doc_id", "h", "rank", "at", "turn", "taken", "shard", F.row_number().over(shuffled).alias("position"))
 

@@ -113,12 +113,40 @@ def test_fingerprints(spark, sf, texts):
         r, own = got[k], paragraphs(t)
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(like(own, paragraphs(edited))) and r.near_next == pytest.approx(like(own, paragraphs(after)))
+        differ = [d for d in r.edited_digests.split(",") if d]
+        assert len(set(differ)) == len(differ) == len(own ^ paragraphs(edited))
     by_text = collections.defaultdict(set)
     for k, t in texts.items():
         by_text[t].add(got[k].fingerprint)
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_printed_fingerprints_subtract_and_peel(spark):
+    """Two stored fingerprints alone give back the keys in which their texts differ."""
+    from pyspark.sql import functions as F
+
+    a = "\n".join(f"line {i} of the first text" for i in range(40))
+    docs = spark.createDataFrame([(0, a), (1, a.replace("line 7 ", "line seven ").replace("line 20 of the first text\n", ""))], "doc_id long, text string")
+    made = [r.fingerprint for r in fingerprints.fingerprints(docs).orderBy("doc_id").collect()]
+    cells = [[int(x, 16) for x in f.split(":")[1].split("-")] for f in made]
+    both = [x ^ y for x, y in zip(*cells)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in both]
+    left, got = spark.createDataFrame([(signed,)], "c array<long>").select(fingerprints.peel(F.col("c"), fingerprints.PRINTED_CELLS).alias("p")).select("p.c", "p.k").first()
+    keys = [set(r.k) for r in docs.orderBy("doc_id").select(fingerprints.keys(F.col("text")).alias("k")).collect()]
+    assert not any(left) and set(got) == keys[0] ^ keys[1] and len(got) == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 4097])
+def test_blocks_are_permuted(spark, n):
+    from pyspark.sql import functions as F
+
+    to = [r.y for r in spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("y")).orderBy("id").collect()]
+    assert sorted(to) == list(range(n))
+    if n >= 1000:
+        steps = collections.Counter((b - a) % n for a, b in zip(to, to[1:]))
+        assert max(steps.values()) < 10 and abs(np.corrcoef(np.arange(n), to)[0, 1]) < 0.15
+
+
 def test_toxicity_on_held_out_rows():
     bad = ["you idiot go away", "what a moron he is", "such scum and filth"]
     good = ["the weather is fine today", "a long walk by the river", "bread and butter for all"]
