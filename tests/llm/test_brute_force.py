@@ -166,6 +166,25 @@ def test_toxicity_on_held_out_rows():
     assert model.document_score(toxicity.bags("")) == 0.0
 
 
+def test_toxicity_of_a_whole_table(spark):
+    table = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{table}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in toxicity.op5_toxicity(spark, table).collect()}
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for k, r in got.items())
+    said = {y: [got[k].predicted for k, toxic in labels.items() if toxic == y and k in got and got[k].held_out] for y in (0, 1)}
+    assert said[1] and sum(said[1]) >= 0.8 * len(said[1]) and sum(said[0]) <= 0.03 * len(said[0])
+
+
+def test_held_out_labels_teach_nothing(spark):
+    from pyspark.sql import functions as F
+
+    table = "/root/testdata/sf0.01"
+    docs, labels = documents(spark, table), spark.read.parquet(f"{table}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.trained(docs, labels), toxicity.trained(docs, turned)
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
 def plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
