@@ -26,6 +26,8 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 4096
 BLOCKS_PER_SHARD = 256
 DOCS_PER_BUCKET = 500
+#: Rows that a running sum takes in one go, in each of its two levels.
+ROWS_PER_RUN = 1000
 SEED = 17
 #: Rows of the table of sources up to which it is broadcast.
 BROADCAST_SOURCES = 50_000
@@ -59,6 +61,19 @@ def targets(sized: DataFrame) -> DataFrame:
     return table.select("source", "rank", "weight", "source_size", target.alias("target"), F.least(F.round(target).cast("long"), MOST_REPEATS * F.col("source_size")).alias("quota"))
 
 
+def running(table: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """table with the sum of `value` over the rows of the same key that come before, by a whole-number `order` unique in its key.
+
+    Summed in two levels: inside runs of ROWS_PER_RUN numbers, then over the runs. No window holds a whole key's rows.
+    """
+    run = F.floor(F.col(order) / ROWS_PER_RUN).cast("long")
+    inside = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = table.groupBy(key, run.alias("_run")).agg(F.sum(value).alias("_n")).select(key, "_run", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
+    local = table.withColumn("_run", run).withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(runs, [key, "_run"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_run", "_in", "_base")
+
+
 def _uniform(*what):
     return F.pmod(F.xxhash64(F.lit(SEED), *what), F.lit(1 << 52)) / float(1 << 52)
 
@@ -131,8 +146,7 @@ def shard_quotas(table: DataFrame, block_words: int, blocks_per_shard: int) -> D
         )
         nodes = stored(halves.select(F.explode(both).alias("n")).select("n.node", "n.quotas"), "quotas").repartition(min(1 << level, 64))
     leaves = nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.posexplode("quotas").alias("at", "n")).withColumn("rank", F.col("at") + 1)
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    spans = leaves.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
+    spans = running(leaves, "rank", "shard", "n", "first").filter("n > 0")
     return spans.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("dealt"))
 
 
@@ -167,8 +181,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int =
     joined = sized.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     rows = joined.select("doc_id", "d.source", "size", "h", "rank", "source_size", "target", "quota").withColumn("bucket", F.pmod("h", F.lit(buckets)))
     inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("n")).select("rank", "bucket", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    sums = stored(rows.groupBy("rank", "bucket").agg(F.sum("size").alias("n")), "buckets")
+    bases = running(sums, "rank", "bucket", "n", "base").drop("n")
     placed = rows.withColumn("in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["rank", "bucket"])
     placed = stored(placed.withColumn("at", F.col("base") + F.col("in_bucket")).drop("base", "in_bucket", "bucket"), "placed")
 

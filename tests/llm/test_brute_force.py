@@ -531,3 +531,12 @@ def test_pipeline_stages(spark, sf, texts):
         assert r.n_chars == len(r.text)
     left = {r.doc_id for r in stages["toxicity"](spark, docs, sf).collect()}
     assert left <= set(texts) and len(left) > 0.8 * len(texts)
+
+
+def test_running_sums_need_no_whole_key(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(o), int(v)) for k in range(3) for o, v in zip(rng.permutation(200)[:90], rng.integers(0, 9, 90))]
+    monkeypatch.setattr(mixing, "ROWS_PER_RUN", 7)
+    got = mixing.running(spark.createDataFrame(rows, "k long, o long, v long"), "k", "o", "v", "before").collect()
+    assert {(r.k, r.o): r.before for r in got} == {(k, o): sum(w for j, p, w in rows if j == k and p < o) for k, o, _ in rows}
+    assert len(got) == len(rows)
