@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ THRESHOLD = 0.7
 #: Words of a sentence, at most: longer ones are cut, so that one score never stands for a whole text.
 SENTENCE_WORDS = 40
 CACHE_WORDS = 300_000
+#: Texts that a worker turns into strings together.
+SLICE_TEXTS = 500
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _STOP = re.compile(r"[.!?\n]+")
@@ -92,8 +95,9 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, steps: int = STEP
     size = 1 << bits
     known: dict[str, tuple[int, ...]] = {}
     docs_, sentences_, features_ = array("i"), array("i"), array("i")  # some bytes a number, not some dozens
-    n = 0
+    n, spread = 0, np.zeros(size, np.int32)  # texts that have each feature
     for i, text in enumerate(texts):
+        mine = len(features_)
         for bag in bags(text):
             docs_.append(i)
             for w in sorted(bag):
@@ -102,12 +106,12 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, steps: int = STEP
                 features_.extend(known[w])
                 sentences_.extend([n] * len(known[w]))
             n += 1
+        spread[np.unique(np.array(features_[mine:], np.int32))] += 1
     y = np.array(labels, float)
     doc, sentence, feature = (np.array(x, np.int32) for x in (docs_, sentences_, features_))
     del docs_, sentences_, features_, known
     # A feature that few documents have would learn those documents by heart.
-    pairs = np.unique(feature.astype(np.int64) * len(texts) + doc[sentence]) // max(1, len(texts))
-    often = np.bincount(pairs, minlength=size) >= LEAST_DOCS
+    often = spread >= LEAST_DOCS
     sentence, feature = sentence[often[feature]], feature[often[feature]]
     used, feature = np.unique(feature, return_inverse=True)
     w, b = np.zeros(len(used)), -4.0
@@ -154,17 +158,25 @@ def held_out(doc_id: str):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _score(weights: np.ndarray, bias: float):
+def _slices(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow:
+        for first in range(0, batch.num_rows, SLICE_TEXTS):
+            yield batch.slice(first, SLICE_TEXTS)
+
+
+def _score(weights: np.ndarray, bias: float, inside: str | None):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(weights, bias)
-        for batch in arrow:
+        for batch in _slices(arrow):
             scores, spans = [], []
-            for text in batch.column("_text").to_pylist():
+            texts = pc.struct_field(batch.column(inside), "text") if inside else batch.column("_text")
+            for text in texts.to_pylist():
+                text = text or ""
                 s = model.document_score(bags(text))
                 scores.append(s)
                 # Only where a document offends it pays to look for the place.
                 spans.append(worst_sentence(model, text) if s >= THRESHOLD else (None, None))
-            rest = batch.drop_columns(["_text"])
+            rest = batch if inside else batch.drop_columns(["_text"])
             starts, ends = [a for a, _ in spans], [b for _, b in spans]
             columns = [*rest.columns, pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*rest.schema.names, "score", "worst_start", "worst_end"])
@@ -180,15 +192,18 @@ def worst_sentence(model: Model, text: str) -> tuple[int | None, int | None]:
     return spans[int(np.argmax([model.sums(bags(text[a:b])).max(initial=-np.inf) for a, b in spans]))]
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], inside: str | None = None) -> DataFrame:
     """The columns `keep` of docs, with score, worst_start and worst_end.
 
+    The text is the column `text`, or the string field `text` of the kept struct
+    column `inside`, which then goes to the workers once.
+
     A null text is empty; a text without words has score 0. Repeated rows score
     alike. An empty table gives no rows. Other columns are never looked at.
     """
-    read = docs.select(*keep, whole_text().alias("_text"))
+    read = docs.select(*keep) if inside else docs.select(*keep, whole_text().alias("_text"))
     schema = docs.select(*keep).schema.add("score", "double").add("worst_start", "long").add("worst_end", "long")
-    return read.mapInArrow(_score(model.weights.astype(np.float32), model.bias), schema)
+    return read.mapInArrow(_score(model.weights.astype(np.float32), model.bias, inside), schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
