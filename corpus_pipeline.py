@@ -18,8 +18,8 @@ from quill.llm.common import documents, stored
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those whose score reaches the threshold; the model is trained on labelled rows of docs."""
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return toxicity.score(whole, model, ["_row"]).filter(F.col("score") < toxicity.THRESHOLD).select("_row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    return toxicity.score(whole, model, ["_row"], inside="_row").filter(F.col("score") < toxicity.THRESHOLD).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
