@@ -123,23 +123,18 @@ def quantize(image: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def regions(labels: np.ndarray) -> np.ndarray:
     """Numbers of the 4-connected regions of equal values, by their first pixel."""
-    h, w = labels.shape
-    up = np.arange(h * w)
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    flat = labels.ravel()
-    for i in range(h * w):
-        for j in ((i - 1) if i % w else -1, i - w):
-            if j >= 0 and flat[i] == flat[j]:
-                a, b = find(i), find(j)
-                up[max(a, b)] = min(a, b)
-    roots = np.array([find(i) for i in range(h * w)])
-    return np.unique(roots, return_inverse=True)[1].reshape(h, w)
+    at = np.arange(labels.size).reshape(labels.shape)
+    across, down = labels[:, 1:] == labels[:, :-1], labels[1:] == labels[:-1]
+    a, b = np.concatenate([at[:, :-1][across], at[:-1][down]]), np.concatenate([at[:, 1:][across], at[1:][down]])
+    up = at.ravel().copy()
+    while len(a):
+        # Of two neighbouring trees the later root goes under the earlier; then all pixels go to their roots.
+        np.minimum.at(up, np.maximum(up[a], up[b]), np.minimum(up[a], up[b]))
+        while not np.array_equal(higher := up[up], up):
+            up = higher
+        apart = up[a] != up[b]
+        a, b = a[apart], b[apart]
+    return np.unique(up, return_inverse=True)[1].reshape(labels.shape)
 
 
 def outline(mask: np.ndarray) -> list[list[tuple[int, int]]]:

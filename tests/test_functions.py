@@ -208,3 +208,20 @@ def test_settings():
     assert config.load(preset="no such preset") == config.load()
     with pytest.raises(ValueError):
         config.load({"hierarchy": {"area_ratio_threshold": 0.9}})
+
+
+def test_regions_are_connected_and_numbered_by_their_first_pixel():
+    spiral = np.zeros((9, 9), int)
+    spiral[1, 1:8] = spiral[1:8, 7] = spiral[7, 1:8] = spiral[3:8, 1] = spiral[3, 1:6] = 1
+    for labels in (spiral, np.random.default_rng(0).integers(0, 2, (40, 30)), np.zeros((1, 1), int), np.zeros((0, 5), int)):
+        h, w = labels.shape
+        want, n = np.full((h, w), -1), 0
+        for y, x in np.ndindex(h, w):
+            todo = [(y, x)] if want[y, x] < 0 else []
+            n += len(todo)
+            while todo:
+                i, j = todo.pop()
+                if 0 <= i < h and 0 <= j < w and want[i, j] < 0 and labels[i, j] == labels[y, x]:
+                    want[i, j] = n - 1
+                    todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+        assert (raster.regions(labels) == want).all()
