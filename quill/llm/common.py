@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +66,32 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") ->
     met = rows.join(F.broadcast(hot), key, "left")
     rest = met.filter("_hot is null").select(*rows.columns).join(table.filter(F.col("_n") <= bound).drop("_n"), key, how)
     return met.filter("_hot").drop("_hot").unionByName(rest)
+
+
+# ---- memory of Python workers --------------------------------------------------
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):
+        pass  # another C library; it keeps what it likes
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, a function for mapInArrow, that gives memory back when its task ends.
+
+    Workers wait for the next task beside the JVM, and wait with all that the
+    allocators kept of the task before; the stages that follow need that room.
+    """
+
+    def task(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(arrow)
+        finally:
+            give_back()
+
+    return task

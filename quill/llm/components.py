@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, stored
+from .common import looked_up, released, stored
 
 MOST_ROUNDS = 60
 EDGES_PER_TASK = 200_000
@@ -66,7 +66,7 @@ def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFr
     """
     edges = stored(edges.select("u", "v").filter("u != v"), "edges")
     tasks = -(-edges.count() // edges_per_task)
-    edges = stored(edges.repartition(max(1, tasks)).mapInArrow(_contract, "u long, v long"), "edges")
+    edges = stored(edges.repartition(max(1, tasks)).mapInArrow(released(_contract), "u long, v long"), "edges")
     before = None
     for _ in range(MOST_ROUNDS if tasks > 1 else 0):
         edges = stored(_small(stored(_large(edges), "edges")), "edges")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, looked_up, stored, whole_text
+from .common import documents, looked_up, released, stored, whole_text
 from .components import components
 from .wordhash import digests, runs, shingle_sets
 
@@ -255,11 +255,11 @@ def _ordered(percent: int):
 def incidence(texts: DataFrame, size: int, percent: int, n_grams: int, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The rows of the incidence matrix that can have a link: ROWS, one per set. texts: _text."""
     blocks = max(1, -(-n_grams // block_grams))
-    sent = texts.select("_text").mapInArrow(_send(size, blocks), _SENT)
+    sent = texts.select("_text").mapInArrow(released(_send(size, blocks)), _SENT)
     # Manifests only pass through, dealt by their batch.
     dealt = sent.repartition("block", F.when(F.col("block") < 0, F.col("batch"))).sortWithinPartitions("block")
-    answers = dealt.mapInArrow(_answer, _SENT)
-    rows = answers.repartition("batch").sortWithinPartitions("batch").mapInArrow(_ordered(percent), ROWS)
+    answers = dealt.mapInArrow(released(_answer), _SENT)
+    rows = answers.repartition("batch").sortWithinPartitions("batch").mapInArrow(released(_ordered(percent)), ROWS)
     rows = stored(rows, "rows")
     # A set that several batches hold: frequencies are the same for all, so any of its rows will do.
     again = rows.groupBy("node").count().filter("count > 1").select("node")
@@ -372,7 +372,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     hubs = ends.select(F.col("hub").alias("node"), "block").distinct()
     lefts = hubs.join(rows, "node").select(F.col("node").alias("hub"), "block", F.lit(0).alias("role"), "node", "n", "grams")
     dealt = lefts.unionByName(rights).repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
-    return stored(dealt.mapInArrow(_products(percent), "u long, v long"), "links")
+    return stored(dealt.mapInArrow(released(_products(percent)), "u long, v long"), "links")
 
 
 def links(rows: DataFrame, percent: int, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -427,7 +427,7 @@ def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, lis
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
     hashed = read.withColumn("h", F.xxhash64("doc_id", "_text"))
-    sets = stored(hashed.mapInArrow(_row_sets(size), "doc_id long, h long, n_shingles long, node long"), "sets")
+    sets = stored(hashed.mapInArrow(released(_row_sets(size)), "doc_id long, h long, n_shingles long, node long"), "sets")
     n_grams = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     labels = links(incidence(read, size, percent, n_grams, block_grams), percent, list_rows)
     nodes = sets.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("least"))

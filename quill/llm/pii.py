@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, released, whole_text
 from .wordhash import BYTE_VALUE, place_hashes, runs, text_bytes, word_places
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -535,7 +535,7 @@ def find(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id").schema
     for name in ("n_email", "n_ip", "n_card", "n_phone"):
         schema = schema.add(name, "long")
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(partial(_find, _sent()), schema.add("base_sha256", "string").add("spans", "string").add("n_secret", "long").add("n_spans", "long"))
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(partial(_find, _sent())), schema.add("base_sha256", "string").add("spans", "string").add("n_secret", "long").add("n_spans", "long"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -553,7 +553,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             yield batch
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(released(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored, whole_text
+from .common import documents, released, stored, whole_text
 
 LENGTH = 200
 ANCHOR = 32
@@ -413,7 +413,7 @@ def joined(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
 def repeated_ranges(read: DataFrame, length: int = LENGTH) -> DataFrame:
     """(node, ranges): the byte ranges of each text, named by its hash, that hold strings which start elsewhere too."""
     schema = "h long, node long, place int, n_bytes int" + "".join(f", core{k} int, span{k} long" for k in range(RANGES))
-    found = read.select("node", "text").mapInArrow(_find_anchors(length), schema)
+    found = read.select("node", "text").mapInArrow(released(_find_anchors(length)), schema)
     # Copies of a text are one node, so their anchors are the same places.
     place, anchor = F.struct("node", "place"), Window.partitionBy("h")
     found = found.withColumn("twice", F.min(place).over(anchor) != F.max(place).over(anchor)).filter("twice")
@@ -431,8 +431,8 @@ def repeated_ranges(read: DataFrame, length: int = LENGTH) -> DataFrame:
     units = stored(units, "spans")
 
     wanted = units.filter("is_first").groupBy("node").agg(F.collect_list(F.struct("g", "span", "place", "a", "b")).alias("wanted"))
-    cut = read.select("node", "text").join(wanted, "node").mapInArrow(_cut_spans(length), "g long, span long, left int, bytes binary")
-    compared = cut.repartition("g").sortWithinPartitions("g", "span").mapInArrow(_compare(length), "g long, span long, starts array<int>, ends array<int>")
+    cut = read.select("node", "text").join(wanted, "node").mapInArrow(released(_cut_spans(length)), "g long, span long, left int, bytes binary")
+    compared = cut.repartition("g").sortWithinPartitions("g", "span").mapInArrow(released(_compare(length)), "g long, span long, starts array<int>, ends array<int>")
 
     whole = units.filter("full").select("node", "a", "b")
     part = units.filter("open and not full").join(compared, ["g", "span"]).select("node", "place", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
@@ -457,7 +457,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = docs.select("doc_id").schema
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, "long")
-    return rows.select("doc_id", "text", "ranges", "whole").mapInArrow(_remove, schema.add("kept_sha256", "string"))
+    return rows.select("doc_id", "text", "ranges", "whole").mapInArrow(released(_remove), schema.add("kept_sha256", "string"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

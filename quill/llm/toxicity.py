@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, released, whole_text
 
 #: Labelled rows the model is fitted on, at most, of each label; chosen by the md5 of the id.
 MOST_TRAINING = 2700
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], inside: str | None = N
     """
     read = docs.select(*keep) if inside else docs.select(*keep, whole_text().alias("_text"))
     schema = docs.select(*keep).schema.add("score", "double").add("worst_start", "long").add("worst_end", "long")
-    return read.mapInArrow(_score(model.weights.astype(np.float32), model.bias, inside), schema)
+    return read.mapInArrow(released(_score(model.weights.astype(np.float32), model.bias, inside)), schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:

@@ -540,3 +540,25 @@ def test_running_sums_need_no_whole_key(spark, monkeypatch):
     got = mixing.running(spark.createDataFrame(rows, "k long, o long, v long"), "k", "o", "v", "before").collect()
     assert {(r.k, r.o): r.before for r in got} == {(k, o): sum(w for j, p, w in rows if j == k and p < o) for k, o, _ in rows}
     assert len(got) == len(rows)
+
+
+def test_released_keeps_batches_and_ends_with_its_task():
+    import pyarrow as pa
+
+    from quill.llm.common import released
+
+    seen = []
+
+    def run(arrow):
+        try:
+            for batch in arrow:
+                yield batch
+        finally:
+            seen.append("end")
+
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2]})
+    assert [b.to_pydict() for b in released(run)(iter([batch, batch]))] == [{"a": [1, 2]}] * 2
+    half = released(run)(iter([batch, batch]))
+    next(half)
+    half.close()
+    assert seen == ["end", "end"]
