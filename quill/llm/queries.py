@@ -16,6 +16,9 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op3_token_store": "token_store",
     "op7_sum_of_squares_packing": "packing",
+    "op11_embedding_whitening": "whitening",
+    "op12_hard_negatives": "hard_negatives",
+    "op13_best_fit_packing": "matched_packing",
 }
 
 
