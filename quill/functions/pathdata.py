@@ -12,6 +12,8 @@ import decimal
 import re
 from functools import lru_cache
 
+import numpy as np
+
 _COMMAND = re.compile(r"[MmZzLlHhVvCcSsQqTtAa]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 #: Fixed value: what counts as a number when path data is rounded.
 _NUMBER = re.compile(r"-?\d+\.?\d*")
@@ -202,7 +204,7 @@ def curve_ratio(segments: list[tuple]) -> float:
 
 
 def ring(segments: list[tuple], samples: int = 64) -> list[tuple[float, float]] | None:
-    """Points at equal shares of the path's length; None for a path that bounds no area.
+    """Points at equal shares of the path's length; None with fewer than three of them.
 
     Samples that repeat the point before are left out. A ring that crosses itself is given as it is.
     """
@@ -219,10 +221,7 @@ def ring(segments: list[tuple], samples: int = 64) -> list[tuple[float, float]]
         q = point(segments[k], min(1.0, max(0.0, goal / lengths[k])) if lengths[k] else 0.0)
         if not out or (q.real, q.imag) != out[-1]:
             out.append((q.real, q.imag))
-    if len(set(out)) < 3:
-        return None
-    doubled = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1]))
-    return out if abs(doubled) > 1e-12 else None
+    return out if len(set(out)) > 2 else None
 
 
 def _text(z: complex) -> str:
@@ -258,15 +257,15 @@ def round_numbers(d: str, precision: int) -> str:
     return _NUMBER.sub(lambda found: _rounded(found[0], precision), d)
 
 
-def simplified(d: str, precision: int, tolerance: float, enabled: bool = True) -> str:
-    """Without segments shorter than the tolerance, and rounded; d itself if nothing would be left or it is no path."""
+def simplified(d: str, precision: int, tolerance: float, enabled: bool = True, remove_degenerate: bool = True) -> str:
+    """Without segments shorter than the tolerance (all kept if not remove_degenerate), and rounded; d itself if nothing would be left or it is no path."""
     if not enabled:
         return round_numbers(d, precision)
     try:
         segments = parse(d)
     except BadPath:
         return d
-    kept = [s for s in segments if length(s) >= tolerance]
+    kept = [s for s in segments if not remove_degenerate or length(s) >= tolerance]
     return round_numbers(write(kept), precision) if kept else d
 
 
@@ -282,40 +281,20 @@ def measures(d: str) -> tuple[tuple[float, float, float, float], int, float]:
 # ---- rings -------------------------------------------------------------------
 
 
-def inside(ring_: list, x: float, y: float) -> bool:
-    """Even-odd rule."""
-    odd = False
-    for (x0, y0), (x1, y1) in zip(ring_, ring_[1:] + ring_[:1]):
-        if (y0 > y) != (y1 > y) and x < x0 + (x1 - x0) * (y - y0) / (y1 - y0):
-            odd = not odd
-    return odd
-
-
-def _on_edge(ring_: list, x: float, y: float, slack: float) -> bool:
-    for (x0, y0), (x1, y1) in zip(ring_, ring_[1:] + ring_[:1]):
-        dx, dy = x1 - x0, y1 - y0
-        size = math.hypot(dx, dy)
-        if size and abs((x - x0) * dy - (y - y0) * dx) <= slack * size and -slack <= ((x - x0) * dx + (y - y0) * dy) / size <= size + slack:
-            return True
-    return False
-
-
-def covered(inner: list, outers: list[list], slack: float = 1e-7) -> bool:
-    """Whether the edges of a ring lie in the union of other rings: tested between all crossings."""
-    for (x0, y0), (x1, y1) in zip(inner, inner[1:] + inner[:1]):
-        cuts = {0.0, 1.0}
-        for outer in outers:
-            for (u0, v0), (u1, v1) in zip(outer, outer[1:] + outer[:1]):
-                denominator = (x1 - x0) * (v1 - v0) - (y1 - y0) * (u1 - u0)
-                if denominator:
-                    t = ((u0 - x0) * (v1 - v0) - (v0 - y0) * (u1 - u0)) / denominator
-                    s = ((u0 - x0) * (y1 - y0) - (v0 - y0) * (x1 - x0)) / denominator
-                    if 0 < t < 1 and -1e-12 <= s <= 1 + 1e-12:
-                        cuts.add(t)
-        ordered = sorted(cuts)
-        for a, b in zip(ordered, ordered[1:]):
-            t = (a + b) / 2
-            x, y = x0 + (x1 - x0) * t, y0 + (y1 - y0) * t
-            if not any(inside(o, x, y) or _on_edge(o, x, y, slack) for o in outers):
-                return False
-    return True
+def is_simple(points: list[tuple[float, float]], step: float = 1e-6) -> bool:
+    """Whether a ring surely neither crosses nor touches itself, nor turns back on itself, by steps of `step`."""
+    p = np.round(np.array(points) / step)
+    q, n = np.roll(p, -1, axis=0), len(p)
+    way = q - p
+    turn = lambda v: way[:, None, 0] * (v[None, :, 1] - p[:, None, 1]) - way[:, None, 1] * (v[None, :, 0] - p[:, None, 0])
+    reach = np.hypot(way[:, 0], way[:, 1])[:, None]
+    from_, to = turn(p), turn(q)
+    from_, to = np.where(np.abs(from_) <= reach, 0, from_), np.where(np.abs(to) <= reach, 0, to)
+    across = np.sign(from_) * np.sign(to) <= 0
+    low, high = np.minimum(p, q), np.maximum(p, q)
+    near = ((low[:, None] <= high[None] + 1) & (low[None] <= high[:, None] + 1)).all(-1)
+    apart = np.abs(np.arange(n)[:, None] - np.arange(n)[None])
+    apart = np.minimum(apart, n - apart) > 1
+    after = np.roll(way, -1, axis=0)
+    back = (np.abs(way[:, 0] * after[:, 1] - way[:, 1] * after[:, 0]) <= reach[:, 0]) & ((way * after).sum(1) <= 0)
+    return n > 2 and not (across & across.T & near & apart).any() and not back.any()

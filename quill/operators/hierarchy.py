@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import shared
-from ..functions import geometry, pathdata
+from ..functions import geometry
+from ..sources import svg
+from . import polygons
 
 
 def containment_pairs(boxes: DataFrame, ratio: float = 1.1) -> DataFrame:
@@ -23,26 +23,38 @@ def containment_pairs(boxes: DataFrame, ratio: float = 1.1) -> DataFrame:
     return pairs.select("image_id", "parent", "child", "parent_area")
 
 
-@F.pandas_udf(T.BooleanType())
-def rings_cover(outers: pd.Series, inners: pd.Series) -> pd.Series:
-    """Whether every ring of the second lies in the union of the first; true where either is missing."""
-    out = []
-    for a, b in zip(outers, inners):
-        if a is None or b is None or not len(a) or not len(b):
-            out.append(True)
-            continue
-        rings = [[(p["x"], p["y"]) for p in r] for r in a]
-        out.append(all(pathdata.covered([(p["x"], p["y"]) for p in r], rings) for r in b))
-    return pd.Series(out)
+def exact_pairs(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """The pairs whose regions hold each other as their boxes do; groups without polygons keep the boxes' word.
 
+    Only paths of groups in some pair are sampled; the outline of a group is that of the union of its paths' polygons.
+    """
+    shared.folder(pairs.sparkSession)
+    pairs = pairs.checkpoint()
+    wanted = pairs.select("image_id", F.col("parent").alias("group_idx")).unionByName(pairs.select("image_id", F.col("child").alias("group_idx"))).distinct()
+    members = paths.select("image_id", "group_idx", "path_idx", "d", "translate").join(wanted, ["image_id", "group_idx"])
+    return polygons.held(pairs, outlines(svg.with_polygons(members)), ["image_id"], "parent", "child")
 
-def exact_pairs(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """The pairs whose polygons hold each other as their boxes do; groups without polygons keep the boxes' word."""
-    rings = paths.groupBy("image_id", "group_idx").agg(F.collect_list("polygon").alias("rings"))
-    outer = rings.select("image_id", F.col("group_idx").alias("parent"), F.col("rings").alias("outer"))
-    inner = rings.select("image_id", F.col("group_idx").alias("child"), F.col("rings").alias("inner"))
-    both = pairs.join(outer, ["image_id", "parent"]).join(inner, ["image_id", "child"])
-    return both.filter(rings_cover("outer", "inner")).select("image_id", "parent", "child", "parent_area")
+
+def outlines(members: DataFrame) -> DataFrame:
+    """(image_id, region, ax, ay, bx, by): the edges round each group's polygons together; none for a group without.
+
+    members: image_id, group_idx, path_idx, polygon, simple. A polygon that
+    crosses or touches itself is repaired first: its largest part counts.
+    """
+    path = ["image_id", "group_idx", "path_idx"]
+    members = members.filter("polygon is not null").checkpoint()
+    own = members.filter("simple").transform(polygons.ring_edges, path, F.lit(0)).drop("member")
+    # Most images have no ring to repair; the rounds over those that have are not begun without any.
+    odd = members.filter("NOT simple")
+    if not odd.isEmpty():
+        own = own.unionByName(polygons.largest_part(polygons.ring_edges(odd, path, F.lit(0)), path))
+    own = own.checkpoint()
+    sizes = own.groupBy("image_id", "group_idx").agg((F.min("path_idx") < F.max("path_idx")).alias("several"))
+    own = own.join(sizes, ["image_id", "group_idx"])
+    several = own.filter("several").select("image_id", "group_idx", F.col("path_idx").alias("member"), *polygons.ENDS)
+    keys = ["image_id", "group_idx"]
+    union = polygons.outline(polygons.pieces(several, keys), keys)
+    return own.filter("NOT several").select(*keys, *polygons.ENDS).unionByName(union).withColumnRenamed("group_idx", "region").checkpoint()
 
 
 def direct_parents(pairs: DataFrame) -> DataFrame:

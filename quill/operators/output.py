@@ -19,14 +19,14 @@ NAMESPACE = "http://www.w3.org/2000/svg"
 
 
 @F.pandas_udf(T.StringType())
-def _simplified(d: pd.Series, precision: pd.Series, tolerance: pd.Series, enabled: pd.Series) -> pd.Series:
-    return pd.Series([pathdata.simplified(*row) for row in zip(d, precision, tolerance, enabled)])
+def _simplified(d: pd.Series, precision: pd.Series, tolerance: pd.Series, enabled: pd.Series, degenerate: pd.Series) -> pd.Series:
+    return pd.Series([pathdata.simplified(*row) for row in zip(d, precision, tolerance, enabled, degenerate)])
 
 
 def simplified_paths(paths: DataFrame, settings: dict) -> DataFrame:
     """Path data without short segments and with rounded numbers; boxes stay those of the parsed data."""
     o = settings["optimization"]
-    return paths.withColumn("d", _simplified("d", F.lit(o["coordinate_precision"]), F.lit(float(o["simplify_tolerance"])), F.lit(bool(o["simplify_paths"]))))
+    return paths.withColumn("d", _simplified("d", F.lit(o["coordinate_precision"]), F.lit(float(o["simplify_tolerance"])), F.lit(bool(o["simplify_paths"])), F.lit(bool(o["remove_degenerate"]))))
 
 
 def escaped(value: Column) -> Column:

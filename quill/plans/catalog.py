@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry
-from ..operators import features, graph, grouping, hierarchy, merging, output, raster, stats
+from ..operators import features, graph, grouping, hierarchy, merging, output, polygons, raster, stats
 from ..sources import svg
 from . import proxies
 from .proxies import PALETTE, SHAPES_SQL
@@ -169,6 +169,55 @@ def hierarchy_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.children(hierarchy.depths(*proxies.tree(spark, sf_dir))).select("image_id", "parent_idx", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
 
+# ---- polygons ----------------------------------------------------------------
+
+_BARS = SHAPES_SQL + """, e AS (SELECT *, greatest(0, least(10, (x1 - x0) // 3, (y1 - y0) // 3)) AS edge FROM s), f AS (SELECT *, path_idx % 3 = 0 OR edge = 0 AS solid FROM e),
+bars AS (
+  SELECT image_id, path_idx, x0 AS l, y0 AS b, x1 AS r, y1 AS t FROM f WHERE solid
+  UNION ALL SELECT image_id, path_idx, x0, y0, x1, y0 + edge FROM f WHERE NOT solid UNION ALL SELECT image_id, path_idx, x0, y1 - edge, x1, y1 FROM f WHERE NOT solid
+  UNION ALL SELECT image_id, path_idx, x0, y0, x0 + edge, y1 FROM f WHERE NOT solid UNION ALL SELECT image_id, path_idx, x1 - edge, y0, x1, y1 FROM f WHERE NOT solid)
+"""
+
+
+@query(SHAPES_SQL + """, k AS (SELECT *, path_idx % 13 + 1 AS k, x1 - x0 AS w, y1 - y0 AS h FROM s)
+SELECT image_id, path_idx, CASE path_idx % 4 WHEN 0 THEN w * h WHEN 1 THEN CASE path_idx // 4 % 2 WHEN 0 THEN w * h / 4.0::DOUBLE ELSE w * h * 9 / 8.0::DOUBLE END ELSE greatest(w * h, k * k) END::DOUBLE AS area FROM k WHERE path_idx % 4 <> 3""")
+def repaired_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings that cross or touch themselves become their largest part; those that leave a loose line have none."""
+    keys = ["image_id", "path_idx"]
+    found = polygons.largest_part(polygons.ring_edges(proxies.crossing_rings(spark, sf_dir), keys, F.lit(0)), keys)
+    doubled = (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / polygons.UNIT**2
+    return found.groupBy(*keys).agg(_r(F.sum(doubled) / 2, 3).alias("area"))
+
+
+@query(_BARS + """, g AS (SELECT *, path_idx // 10 AS grp FROM bars), xs AS (SELECT DISTINCT image_id, grp, unnest([l, r]) AS v FROM g), ys AS (SELECT DISTINCT image_id, grp, unnest([b, t]) AS v FROM g),
+xi AS (SELECT *, row_number() OVER (PARTITION BY image_id, grp ORDER BY v) AS i, lead(v) OVER (PARTITION BY image_id, grp ORDER BY v) AS w FROM xs), yi AS (SELECT *, row_number() OVER (PARTITION BY image_id, grp ORDER BY v) AS j, lead(v) OVER (PARTITION BY image_id, grp ORDER BY v) AS w FROM ys),
+cells AS (SELECT DISTINCT g.image_id, g.grp, i, j, (xi.w - xi.v) * (yi.w - yi.v) AS area FROM g JOIN xi ON xi.image_id = g.image_id AND xi.grp = g.grp AND xi.v >= g.l AND xi.v < g.r JOIN yi ON yi.image_id = g.image_id AND yi.grp = g.grp AND yi.v >= g.b AND yi.v < g.t),
+corners AS (SELECT image_id, grp, i + di AS i, j + dj AS j, sum(1 << (2 * di + dj)) AS mask FROM cells, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj) GROUP BY ALL),
+euler AS (SELECT image_id, grp, sum(CASE WHEN mask IN (1, 2, 4, 8) THEN 1 WHEN mask IN (7, 11, 13, 14) THEN -1 WHEN mask IN (6, 9) THEN 2 ELSE 0 END) // 4 AS n FROM corners GROUP BY ALL)
+SELECT image_id, grp AS group_idx, sum(area)::DOUBLE AS area, any_value(n)::BIGINT AS parts_less_holes FROM cells JOIN euler USING (image_id, grp) GROUP BY image_id, grp""")
+def union_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten shapes together: the area of their union, and how many more parts than holes it has."""
+    keys = ["image_id", "group_idx"]
+    bars = proxies.bars(spark, sf_dir).withColumn("group_idx", F.floor(F.col("path_idx") / 10))
+    made = polygons.outline(polygons.pieces(polygons.ring_edges(bars, keys, F.struct("path_idx", "part")), keys), keys)
+    rings = polygons.parts(polygons.rings(made, keys), keys)
+    return rings.groupBy(*keys).agg(_r(F.sum("area"), 3).alias("area"), F.sum(F.when(F.col("area") > 0, 1).otherwise(-1)).alias("parts_less_holes"))
+
+
+@query(_BARS[: _BARS.index(",\nbars")] + """
+SELECT p.image_id, p.path_idx AS parent, c.path_idx AS child, (p.edge > 0 AND NOT p.solid) AS hollow FROM f p JOIN f c ON p.image_id = c.image_id AND p.path_idx <> c.path_idx
+  AND p.area * 10 > c.area * 11 AND p.x0 <= c.x0 AND p.y0 <= c.y0 AND p.x1 >= c.x1 AND p.y1 >= c.y1
+WHERE p.solid OR greatest(p.x0 + p.edge, c.x0) >= least(p.x1 - p.edge, c.x1) OR greatest(p.y0 + p.edge, c.y0) >= least(p.y1 - p.edge, c.y1) OR (NOT c.solid
+  AND greatest(p.x0 + p.edge, c.x0) >= c.x0 + c.edge AND least(p.x1 - p.edge, c.x1) <= c.x1 - c.edge AND greatest(p.y0 + p.edge, c.y0) >= c.y0 + c.edge AND least(p.y1 - p.edge, c.y1) <= c.y1 - c.edge)""")
+def interior_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and boxes: which lies in the area of which, and not only in its box."""
+    boxes, _ = proxies.tree(spark, sf_dir)
+    bars = proxies.bars(spark, sf_dir).withColumnsRenamed({"path_idx": "group_idx", "part": "path_idx"}).withColumn("simple", F.lit(True))
+    pairs = polygons.held(hierarchy.containment_pairs(boxes), hierarchy.outlines(bars), ["image_id"], "parent", "child")
+    hollow = bars.groupBy("image_id", F.col("group_idx").alias("parent")).agg((F.count(F.lit(1)) > 1).alias("hollow"))
+    return pairs.join(hollow, ["image_id", "parent"]).select("image_id", "parent", "child", "hollow")
+
+
 # ---- features, graphs and clusters -------------------------------------------
 
 _APART = "CASE WHEN a.ll IS NULL OR b.ll IS NULL THEN CASE WHEN a.fill = b.fill THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END ELSE sqrt(pow(a.ll - b.ll, 2) + pow(a.la - b.la, 2) + pow(a.lb - b.lb, 2)) END"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry
@@ -61,6 +61,35 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _corners(*points: tuple) -> Column:
+    return F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points))
+
+
+def crossing_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, path_idx, polygon): boxes, bow-ties, boxes that touch in a corner, and boxes with a spike, as rings of whole numbers."""
+    b = shapes(spark, sf_dir).select("image_id", "path_idx", *(F.col(f"bbox.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    x, y, r, t = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    k = F.col("path_idx") % 13 + 1
+    box = _corners((x, y), (r, y), (r, t), (x, t))
+    # One side as high as the other, or three times: they cross in quarters of the width.
+    tie = _corners((x, y), (r, t), (r, y), (x, y + (t - y) * (1 + 2 * (F.floor(F.col("path_idx") / 4) % 2))))
+    pinch = _corners((x, y), (r, y), (r, t), (r + k, t), (r + k, t + k), (r, t + k), (r, t), (x, t))
+    spike = _corners((x, y), (r, y), (r + k, y), (r, y), (r, t), (x, t))
+    kind = F.col("path_idx") % 4
+    return b.select("image_id", "path_idx", F.when(kind == 0, box).when(kind == 1, tie).when(kind == 2, pinch).otherwise(spike).alias("polygon"))
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, path_idx, part, polygon): a third of the shapes as one box, the others as frames of four bars round a hole."""
+    b = shapes(spark, sf_dir).select("image_id", "path_idx", *(F.col(f"bbox.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    x, y, r, t = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    edge = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.floor((r - x) / 3), F.floor((t - y) / 3)))
+    rectangle = lambda x0, y0, x1, y1: _corners((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+    frame = F.array(rectangle(x, y, r, y + edge), rectangle(x, t - edge, r, t), rectangle(x, y, x + edge, t), rectangle(r - edge, y, r, t))
+    solid = (F.col("path_idx") % 3 == 0) | (edge == 0)
+    return b.select("image_id", "path_idx", F.posexplode(F.when(solid, F.array(rectangle(x, y, r, t))).otherwise(frame)).alias("part", "polygon"))
+
+
 def _listed(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

@@ -25,8 +25,6 @@ class Engine:
         bad = paths.filter("error is not null").select("image_id", F.col("error").alias("_e")).groupBy("image_id").agg(F.min("_e").alias("_e"))
         meta = meta.join(bad, "image_id", "left").withColumn("error", F.coalesce("error", "_e")).drop("_e")
         paths = paths.join(bad, "image_id", "left_anti").join(meta.select("image_id", "w", "h"), "image_id")
-        if self.settings["hierarchy"]["enabled"]:
-            paths = svg.with_polygons(paths)
         # Path data is parsed once; grouping, tree and drawing all go back to it.
         return meta, paths.persist()
 

@@ -124,21 +124,24 @@ def derived(paths: DataFrame, min_area: float = 2.0) -> DataFrame:
     return p.select("*", F.col("_m.complexity").alias("complexity"), F.col("_m.curve_ratio").alias("curve_ratio")).drop("_m", "_raw", "opacity_text")
 
 
-RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+RING = T.StructType([
+    T.StructField("polygon", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))), T.StructField("simple", T.BooleanType())
+])
 
 
 @F.pandas_udf(RING)
-def path_ring(d: pd.Series, tx: pd.Series, ty: pd.Series) -> pd.Series:
-    out = []
+def path_ring(d: pd.Series, tx: pd.Series, ty: pd.Series) -> pd.DataFrame:
+    rings, simple = [], []
     for text, x, y in zip(d, tx, ty):
         try:
             got = pathdata.ring(pathdata.parse(text))
         except pathdata.BadPath:
             got = None
-        out.append(None if got is None else [{"x": px + x, "y": py + y} for px, py in got])
-    return pd.Series(out)
+        rings.append(None if got is None else [{"x": px + x, "y": py + y} for px, py in got])
+        simple.append(None if got is None else pathdata.is_simple(got))
+    return pd.DataFrame({"polygon": pd.Series(rings, dtype=object), "simple": pd.Series(simple, dtype=object)})
 
 
 def with_polygons(paths: DataFrame) -> DataFrame:
-    """Adds `polygon`, a ring of samples; null where the path bounds no area."""
-    return paths.withColumn("polygon", path_ring("d", "translate.tx", "translate.ty"))
+    """Adds `polygon`, a ring of samples, null where the path has fewer than three, and `simple`, whether it neither crosses nor touches itself."""
+    return paths.withColumn("_r", path_ring("d", "translate.tx", "translate.ty")).select(*paths.columns, "_r.polygon", "_r.simple")

@@ -28,6 +28,7 @@ def results(spark):
         4: wrap(box(0, 0, 20, 'opacity="50%"')),
         5: "<svg><path",
         6: wrap(box(0, 0, 20) + box(15, 0, 20)),
+        7: wrap('<path d="M0 0h100v30h-100z" fill="#ff0000"/><path d="M0 70h100v30h-100z" fill="#ff0000"/><path d="M0 0h30v100h-30z" fill="#ff0000"/><path d="M70 0h30v100h-30z" fill="#ff0000"/><path d="M20 20h60v60h-60z" fill="#0000ff"/>'),
     }
     df = spark.createDataFrame(list(docs.items()), "image_id long, svg string")
     return docs, {r.image_id: r for r in Engine({"hierarchy": {"containment_method": "geometric"}, "grouping": {"color_tolerance": 10.0}}).run(df).collect()}
@@ -50,6 +51,12 @@ def test_nested_boxes_become_a_tree(results):
     assert len(root.findall(f".//{NS}path")) == 3
 
 
+def test_a_square_round_the_hole_of_a_frame_is_not_in_it(results):
+    """Four paths make the frame; the square's edges lie on it, its middle does not."""
+    root = ET.fromstring(results[1][7].svg.encode())
+    assert [e.get("fill") for e in root if e.tag in (f"{NS}g", f"{NS}path")].count("#0000ff") == 1
+
+
 def test_unanimous_opacity_is_on_group_and_paths(results):
     root = ET.fromstring(results[1][3].svg.encode())
     group = root.find(f"{NS}g")

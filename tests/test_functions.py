@@ -78,13 +78,20 @@ def test_path_measures():
     assert len(pathdata.ring(pathdata.parse("M0 0H9V9H0Z"))) == 64
 
 
-def test_rings():
-    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
-    assert pathdata.covered(square(2, 4), [square(0, 10)])
-    assert not pathdata.covered(square(2, 14), [square(0, 10)])
-    halves = [[(0, 0), (6, 0), (6, 10), (0, 10)], [(5, 0), (10, 0), (10, 10), (5, 10)]]
-    assert pathdata.covered(square(2, 9), halves)
-    assert not pathdata.covered(square(2, 9), halves[:1])
+@pytest.mark.parametrize(
+    "ring, simple",
+    [
+        ([(0, 0), (10, 0), (10, 10), (0, 10)], True), ([(0, 0), (5, 0), (10, 0), (10, 10), (0, 10)], True), ([(0, 0), (10, 10), (10, 0), (0, 10)], False), ([(0, 0), (10, 0), (10, 10), (15, 10), (10, 10), (0, 10)], False),
+        ([(0, 0), (5, 0), (5, 5), (9, 5), (9, 9), (5, 9), (5, 5), (0, 5)], False), ([(0, 0), (10, 0), (5, 0)], False), ([(0, 0), (10, 0), (10, 10), (5, 0), (0, 10)], False), ([(0, 0), (1, 1)], False),
+    ],
+)
+def test_simple_rings(ring, simple):
+    assert pathdata.is_simple([(float(x), float(y)) for x, y in ring]) == simple
+
+
+def test_degenerate_segments_stay_if_asked_for():
+    d = "M0 0 L9 0 L9 9 L9.1 9.1 L0 9 Z"
+    assert "L 9.1,9.1" in pathdata.simplified(d, 2, 0.5, True, False) and "L 9.1,9.1" not in pathdata.simplified(d, 2, 0.5, True, True)
 
 
 def test_merges_are_ordered():
