@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry
+from . import nearby
 from .graph import communities, connected_components
 
 
@@ -46,28 +47,19 @@ def density_clusters(paths: DataFrame, eps: float, min_samples: int = 1) -> Data
     return out.select("image_id", "path_idx", F.coalesce("label", "reached", F.lit(-1)).alias("label"))
 
 
-def similarity_edges(paths: DataFrame, proximity: float = 50.0, tolerance: float = 25.0, cell: float | None = None) -> DataFrame:
+def similarity_edges(paths: DataFrame, proximity: float = 50.0, tolerance: float = 25.0) -> DataFrame:
     """(image_id, i, j, weight), i < j: boxes within `proximity` whose colours are within `tolerance`.
 
-    A box is dealt to the grid cells it reaches; a pair is kept only in the
-    highest of both boxes' first cells, so it appears once.
+    Boxes that are grown by half the distance meet where those as they are lie within it.
     """
-    size = float(cell or max(proximity, 1.0))
-    lo = lambda b, n, grow: F.floor((b[f"{n}min"] - grow) / size).cast("long")
-    hi = lambda b, n, grow: F.floor((b[f"{n}max"] + grow) / size).cast("long")
-
-    def dealt(name: str, idx: str, grow: float) -> DataFrame:
-        b = F.col("bbox")
-        p = paths.select("image_id", F.col("path_idx").alias(idx), b.alias(f"b{name}"), F.col("lab").alias(f"l{name}"), F.col("fill").alias(f"f{name}"), lo(b, "x", grow).alias(f"x{name}"), lo(b, "y", grow).alias(f"y{name}"), hi(b, "x", grow).alias("_hx"), hi(b, "y", grow).alias("_hy"))
-        p = p.withColumn("cx", F.explode(F.sequence(F.col(f"x{name}"), F.col("_hx")))).withColumn("cy", F.explode(F.sequence(F.col(f"y{name}"), F.col("_hy"))))
-        return p.drop("_hx", "_hy")
-
-    pairs = dealt("a", "i", proximity).join(dealt("b", "j", 0.0), ["image_id", "cx", "cy"])
-    pairs = pairs.filter((F.col("i") < F.col("j")) & (F.col("cx") == F.greatest("xa", "xb")) & (F.col("cy") == F.greatest("ya", "yb")))
-    dist = geometry.distance(F.col("ba"), F.col("bb"))
-    apart = F.coalesce(color.delta_e(F.col("la"), F.col("lb")), F.when(F.col("fa") == F.col("fb"), 0.0).otherwise(F.lit(float("inf"))))
+    half, b = F.lit(proximity / 2), F.col("bbox")
+    grown = geometry.box(b["xmin"] - half, b["ymin"] - half, b["xmax"] + half, b["ymax"] + half)
+    pairs = nearby.overlapping(paths.select("image_id", "path_idx", "bbox", "lab", "fill", grown.alias("reach")), ["image_id"], "path_idx", "reach")
+    dist = geometry.distance(F.col("a_bbox"), F.col("b_bbox"))
+    apart = F.coalesce(color.delta_e(F.col("a_lab"), F.col("b_lab")), F.when(F.col("a_fill") == F.col("b_fill"), 0.0).otherwise(F.lit(float("inf"))))
     pairs = pairs.withColumn("dist", dist).withColumn("apart", apart).filter((F.col("dist") <= proximity) & (F.col("apart") <= tolerance))
-    return pairs.select("image_id", "i", "j", (((1 - F.col("dist") / proximity) + (1 - F.col("apart") / tolerance)) / 2).alias("weight"))
+    weight = ((1 - F.col("dist") / proximity) + (1 - F.col("apart") / tolerance)) / 2
+    return pairs.select("image_id", F.least("a_path_idx", "b_path_idx").alias("i"), F.greatest("a_path_idx", "b_path_idx").alias("j"), weight.alias("weight"))
 
 
 def ordered_groups(paths: DataFrame, labels: DataFrame) -> DataFrame:

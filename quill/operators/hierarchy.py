@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..functions import geometry
 from ..sources import svg
-from . import polygons
+from . import nearby, polygons
 
 
 def containment_pairs(boxes: DataFrame, ratio: float = 1.1) -> DataFrame:
     """(image_id, parent, child, parent_area): boxes that hold another and are more than `ratio` times its area.
 
-    boxes: image_id, group_idx, bbox, area. A join on image_id; the rest are
-    residual predicates, the cheap one first.
+    boxes: image_id, group_idx, bbox, area. Boxes meet in cells of the holder's size.
     """
-    a = boxes.select("image_id", F.col("group_idx").alias("parent"), F.col("bbox").alias("ba"), F.col("area").alias("parent_area"))
-    b = boxes.select("image_id", F.col("group_idx").alias("child"), F.col("bbox").alias("bb"), F.col("area").alias("child_area"))
-    pairs = a.join(b, "image_id").filter((F.col("parent") != F.col("child")) & (F.col("parent_area") > F.col("child_area") * ratio) & geometry.contains(F.col("ba"), F.col("bb")))
-    return pairs.select("image_id", "parent", "child", "parent_area")
+    fits = (F.col("a_group_idx") != F.col("b_group_idx")) & (F.col("a_area") > F.col("b_area") * ratio)
+    pairs = nearby.holding(boxes.select("image_id", "group_idx", "bbox", "area"), ["image_id"], fits)
+    return pairs.select("image_id", F.col("a_group_idx").alias("parent"), F.col("b_group_idx").alias("child"), F.col("a_area").alias("parent_area"))
 
 
 def exact_pairs(pairs: DataFrame, paths: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import nearby
+
 
 def first_claims(n: int, fits: Callable[[int], np.ndarray]) -> np.ndarray:
     """For each of n rows the first row before it that fits and stands for itself, or the row itself if none does.
@@ -92,12 +94,9 @@ def merge_groups(paths: DataFrame, proximity: float = 50.0, tolerance: float = 2
 
 def mergeable_pairs(paths: DataFrame) -> DataFrame:
     """(image_id, group_idx, i, j), i < j: members of like fill and transform whose boxes touch."""
-    from ..functions import geometry
-
-    key = ["image_id", "group_idx", "fill"]
-    a = paths.select(*key, F.coalesce("transform", F.lit("\0")).alias("t"), F.col("path_idx").alias("i"), F.col("bbox").alias("ba"))
-    b = paths.select(*key, F.coalesce("transform", F.lit("\0")).alias("t"), F.col("path_idx").alias("j"), F.col("bbox").alias("bb"))
-    return a.join(b, [*key, "t"]).filter((F.col("i") < F.col("j")) & geometry.overlaps(F.col("ba"), F.col("bb"))).select("image_id", "group_idx", "i", "j")
+    keys = ["image_id", "group_idx", "fill", "_t"]
+    pairs = nearby.overlapping(paths.select(*keys[:3], F.coalesce("transform", F.lit("\0")).alias("_t"), "path_idx", "bbox"), keys, "path_idx")
+    return pairs.select("image_id", "group_idx", F.least("a_path_idx", "b_path_idx").alias("i"), F.greatest("a_path_idx", "b_path_idx").alias("j"))
 
 
 def touching(boxes: np.ndarray) -> np.ndarray:

@@ -78,7 +78,7 @@ def _crossings(edges: DataFrame, keys: list[str]) -> DataFrame:
     def touches(edge: str, end: str) -> Column:
         dx, dy = F.col(f"{edge}_bx") - F.col(f"{edge}_ax"), F.col(f"{edge}_by") - F.col(f"{edge}_ay")
         along = (F.col(f"{end}x") - F.col(f"{edge}_ax")) * dx + (F.col(f"{end}y") - F.col(f"{edge}_ay")) * dy
-        return (F.abs(turn(edge, end)) <= F.sqrt(dx * dx + dy * dy)) & (along >= 0) & (along <= dx * dx + dy * dy)
+        return (F.abs(turn(edge, end)) <= F.sqrt(dx * dx + dy * dy)) & (along > 0) & (along < dx * dx + dy * dy)
 
     cut = lambda i, x, y: F.struct(F.col(i).alias("id"), x.alias("x"), y.alias("y"))
     ends = [("i", "a", "b_a"), ("i", "a", "b_b"), ("j", "b", "a_a"), ("j", "b", "a_b")]
