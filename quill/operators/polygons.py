@@ -96,8 +96,7 @@ def pieces(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     A piece has its ends in rising order along its longer axis.
     """
-    shared.folder(edges.sparkSession)
-    edges = edges.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    edges = edges.withColumn("id", F.monotonically_increasing_id()).transform(shared.stored)
     cuts = _crossings(edges, keys).groupBy("id").agg(F.collect_set(F.struct("x", "y")).alias("cuts"))
     along = lambda p: (p["x"] - F.col("ax")) * (F.col("bx") - F.col("ax")) + (p["y"] - F.col("ay")) * (F.col("by") - F.col("ay"))
     end = lambda e: F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"))
@@ -170,26 +169,25 @@ def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     Rings take their number by doubling: after k rounds an edge knows the least number among the 2^k edges behind it.
     """
-    shared.folder(edges.sparkSession)
-    e = edges.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    e = edges.withColumn("id", F.monotonically_increasing_id()).transform(shared.stored)
     angle = lambda x, y: F.atan2(y, x)
     out = e.select(*keys, F.col("ax").alias("x"), F.col("ay").alias("y"), angle(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("w"), F.col("id").alias("leaves"), F.lit(None).cast("long").alias("comes"))
     into = e.select(*keys, F.col("bx").alias("x"), F.col("by").alias("y"), angle(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("w"), F.lit(None).cast("long").alias("leaves"), F.col("id").alias("comes"))
     round_ = Window.partitionBy(*keys, "x", "y").orderBy("w", "comes")
     before = F.last("leaves", True).over(round_.rowsBetween(Window.unboundedPreceding, -1))
     last = F.last("leaves", True).over(round_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ways = out.unionByName(into).withColumn("next", F.coalesce(before, last)).filter("comes is not null").select(F.col("comes").alias("id"), "next", F.col("comes").alias("ring")).checkpoint()
+    ways = out.unionByName(into).withColumn("next", F.coalesce(before, last)).filter("comes is not null").select(F.col("comes").alias("id"), "next", F.col("comes").alias("ring")).transform(shared.stored)
     longest = e.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
         far = ways.select(F.col("id").alias("next"), F.col("next").alias("_n"), F.col("ring").alias("_r"))
-        ways = ways.join(far, "next").select("id", F.col("_n").alias("next"), F.least("ring", "_r").alias("ring")).checkpoint()
+        ways = ways.join(far, "next").select("id", F.col("_n").alias("next"), F.least("ring", "_r").alias("ring")).transform(shared.stored)
     return e.join(ways.select("id", "ring"), "id").drop("id")
 
 
 def parts(ringed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ring, part, area): each ring's signed area, holes below zero, and the outer ring of the part it belongs to."""
     doubled = F.sum(F.col("ax") / UNIT * (F.col("by") / UNIT) - F.col("bx") / UNIT * (F.col("ay") / UNIT))
-    sized = ringed.groupBy(*keys, "ring").agg((doubled / 2).alias("area"), F.min(F.struct(*ENDS)).alias("one")).checkpoint()
+    sized = ringed.groupBy(*keys, "ring").agg((doubled / 2).alias("area"), F.min(F.struct(*ENDS)).alias("one")).transform(shared.stored)
     outer = sized.filter("area > 0")
     holes = sized.filter("area <= 0")
     points = _middles(holes.select(*keys, F.col("ring").alias("hole"), "one.*")).drop(*ENDS)
@@ -206,9 +204,9 @@ def largest_part(edges: DataFrame, keys: list[str]) -> DataFrame:
     A figure in which some stretch is run through an even number of times leaves
     loose lines besides areas; such a figure has no edges here, nor one without area.
     """
-    cut = pieces(edges, keys).checkpoint()
+    cut = pieces(edges, keys).transform(shared.stored)
     loose = cut.filter("n % 2 = 0").select(*keys).distinct()
-    ringed = rings(outline(cut.join(loose, keys, "left_anti"), keys), keys).checkpoint()
+    ringed = rings(outline(cut.join(loose, keys, "left_anti"), keys), keys).transform(shared.stored)
     own = parts(ringed, keys)
     first = ringed.groupBy(*keys, F.col("ring").alias("part")).agg(F.min(F.struct(*ENDS)).alias("_first"))
     sizes = own.groupBy(*keys, "part").agg(F.sum("area").alias("_area")).join(first, [*keys, "part"])

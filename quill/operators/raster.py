@@ -1,35 +1,28 @@
-"""Raster stages: pixels, palettes, sharpening, denoising, tracing. Arrays are rows x columns x 3 bytes (blue, green, red)."""
+"""Decoded images, palette sizes, and the array functions that tiles and samples go through. Arrays are rows x columns x 3 bytes (blue, green, red)."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, width, channels, data): decoded by the image source; what it cannot read is left out."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select(
+    """(path, height, width, channels, data): decoded by the image source; data is empty where it cannot read a file."""
+    return spark.read.format("image").option("pathGlobFilter", "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG],[wW][eE][bB][pP]}").load(path).select(
         F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data")
     )
 
 
-def sample(pixels: DataFrame, size: int = 50_000, seed: int = 42) -> DataFrame:
-    """`size` pixels of each image, chosen by a hash, so the same in every run."""
-    order = Window.partitionBy("image_id").orderBy(F.xxhash64(F.lit(seed), "image_id", "i"), "i")
-    return pixels.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).drop("_n")
+# Spread and number of colours beyond which an image takes this many times n colours; None: the most.
+VARIED = ((30, 2048, None), (20, 1024, 2), (12, 512, 1.5))
 
 
 def adaptive_k(unique: Column, spread: Column, n: int = 16, least: int = 8, most: int = 64) -> Column:
     """How many colours: 0 where there are no more than n; else more the wider and the more varied they are."""
-    chosen = (
-        F.when((spread > 30) | (unique > 2048), max(n, most))
-        .when((spread > 20) | (unique > 1024), min(most, n * 2))
-        .when((spread > 12) | (unique > 512), min(most, int(n * 1.5)))
-        .otherwise(n)
-    )
+    chosen = F.lit(n)
+    for wide, many, times in reversed(VARIED):
+        chosen = F.when((spread > wide) | (unique > many), max(n, most) if times is None else min(most, int(n * times))).otherwise(chosen)
     return F.when(unique <= n, 0).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), chosen)))
 
 
@@ -40,12 +33,6 @@ def palette_size(pixels: DataFrame, **limits) -> DataFrame:
     return out.withColumn("k", adaptive_k(F.col("n_unique"), F.col("spread"), **limits))
 
 
-def palette(pixels: DataFrame, k: int, seed: int = 42) -> list[list[float]]:
-    """Centres of the colours of one image's sample."""
-    rows = VectorAssembler(inputCols=["c0", "c1", "c2"], outputCol="v").transform(pixels.select(*(F.col(c).cast("double") for c in ("c0", "c1", "c2"))))
-    return [c.tolist() for c in KMeans(k=k, seed=seed, featuresCol="v", maxIter=20).fit(rows).clusterCenters()]
-
-
 def nearest(values: list[Column], centres: list[list[float]]) -> Column:
     """The number of the nearest centre, of equals the first."""
     far = [F.struct(sum(((v - c) * (v - c) for v, c in zip(values, centre)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, centre in enumerate(centres)]
@@ -54,18 +41,6 @@ def nearest(values: list[Column], centres: list[list[float]]) -> Column:
 
 # ---- arrays, inside Arrow functions ------------------------------------------
 
-# The sharpening kernel.
-SHARPEN = ((0, -1, 0), (-1, 5, -1), (0, -1, 0))
-
-
-def sharpen(image: np.ndarray) -> np.ndarray:
-    """The 3x3 kernel with mirrored borders, clipped to bytes."""
-    padded = np.pad(image.astype(np.int32), ((1, 1), (1, 1), (0, 0)), mode="reflect" if min(image.shape[:2]) > 1 else "edge")
-    h, w = image.shape[:2]
-    out = sum(k * padded[y : y + h, x : x + w] for y, row in enumerate(SHARPEN) for x, k in enumerate(row) if k)
-    return np.clip(out, 0, 255).astype(np.uint8)
-
-
 def to_lab8(bgr: np.ndarray) -> np.ndarray:
     """8-bit CIELAB: lightness by 255/100, the others shifted by 128."""
     from ..functions.color import WHITE, XYZ
@@ -90,6 +65,13 @@ def from_lab8(lab: np.ndarray) -> np.ndarray:
     return np.clip(np.round(rgb[..., ::-1] * 255), 0, 255).astype(np.uint8)
 
 
+def inverse_xyz() -> list[list[float]]:
+    """The way back from XYZ to linear parts."""
+    from ..functions.color import XYZ
+
+    return np.linalg.inv(np.array(XYZ)).tolist()
+
+
 def denoise(image: np.ndarray, strength: float = 10, template: int = 7, search: int = 21) -> np.ndarray:
     """Non-local means in 8-bit CIELAB: each pixel the mean of those in the search window, weighed by how alike their surroundings are."""
     lab = to_lab8(image).astype(float)
@@ -112,143 +94,21 @@ def denoise(image: np.ndarray, strength: float = 10, template: int = 7, search:
     return from_lab8(np.clip(np.round(total / weight[..., [0, 1, 1]]), 0, 255).astype(np.uint8))
 
 
-def quantize(image: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Each pixel its nearest centre, cut to bytes."""
-    flat = image.reshape(-1, 3).astype(float)
-    # A block of pixels at a time: their distances to all centres are held at once.
-    best = [((flat[i : i + 65_536, None, :] - centres[None]) ** 2).sum(-1).argmin(1) for i in range(0, len(flat), 65_536)]
-    best = np.concatenate(best) if best else np.zeros(0, int)
-    return np.clip(centres, 0, 255).astype(np.uint8)[best].reshape(image.shape)
-
-
-def regions(labels: np.ndarray) -> np.ndarray:
-    """Numbers of the 4-connected regions of equal values, by their first pixel."""
-    at = np.arange(labels.size).reshape(labels.shape)
-    across, down = labels[:, 1:] == labels[:, :-1], labels[1:] == labels[:-1]
-    a, b = np.concatenate([at[:, :-1][across], at[:-1][down]]), np.concatenate([at[:, 1:][across], at[1:][down]])
-    up = at.ravel().copy()
-    while len(a):
-        # Of two neighbouring trees the later root goes under the earlier; then all pixels go to their roots.
-        np.minimum.at(up, np.maximum(up[a], up[b]), np.minimum(up[a], up[b]))
-        while not np.array_equal(higher := up[up], up):
-            up = higher
-        apart = up[a] != up[b]
-        a, b = a[apart], b[apart]
-    return np.unique(up, return_inverse=True)[1].reshape(labels.shape)
-
-
-def outline(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Closed rings along the pixel edges of a mask, with corners only."""
-    h, w = mask.shape
-    steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for y, x in zip(*np.nonzero(mask)):
-        for (ny, nx), a, b in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
-            if not (0 <= ny < h and 0 <= nx < w and mask[ny, nx]):
-                steps.setdefault(tuple(map(int, a)), []).append(tuple(map(int, b)))
-    rings = []
-    while steps:
-        start = at = min(steps)
-        ring = []
-        while True:
-            ring.append(at)
-            ways = steps[at]
-            nxt = ways.pop()
-            if not ways:
-                del steps[at]
-            at = nxt
-            if at == start:
-                break
-        n = len(ring)
-        corners = [p for i, p in enumerate(ring) if (ring[i - 1][0] == p[0]) != (p[0] == ring[(i + 1) % n][0])]
-        rings.append(corners)
-    return rings
-
-
-def trace(image: np.ndarray, speckle: int = 4) -> str:
-    """SVG of the flat regions of a quantized image, larger first; regions below `speckle` pixels are left out.
-
-    Straight edges along pixels; a stand-in for a curve-fitting tracer, which is not part of this engine.
-    """
-    values = (image[..., 0].astype(int) << 16) | (image[..., 1].astype(int) << 8) | image[..., 2]
-    named = regions(values)
-    sizes = np.bincount(named.ravel())
-    h, w = values.shape
-    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}">']
-    for r in np.argsort(-sizes, kind="stable"):
-        if sizes[r] < speckle:
-            continue
-        mask = named == r
-        y, x = np.argwhere(mask)[0]
-        b, g, red = image[y, x]
-        d = " ".join("M" + " L".join(f"{px},{py}" for px, py in ring) + " Z" for ring in outline(mask))
-        out.append(f'<path d="{d}" fill="#{red:02x}{g:02x}{b:02x}"/>')
-    return "\n".join([*out, "</svg>"])
-
-
-def trace_images(images: DataFrame, settings: dict) -> DataFrame:
-    """(path, svg) of decoded images (path, height, width, channels, data): cleaned and quantized as the settings say, then traced."""
-    p, speckle = settings["preprocessing"], settings["tracing"]["filter_speckle"]
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)[..., :3]
-                image = np.repeat(image, 3, axis=-1) if image.shape[-1] == 1 else image
-                if p["enabled"]:
-                    image = denoise(image, p["denoise_strength"]) if p["denoise"] else image
-                    image = sharpen(image) if p["sharpen"] else image
-                if p["quantize_colors"]:
-                    image = fewer_colours(image, p)
-                rows.append((r.path, trace(image, speckle)))
-            yield pd.DataFrame(rows, columns=["path", "svg"])
-
-    return images.mapInPandas(run, "path string, svg string")
-
-
-def chosen_k(pixels: np.ndarray, n: int, least: int, most: int) -> int:
-    """adaptive_k of an array of pixels, for use inside a task."""
-    unique, spread = len(np.unique(pixels, axis=0)), float(pixels.astype(float).std(axis=0).mean())
-    if unique <= n:
-        return 0
-    k = n
-    if spread > 30 or unique > 2048:
-        k = max(n, most)
-    elif spread > 20 or unique > 1024:
-        k = n * 2
-    elif spread > 12 or unique > 512:
-        k = int(n * 1.5)
-    return max(least, min(most, k))
-
-
-def fewer_colours(image: np.ndarray, p: dict, seed: int = 42) -> np.ndarray:
-    """The image quantized as the preprocessing settings say; as it is where the adaptive mode finds few colours."""
-    lab = p["quantize_color_space"].lower() == "lab"
-    work = to_lab8(image) if lab else image
-    pixels = work.reshape(-1, 3)
-    if len(pixels) > p["quantize_sample_size"]:
-        pixels = pixels[np.random.default_rng(seed).choice(len(pixels), p["quantize_sample_size"], replace=False)]
-    k = p["quantize_n_colors"]
-    if p["quantize_mode"] == "adaptive":
-        k = chosen_k(pixels, k, p["quantize_n_colors_min"], p["quantize_n_colors_max"])
-    if k <= 0:
-        return image
-    out = quantize(work, centres(pixels, k))
-    return from_lab8(out) if lab else out
-
-
-def centres(image: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
-    """k-means centres of one image's pixels, for use inside a task."""
-    flat = image.reshape(-1, 3).astype(float)
-    values, counts = np.unique(flat, axis=0, return_counts=True)
+def centres(values: np.ndarray, counts: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
+    """k-means centres of different colours with their counts. The first are far apart: each next is drawn by its squared distance to those before."""
     rng = np.random.default_rng(seed)
-    c = values[rng.choice(len(values), min(k, len(values)), replace=False)]
+    k = min(k, len(values))
+    c = values[[rng.choice(len(values), p=counts / counts.sum())]].astype(float)
+    far = ((values - c[0]) ** 2).sum(1)
+    while len(c) < k:
+        weight = far * counts
+        c = np.concatenate([c, values[[rng.choice(len(values), p=weight / weight.sum())]]])
+        far = np.minimum(far, ((values - c[-1]) ** 2).sum(1))
     for _ in range(rounds):
-        best = ((values[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-        for i in range(len(c)):
-            mine = best == i
-            if mine.any():
-                c[i] = np.average(values[mine], axis=0, weights=counts[mine])
+        # A block of colours at a time: their distances to all centres are held at once.
+        best = np.concatenate([((values[i : i + 65_536, None] - c[None]) ** 2).sum(-1).argmin(1) for i in range(0, len(values), 65_536)])
+        weight = np.bincount(best, counts, len(c))
+        some = weight > 0
+        for i in range(values.shape[1]):
+            c[some, i] = np.bincount(best, counts * values[:, i], len(c))[some] / weight[some]
     return c

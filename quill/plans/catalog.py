@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry
-from ..operators import features, graph, grouping, hierarchy, merging, output, polygons, raster, stats
+from ..operators import features, graph, grouping, hierarchy, merging, output, pixels, polygons, raster, stats
 from ..sources import svg
 from . import proxies
 from .proxies import PALETTE, SHAPES_SQL
@@ -253,7 +253,11 @@ def eps_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.density_clusters(features.with_features(proxies.shapes(spark, sf_dir)), _EPS)
 
 
-@query()
+@query(_FEATURES.replace("WITH base", "WITH RECURSIVE base") + f""", e AS (SELECT a.image_id, a.path_idx AS i, b.path_idx AS j FROM f a JOIN f b ON a.image_id = b.image_id AND list_distance(a.v, b.v) <= {_EPS}),
+core AS (SELECT image_id, i AS path_idx FROM e GROUP BY image_id, i HAVING count(*) >= 3), ce AS (SELECT e.* FROM e JOIN core a ON a.image_id = e.image_id AND a.path_idx = i JOIN core b ON b.image_id = e.image_id AND b.path_idx = j),
+r AS (SELECT image_id, path_idx, path_idx AS reached FROM core UNION SELECT r.image_id, r.path_idx, ce.j FROM r JOIN ce ON ce.image_id = r.image_id AND ce.i = r.reached), l AS (SELECT image_id, path_idx, min(reached) AS label FROM r GROUP BY ALL),
+near AS (SELECT e.image_id, e.i AS path_idx, min(label) AS label FROM e JOIN l ON l.image_id = e.image_id AND l.path_idx = e.j GROUP BY ALL)
+SELECT f.image_id, f.path_idx, coalesce(l.label, near.label, -1)::INT AS label FROM f LEFT JOIN l ON l.image_id = f.image_id AND l.path_idx = f.path_idx LEFT JOIN near ON near.image_id = f.image_id AND near.path_idx = f.path_idx""")
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.density_clusters(features.with_features(proxies.shapes(spark, sf_dir)), _EPS, min_samples=3)
 
@@ -320,9 +324,90 @@ def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxies.pixels(spark, sf_dir).groupBy("image_id", best.alias("centre")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(_PIXELS + """SELECT image_id, i, c0::INT AS c0, c1::INT AS c1, c2::INT AS c2 FROM px QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('42|' || image_id || '|' || i), i) <= 500""")
 def pixel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.sample(proxies.pixels(spark, sf_dir), 500)
+    return pixels.sampled(proxies.pixels(spark, sf_dir), 500, key=("i",))
+
+
+_SHARP = ", ".join(f"greatest(0, least(255, 5 * p.c{k} - u.c{k} - d.c{k} - l.c{k} - r.c{k}))::INT AS c{k}" for k in range(3))
+
+
+@query(proxies.IMAGE_SQL + f"""SELECT p.image_id, p.y, p.x, {_SHARP} FROM px p
+JOIN px u ON u.image_id = p.image_id AND u.x = p.x AND u.y = CASE WHEN p.y = 0 THEN least(1, p.h - 1) ELSE p.y - 1 END JOIN px d ON d.image_id = p.image_id AND d.x = p.x AND d.y = CASE WHEN p.y = p.h - 1 THEN greatest(0, p.h - 2) ELSE p.y + 1 END
+JOIN px l ON l.image_id = p.image_id AND l.y = p.y AND l.x = CASE WHEN p.x = 0 THEN 1 ELSE p.x - 1 END JOIN px r ON r.image_id = p.image_id AND r.y = p.y AND r.x = CASE WHEN p.x = p.w - 1 THEN p.w - 2 ELSE p.x + 1 END""")
+def sharpened_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.sharpened(proxies.image_pixels(spark, sf_dir)).select("image_id", "y", "x", *pixels.COLOURS)
+
+
+_BACK = [[m * w for m, w in zip(row, color.WHITE)] for row in raster.inverse_xyz()]
+_LAB8 = _PIXELS + """, k AS (SELECT DISTINCT c0, c1, c2 FROM px), lin AS (SELECT *, list_transform([c2 / 255.0::DOUBLE, c1 / 255.0::DOUBLE, c0 / 255.0::DOUBLE], lambda v: CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END) AS c FROM k),
+xyz AS (SELECT *, list_transform([(0.4124564 * c[1] + 0.3575761 * c[2] + 0.1804375 * c[3]) / 0.95047, 0.2126729 * c[1] + 0.7151522 * c[2] + 0.0721750 * c[3], (0.0193339 * c[1] + 0.1191920 * c[2] + 0.9503041 * c[3]) / 1.08883],
+  lambda t: CASE WHEN t > pow(6.0 / 29, 3) THEN pow(t, 1.0::DOUBLE / 3) ELSE t / (3 * pow(6.0 / 29, 2)) + 4.0::DOUBLE / 29 END) AS f FROM lin),
+lab AS (SELECT c0, c1, c2, greatest(0, least(255, round((116 * f[2] - 16) * 255 / 100)))::INT AS l, greatest(0, least(255, round(500 * (f[1] - f[2]) + 128)))::INT AS a, greatest(0, least(255, round(200 * (f[2] - f[3]) + 128)))::INT AS b FROM xyz),
+g AS (SELECT *, (l * 100 / 255.0::DOUBLE + 16) / 116 AS fy FROM lab), inv AS (SELECT *, list_transform([fy + (a - 128) / 500.0::DOUBLE, fy, fy - (b - 128) / 200.0::DOUBLE], lambda v: CASE WHEN v > 6.0::DOUBLE / 29 THEN v * v * v ELSE 3 * pow(6.0::DOUBLE / 29, 2) * (v - 4.0::DOUBLE / 29) END) AS t FROM g),
+back AS (SELECT *, list_transform([""" + ", ".join(" + ".join(f"({m!r}::DOUBLE) * t[{i + 1}]" for i, m in enumerate(row)) for row in _BACK) + """], lambda v: round(255 * CASE WHEN greatest(0, least(1, v)) <= 0.0031308 THEN 12.92 * greatest(0, least(1, v)) ELSE 1.055 * pow(greatest(0, least(1, v)), 1.0::DOUBLE / 2.4) - 0.055 END)) AS r FROM inv)
+"""
+
+
+@query(_LAB8 + "SELECT c0::INT AS c0, c1::INT AS c1, c2::INT AS c2, l, a, b, greatest(0, least(255, r[3]))::INT AS b0, greatest(0, least(255, r[2]))::INT AS b1, greatest(0, least(255, r[1]))::INT AS b2 FROM back")
+def pixel_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours as bytes of CIELAB, and what is left of them on the way back."""
+    old = proxies.pixels(spark, sf_dir).select(*pixels.COLOURS).distinct().withColumns({f"o{k}": F.col(f"c{k}") for k in range(3)})
+    lab = pixels.with_lab8(old).withColumns({"l": F.col("c0"), "a": F.col("c1"), "b": F.col("c2")})
+    return pixels.without_lab8(lab).select(*(F.col(f"o{k}").alias(f"c{k}") for k in range(3)), "l", "a", "b", *(F.col(f"c{k}").alias(f"b{k}") for k in range(3)))
+
+
+@query(proxies.IMAGE_SQL + """, k AS (SELECT DISTINCT image_id, c0, c1, c2 FROM px), seeds AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c0, c1, c2) - 1 AS j FROM k QUALIFY j < 6),
+best AS (SELECT px.image_id, px.y, px.x, px.c0, px.c1, px.c2, s.j FROM px JOIN seeds s ON s.image_id = px.image_id QUALIFY row_number() OVER (PARTITION BY px.image_id, px.y, px.x ORDER BY pow(px.c0 - s.c0, 2) + pow(px.c1 - s.c1, 2) + pow(px.c2 - s.c2, 2), s.j) = 1)
+SELECT image_id, j::INT AS j, round(avg(c0), 6) AS c0, round(avg(c1), 6) AS c1, round(avg(c2), 6) AS c2, count(*) AS n FROM best GROUP BY image_id, j""")
+def palette_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of k-means from six given colours of each image."""
+    px = proxies.image_pixels(spark, sf_dir)
+    order = F.row_number().over(Window.partitionBy("image_id").orderBy(*pixels.COLOURS)) - 1
+    seeds = px.select("image_id", *pixels.COLOURS).distinct().withColumn("j", order).filter("j < 6")
+    return pixels.one_round(px, seeds).select("image_id", "j", *(_r(F.col(c)).alias(c) for c in pixels.COLOURS), "n")
+
+
+@query()
+def quantized_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Engine().settings["preprocessing"] | {"quantize_n_colors": 8}
+    return pixels.quantized(proxies.image_pixels(spark, sf_dir), p).select("image_id", "y", "x", *pixels.COLOURS)
+
+
+@query()
+def denoised_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.denoised(proxies.image_pixels(spark, sf_dir)).select("image_id", "y", "x", *pixels.COLOURS)
+
+
+_REGIONS = proxies.IMAGE_SQL + """, n AS (SELECT a.image_id, a.y * a.w + a.x AS p, b.y * b.w + b.x AS q FROM px a JOIN px b ON a.image_id = b.image_id AND a.c0 = b.c0 AND a.c1 = b.c1 AND a.c2 = b.c2 AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+reach AS (SELECT image_id, (y * w + x)::BIGINT AS p, (y * w + x)::BIGINT AS q FROM px UNION SELECT r.image_id, r.p, n.q::BIGINT FROM reach r JOIN n ON n.image_id = r.image_id AND n.p = r.q),
+named AS (SELECT image_id, p, min(q) AS region, count(*) AS size FROM reach GROUP BY image_id, p)
+"""
+
+
+@query(_REGIONS + "SELECT px.image_id, y, x, region, size FROM px JOIN named ON named.image_id = px.image_id AND named.p = y * w + x")
+def pixel_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.regions(proxies.image_pixels(spark, sf_dir)).select("image_id", "y", "x", "region", "size")
+
+
+@query(_REGIONS + """, sides AS (SELECT a.image_id, a.y * a.w + a.x AS p, 4 - count(n.q) AS sides FROM px a LEFT JOIN n ON n.image_id = a.image_id AND n.p = a.y * a.w + a.x GROUP BY ALL)
+SELECT named.image_id, region, sum(sides)::BIGINT AS sides, any_value(size)::DOUBLE AS area FROM named JOIN sides ON sides.image_id = named.image_id AND sides.p = named.p GROUP BY named.image_id, region""")
+def region_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sides round each region, and the area that they enclose."""
+    sides = pixels.outlines(pixels.regions(proxies.image_pixels(spark, sf_dir)))
+    enclosed = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2
+    return sides.groupBy("image_id", "region").agg(F.count(F.lit(1)).alias("sides"), enclosed.alias("area"))
+
+
+@query()
+def traced_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.traced(proxies.image_pixels(spark, sf_dir))
+
+
+@query()
+def vectorized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pixels to grouped documents."""
+    return Engine().run(pixels.traced(pixels.sharpened(proxies.image_pixels(spark, sf_dir))))
 
 
 # ---- order-dependent merges and output ---------------------------------------

@@ -90,6 +90,30 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("image_id", "path_idx", F.posexplode(F.when(solid, F.array(rectangle(x, y, r, t))).otherwise(frame)).alias("part", "polygon"))
 
 
+#: Width and height of the images that events fill; the last may be lower.
+IMAGE = (50, 40)
+
+
+def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of images: fields of 6 x 5 of few colours, with specks where an event's value is small."""
+    w, h = IMAGE
+    at, value = F.col("event_id") % (w * h), F.col("value")
+    y, x, image = F.floor(at / w), at % w, F.floor(F.col("event_id") / (w * h))
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(image.alias("image_id"), y.cast("int").alias("y"), x.cast("int").alias("x"), "value")
+    down, across = F.floor(F.col("y") / 5), F.floor(F.col("x") / 6)
+    rows = t.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("h"))
+    return t.join(rows, "image_id").select(
+        F.col("image_id").cast("long").alias("image_id"), "h", F.lit(w).alias("w"), "y", "x", ((down * 7 + across * 3 + F.col("image_id")) % 5 * 60).cast("int").alias("c0"),
+        ((across * 5 + down) % 4 * 80).cast("int").alias("c1"), F.when(F.col("value") < 2, 200).otherwise(20).cast("int").alias("c2"),
+    )
+
+
+IMAGE_SQL = f"""
+WITH RECURSIVE t AS (SELECT event_id // {IMAGE[0] * IMAGE[1]} AS image_id, (event_id % {IMAGE[0] * IMAGE[1]} // {IMAGE[0]})::INT AS y, (event_id % {IMAGE[0]})::INT AS x, value FROM events),
+px AS (SELECT image_id, (max(y) OVER (PARTITION BY image_id) + 1)::INT AS h, {IMAGE[0]} AS w, y, x, ((y // 5 * 7 + x // 6 * 3 + image_id) % 5 * 60)::INT AS c0, ((x // 6 * 5 + y // 5) % 4 * 80)::INT AS c1, CASE WHEN value < 2 THEN 200 ELSE 20 END AS c2 FROM t)
+"""
+
+
 def _listed(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

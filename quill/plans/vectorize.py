@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, grouping, hierarchy, merging, output, raster, stats
+from .. import shared
+from ..operators import features, grouping, hierarchy, merging, output, pixels, raster, stats
 from ..sources import config, svg
 
 
@@ -45,14 +46,19 @@ class Engine:
         return docs.select(F.col("image_id").cast("long").alias("image_id"), "svg").join(meta.select("image_id", "error"), "image_id", "left").join(made, "image_id", "left").select("image_id", F.coalesce("_new", "svg").alias("svg"), "error")
 
     def run_images(self, images: DataFrame) -> DataFrame:
-        """Decoded rasters in; image_id is a hash of the path."""
-        docs = raster.trace_images(images, self.settings).withColumn("image_id", F.xxhash64("path"))
-        return docs.select("image_id", "path").join(self.run(docs), "image_id")
+        """(image_id, path, svg, error) of rasters (path, height, width, channels, data); image_id is a hash of the path.
+
+        A file that could not be decoded has no svg, but an error.
+        """
+        named = images.select(F.xxhash64("path").alias("image_id"), "path")
+        docs = pixels.documents(images, self.settings).transform(shared.stored)  # traced once, read by each stage
+        made = named.join(self.run(docs), "image_id", "left")
+        return made.withColumn("error", F.when(F.col("svg").isNull() & F.col("error").isNull(), "not a readable image").otherwise(F.col("error")))
 
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quill", description="Group and reduce SVG documents.")
-    p.add_argument("input", help="a file, folder or glob of SVG documents")
+    p.add_argument("input", help="a raster, an SVG document, or a folder or glob of them")
     p.add_argument("output", help="folder for the results")
     p.add_argument("--preset", choices=sorted(config.PRESETS))
     p.add_argument("--config", help="a YAML file, or the name of a profile")
@@ -88,11 +94,20 @@ def overrides(a: argparse.Namespace) -> dict:
 def main(argv: list[str] | None = None) -> int:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.appName("quill").getOrCreate()
-    docs = svg.read_documents(spark, a.input).withColumn("image_id", F.xxhash64("path"))
-    result = Engine(overrides(a), a.config, a.preset).run(docs)
-    stems = docs.select("image_id", svg.stem(F.col("path")).alias("stem"))
-    shared_stems = stems.groupBy("stem").count().filter("count > 1").select("stem", F.lit(True).alias("_shared"))
+    engine, kind = Engine(overrides(a), a.config, a.preset), a.input.rsplit(".", 1)[-1].lower()
+    parts = []
+    if kind not in svg.SUFFIXES:
+        docs = svg.read_documents(spark, a.input).withColumn("image_id", F.xxhash64("path"))
+        parts.append(docs.select("image_id", "path").join(engine.run(docs), "image_id"))
+    if kind != "svg":
+        parts.append(engine.run_images(raster.read_pixels(spark, a.input)).select("image_id", "path", "svg", "error"))
+    result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    result = result.withColumn("stem", svg.stem(F.col("path"))).transform(shared.stored)
+    shared_stems = result.groupBy("stem").count().filter("count > 1").select("stem", F.lit(True).alias("_shared"))
     # Files of one stem keep apart by their ids.
-    names = stems.join(shared_stems, "stem", "left").select("image_id", F.when(F.col("_shared"), F.concat_ws("-", "stem", F.hex("image_id"))).otherwise(F.col("stem")).alias("name"))
-    output.write_files(result.join(names, "image_id").select(F.col("name").alias("image_id"), "svg"), a.output)
-    return 0
+    name = F.when(F.col("_shared"), F.concat_ws("-", "stem", F.hex("image_id"))).otherwise(F.col("stem"))
+    output.write_files(result.join(shared_stems, "stem", "left").filter("svg is not null").select(name.alias("image_id"), "svg"), a.output)
+    failed = result.filter("svg is null").select("path", "error").limit(20).collect()
+    for r in failed:
+        print(f"{r.path}: {r.error}")
+    return 1 if failed else 0

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,3 +22,14 @@ def folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
     return known
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder as Parquet; its lineage ends there.
+
+    What a lost executor held is read again. Unlike a checkpoint the table has
+    its true size, so joins of later rounds are planned by it.
+    """
+    path = f"{folder(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

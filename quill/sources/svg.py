@@ -20,8 +20,8 @@ MIME_TYPES = ("image/png", "image/jpeg", "image/jpg", "image/webp")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, svg), a row per file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("svg"))
+    """(path, svg), a row per file with the suffix svg."""
+    return spark.read.option("pathGlobFilter", "*.[sS][vV][gG]").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("svg"))
 
 
 def stem(path: Column) -> Column:

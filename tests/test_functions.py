@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quill.functions import color, geometry, pathdata
-from quill.operators import graph, hierarchy, merging, output, raster
+from quill.operators import graph, hierarchy, merging, output
 from quill.sources import config
 
 
@@ -165,70 +165,9 @@ def test_louvain_finds_two_cliques():
     assert member == graph.louvain(8, edges)
 
 
-def test_raster():
-    import numpy as np
-
-    image = np.zeros((12, 14, 3), np.uint8)
-    image[3:9, 4:10] = (0, 0, 255)
-    assert (raster.sharpen(image)[0] == 0).all()
-    assert np.abs(raster.from_lab8(raster.to_lab8(image)).astype(int) - image).max() <= 6
-    assert np.abs(raster.denoise(image, 3).astype(int) - image).max() <= 12
-    svg = raster.trace(image)
-    assert svg.count("<path") == 2 and 'fill="#ff0000"' in svg and "M4,3 L10,3 L10,9 L4,9 Z" in svg
-    assert (raster.quantize(image, raster.centres(image, 2)) == image).all()
-
-
-def test_traced_images_have_the_colours_of_the_settings(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    flat = np.repeat(np.repeat(rng.integers(0, 256, (4, 5, 3)), 4, 0), 4, 1).astype(np.uint8)
-    wide = rng.integers(0, 256, (64, 64, 3)).astype(np.uint8)
-    smooth = config.load(None, "smooth")
-    p = smooth["preprocessing"]
-    colours = lambda image: len(np.unique(image.reshape(-1, 3), axis=0))
-    # 20 colours are no more than 24, so the image stays; a wide palette takes 64.
-    assert (raster.fewer_colours(flat, p) == flat).all()
-    assert 24 < colours(raster.fewer_colours(wide, p)) <= 64
-    assert colours(raster.fewer_colours(wide, {**p, "quantize_mode": "fixed"})) <= 24
-    bgr = raster.quantize(wide, raster.centres(wide, 24))
-    assert (raster.fewer_colours(wide, {**p, "quantize_mode": "fixed", "quantize_color_space": "rgb"}) == bgr).all()
-    assert (raster.fewer_colours(wide, {**p, "quantize_mode": "fixed"}) != bgr).any()
-    # The same rule as the column's.
-    from pyspark.sql import functions as F
-
-    for top in (4, 30, 60, 90, 256):
-        pixels = rng.integers(0, top, (3000, 3)).astype(np.uint8)
-        column = raster.adaptive_k(F.lit(len(np.unique(pixels, axis=0))), F.lit(float(pixels.std(axis=0).mean())), 24, 16, 64)
-        assert spark.range(1).select(column.alias("k")).first().k == raster.chosen_k(pixels, 24, 16, 64)
-    # Through the tracer, without denoising, which takes long.
-    smooth["preprocessing"] = {**p, "denoise": False}
-    smooth["tracing"]["filter_speckle"] = 0
-    images = spark.createDataFrame([("wide", 64, 64, 3, bytearray(wide.tobytes()))], "path string, height int, width int, channels int, data binary")
-    svg = raster.trace_images(images, smooth).first().svg
-    assert 24 < len({part[:7] for part in svg.split('fill="')[1:]}) <= 64
-
-
 def test_settings():
     s = config.load({"clustering": {"eps": 0.7}}, "portrait", "logo")
     assert s["clustering"]["eps"] == 0.7 and s["clustering"]["feature_weights"]["color"] == 3.0 and s["tracing"]["color_precision"] == 14
     assert config.load(preset="no such preset") == config.load()
     with pytest.raises(ValueError):
         config.load({"hierarchy": {"area_ratio_threshold": 0.9}})
-
-
-def test_regions_are_connected_and_numbered_by_their_first_pixel():
-    spiral = np.zeros((9, 9), int)
-    spiral[1, 1:8] = spiral[1:8, 7] = spiral[7, 1:8] = spiral[3:8, 1] = spiral[3, 1:6] = 1
-    for labels in (spiral, np.random.default_rng(0).integers(0, 2, (40, 30)), np.zeros((1, 1), int), np.zeros((0, 5), int)):
-        h, w = labels.shape
-        want, n = np.full((h, w), -1), 0
-        for y, x in np.ndindex(h, w):
-            todo = [(y, x)] if want[y, x] < 0 else []
-            n += len(todo)
-            while todo:
-                i, j = todo.pop()
-                if 0 <= i < h and 0 <= j < w and want[i, j] < 0 and labels[i, j] == labels[y, x]:
-                    want[i, j] = n - 1
-                    todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
-        assert (raster.regions(labels) == want).all()
