@@ -130,7 +130,7 @@ def sampled(px: DataFrame, size: int = 50_000, seed: int = 42, key: tuple[str, .
     counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("_before") < size)
     near = p.join(counts.select("image_id", "_b", F.col("n").alias("_n"), "_before"), ["image_id", "_b"])
     whole = near.filter(F.col("_before") + F.col("_n") <= size)
-    rank = F.row_number().over(Window.partitionBy("image_id", "_b").orderBy("_d", *key))
+    rank = F.row_number().over(Window.partitionBy("image_id", "_b").orderBy("_d", *key, *COLOURS))
     part = near.filter(F.col("_before") + F.col("_n") > size).withColumn("_r", rank).filter(F.col("_r") <= size - F.col("_before")).drop("_r")
     return whole.unionByName(part).select(*px.columns)
 

@@ -324,7 +324,7 @@ def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxies.pixels(spark, sf_dir).groupBy("image_id", best.alias("centre")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_PIXELS + """SELECT image_id, i, c0::INT AS c0, c1::INT AS c1, c2::INT AS c2 FROM px QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('42|' || image_id || '|' || i), i) <= 500""")
+@query(_PIXELS + """SELECT image_id, i, c0::INT AS c0, c1::INT AS c1, c2::INT AS c2 FROM px QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('42|' || image_id || '|' || i), i, c0, c1, c2) <= 500""")
 def pixel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.sampled(proxies.pixels(spark, sf_dir), 500, key=("i",))
 
