@@ -28,8 +28,8 @@ from .common import documents, whole_text
 
 CONTAINMENT = 0.85
 MOST_TEMPLATES = 2000
-#: Words in a block, by words in a template: the least block of at least twice a template's words.
-BLOCKS = (32, 256)
+#: Words in the smallest block; the next are each so many times as long.
+BLOCK, BLOCK_STEP = 32, 8
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases and their labels.
@@ -52,14 +52,33 @@ TEMPLATES = (
 )
 
 
+#: Letters beyond ASCII that lower() would turn into ASCII ones, and letters that it leaves.
+LOOKALIKES = (("\u0130", "\u0131"), ("\u212a", "\u0138"))
+
+
 def _tokens(text: str) -> list[str]:
+    for old, new in LOOKALIKES:
+        text = text.replace(old, new)
     return [w for w in re.split(GAP, text.lower()) if w]
 
 
+def _lowered(text):
+    """A-Z in lower case. lower() also maps other letters, but none of those left here to ASCII or a separator."""
+    for old, new in LOOKALIKES:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return F.lower(text)
+
+
 def _words(text):
-    # lower() also maps letters beyond ASCII; none of them becomes a separator,
-    # so words stay where they are and only words with such letters differ.
-    return F.array_remove(F.split(F.lower(text), GAP), "")
+    return F.array_remove(F.split(_lowered(text), GAP), "")
+
+
+def _block(n: int) -> int:
+    """Words in the blocks for a template of n words: the least size that is twice as long."""
+    size = BLOCK
+    while size < 2 * n:
+        size *= BLOCK_STEP
+    return size
 
 
 def _needed(size: int, containment: float) -> int:
@@ -73,9 +92,9 @@ def templates_with_scale(templates) -> list[tuple[int, str, int, list[str]]]:
     out = []
     for number, (label, text) in enumerate(templates):
         tokens = _tokens(text)
-        if not tokens or 2 * len(tokens) > max(BLOCKS):
-            raise ValueError(f"template {number} has {len(tokens)} words; 1 to {max(BLOCKS) // 2} are possible")
-        out.append((number, label, min(b for b in BLOCKS if b >= 2 * len(tokens)), list(dict.fromkeys(tokens))))
+        if not tokens:
+            raise ValueError(f"template {number} has no words")
+        out.append((number, label, _block(len(tokens)), list(dict.fromkeys(tokens))))
     return out
 
 
@@ -156,7 +175,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     containment of a matching template, else 0.
     """
     text = whole_text()
-    read = docs.select("doc_id", F.xxhash64("doc_id", text).alias("h"), F.lower(text).contains("license").alias("may"), _words(text).alias("w"))
+    read = docs.select("doc_id", F.xxhash64("doc_id", text).alias("h"), _lowered(text).contains("license").alias("may"), _words(text).alias("w"))
     places = []
     for phrase, label in PHRASES:
         at = F.when(F.col("may") & (F.size("w") > 0), F.filter(F.sequence(F.lit(0), F.size("w") - 1), _stands(phrase.split()))).otherwise(F.array().cast("array<int>"))
@@ -187,8 +206,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """Every block against every template, without any filter."""
-    rows = []
-    for number, label, scale, tokens in templates_with_scale(TEMPLATES):
+    rows, known = [], templates_with_scale(TEMPLATES)
+    for number, label, scale, tokens in known:
         listed = ", ".join(f"'{t}'" for t in tokens)
         rows.append(f"({number}, '{label}', {scale}, [{listed}], {_needed(len(tokens), CONTAINMENT)})")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -200,7 +219,7 @@ def _oracle() -> str:
     blocks = " UNION ALL ".join(
         f"SELECT doc_id, {b} AS scale, list_distinct(w[j * {b // 2} + 1 : j * {b // 2} + {b}]) AS run "
         f"FROM (SELECT doc_id, w, unnest(range(0, greatest(1, ((len(w) - 1) // {b // 2})::INT))) AS j FROM d)"
-        for b in BLOCKS
+        for b in sorted({scale for _, _, scale, _ in known})
     )
     return rf"""
 WITH t(number, label, scale, tokens, need) AS (VALUES {", ".join(rows)}

@@ -14,7 +14,7 @@ import numpy as np  # noqa: E402
 
 import pyarrow as pa  # noqa: E402
 
-from quill.llm import common, components, encoding, fingerprints, mixing, ngram_join, packing, pii, queries, substrings, token_store, toxicity, wordhash  # noqa: E402
+from quill.llm import common, components, encoding, fingerprints, licenses, mixing, ngram_join, packing, pii, queries, substrings, token_store, toxicity, wordhash  # noqa: E402
 from quill.llm.common import documents  # noqa: E402
 
 
@@ -36,6 +36,30 @@ def test_sql(spark, sf, name):
     same(queries.queries()[name](spark, sf), sf, queries.oracle_sql()[name])
 
 
+def test_license_scan_lowers_ascii_only(spark, tmp_path):
+    """Letters that lower() would turn into k or i are letters of their own, as in the SQL."""
+    notice = "This {} is licensed under a Creative Commons Attribution 4.0 International License."
+    texts = [notice.format("work"), notice.format("wor\u212a"), "M\u0130T License", "MIT L\u0130CENSE", "MIT LICENSE \u0130", "\u212a", "CAF\u00c9 mit license \u00e9", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    import pyarrow.parquet
+
+    pyarrow.parquet.write_table(rows, str(tmp_path / "one" / "documents.parquet"))
+    got = licenses.op2_license_scan(spark, str(tmp_path))
+    same(got, str(tmp_path / "one"), licenses.ORACLE_SQL)
+    assert [r.n_base for r in got.orderBy("doc_id").collect()] == [0, 0, 0, 0, 1, 0, 1, 0, 0]
+
+
+def test_a_license_of_any_length(spark):
+    """A template of 700 words, found whole, with some words changed, and not in another text."""
+    words = [f"clause{i}" for i in range(700)]
+    changed = [w if i % 12 else "other" for i, w in enumerate(words)]
+    rows = [(0, " ".join(["before"] * 90 + words + ["after"] * 90)), (1, " ".join(changed)), (2, " ".join(words[:500])), (3, "clause1 clause2")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), [("long", " ".join(words)), ("short", "clause1 clause2")]).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["long,short", "long,short", "short", "short"]
+
+
 @pytest.mark.parametrize("name, cut", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_encoder(texts, name, cut):
     odd = ["", "  a\n\n b\t\tc ", "I'm they'LL o'clock 'tis", "a\x1cb\x1d c\x85d", "x y 　z", "é Å İstanbul ΣΑΣ", "<|endoftext|> a<|startoftext|>", "12345 3.14e5 a1b2", "\x00a\x00", "日本語 テスト 👩‍👩‍👧", "tail   ", "\r\n\r\n"]
