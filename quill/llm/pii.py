@@ -29,7 +29,9 @@ BASE_KINDS = KINDS[:4]
 WINDOW = 256
 OVERLAP = 32
 #: Bytes of text looked at together, one text at least; different words kept with their features.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
+#: Rows of a batch whose texts are held at once.
+SLICE_ROWS = 500
 KNOWN_WORDS = 2_000_000
 STEPS = 200
 RATE = 0.1
@@ -489,10 +491,11 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _batches(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, list[str]]]:
-    texts = batch.column(name).to_pylist()
-    for first in range(0, len(texts), 2000):
-        yield first, texts[first : first + 2000]
+def _slices(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time: what is made of them goes back as soon."""
+    for batch in arrow:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(first, SLICE_ROWS)
 
 
 _FIELDS: dict[bytes, Field] = {}
@@ -514,12 +517,11 @@ def _field(sent: tuple) -> Field:
 
 def _find(sent: tuple, arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     field = _field(sent)
-    for batch in arrow:
+    for batch in _slices(arrow):
         rows = []
-        for _, texts in _batches(batch, "text"):
-            for base, spans in all_spans(field, texts):
-                counts = [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
-                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), sum(k == "secret" for k, _, _ in spans), len(spans)))
+        for base, spans in all_spans(field, batch.column("text").to_pylist()):
+            counts = [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
+            rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), sum(k == "secret" for k, _, _ in spans), len(spans)))
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 8, types)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_spans"])
@@ -544,14 +546,11 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = _field(sent)
-        for batch in arrow:
+        for batch in _slices(arrow):
             at = batch.schema.get_field_index("text")
-            new: list = []
-            for _, texts in _batches(batch, "text"):
-                for text, (_, spans) in zip(texts, all_spans(field, [t or "" for t in texts])):
-                    new.append(None if text is None else replaced(text, spans))
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-            yield batch
+            texts = batch.column(at).to_pylist()
+            new = [None if text is None else replaced(text, spans) for text, (_, spans) in zip(texts, all_spans(field, [t or "" for t in texts]))]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     out = docs.mapInArrow(released(run), docs.schema)
     if "n_chars" in names:
