@@ -71,9 +71,10 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") ->
 # ---- memory of Python workers --------------------------------------------------
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Free memory of this process goes back to the system, where the C library can do that."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

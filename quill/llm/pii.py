@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, released, whole_text
+from .common import documents, give_back, released, whole_text
 from .wordhash import BYTE_VALUE, place_hashes, runs, text_bytes, word_places
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -492,10 +492,11 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _slices(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches a few rows at a time: what is made of them goes back as soon."""
+    """Batches a few rows at a time: what is made of them goes back, and so does the memory that it took."""
     for batch in arrow:
         for first in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(first, SLICE_ROWS)
+            give_back(collect=False)
 
 
 _FIELDS: dict[bytes, Field] = {}
