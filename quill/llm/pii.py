@@ -29,10 +29,10 @@ BASE_KINDS = KINDS[:4]
 WINDOW = 256
 OVERLAP = 32
 #: Bytes of text looked at together, one text at least; different words kept with their features.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 400_000
 #: Rows of a batch whose texts are held at once.
-SLICE_ROWS = 500
-KNOWN_WORDS = 2_000_000
+SLICE_ROWS = 200
+KNOWN_WORDS = 400_000
 STEPS = 200
 RATE = 0.1
 PENALTY = 0.002
