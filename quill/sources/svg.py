@@ -32,12 +32,6 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of a folder's rasters, without those below it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*").option("recursiveFileLookup", "false").load(folder)
-    return files.filter(suffix(F.col("path")).isin(*SUFFIXES)).select("path", "content")
-
-
 def accepted(mime: Column) -> Column:
     return F.coalesce(mime.isin(*MIME_TYPES), F.lit(False))
 
