@@ -1,7 +1,8 @@
 """Order-dependent merges: groups to a fixpoint, and paths of like paint with the first they touch.
 
-Both are sequential inside an image or group by their definition, so each image
-or group is one task's work; everything around them is relational.
+Whom a row goes with hangs on all rows before it. An image or group of up to
+AT_ONCE paths is settled in one task. A larger one meets its candidates by grid
+cells and is settled in blocks of ranks, so no task holds it whole.
 """
 
 from __future__ import annotations
@@ -10,11 +11,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from . import nearby
 
+#: Paths of an image or group that one task settles.
+AT_ONCE = 20_000
+
+#: Ranks in a block of a larger one; a task holds the pairs inside one block.
+BLOCK = 2_048
+
 
 def first_claims(n: int, fits: Callable[[int], np.ndarray]) -> np.ndarray:
     """For each of n rows the first row before it that fits and stands for itself, or the row itself if none does.
@@ -29,6 +37,37 @@ def first_claims(n: int, fits: Callable[[int], np.ndarray]) -> np.ndarray:
     return lead
 
 
+def _first_takers(pdf: pd.DataFrame) -> pd.DataFrame:
+    taken: dict[int, int] = {}
+    pdf = pdf.sort_values(["j", "i"])
+    for j, i in zip(pdf["j"].tolist(), pdf["i"].tolist()):
+        if i not in taken:
+            taken.setdefault(j, i)
+    keys = pdf.columns.difference(["i", "j"])
+    return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(taken) for k in keys}, "j": list(taken), "i": list(taken.values())})
+
+
+def claims(pairs: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """(keys, j, i): for each rank j the first i before it that fits and stands for itself; rows without one are left out.
+
+    pairs: (keys, i, j), i < j, of ranks that fit, each once. Ranks are settled
+    in blocks, for all keys at once: what stands in earlier blocks takes its
+    rows first, and what is left of a block's own pairs is one task's work.
+    """
+    pairs = pairs.select(*keys, F.col("i").cast("long"), F.col("j").cast("long"), F.floor(F.col("j") / block).alias("_block")).sortWithinPartitions("_block").transform(shared.stored)
+    taken = pairs.filter("false").select(*keys, "j", "i")
+    blocks = [r[0] for r in pairs.select("_block").distinct().sort("_block").collect()]  # one number a block
+    for b in blocks:
+        here = pairs.filter(F.col("_block") == b).drop("_block")
+        standing = here.filter(F.col("i") < b * block).join(taken.select(*keys, F.col("j").alias("i")), [*keys, "i"], "left_anti")
+        before = standing.groupBy(*keys, "j").agg(F.min("i").alias("i")).transform(shared.stored)
+        gone = before.select(*keys, "j")
+        rest = here.filter(F.col("i") >= b * block).join(gone, [*keys, "j"], "left_anti").join(gone.withColumnRenamed("j", "i"), [*keys, "i"], "left_anti")
+        inside = rest.select(*keys, "j", "i").groupBy(*keys).applyInPandas(_first_takers, taken.schema)
+        taken = taken.unionByName(before).unionByName(inside).transform(shared.stored)
+    return taken
+
+
 class Groups:
     """Sums of colour and the box of each group, and the first groups that it holds, in order."""
 
@@ -69,8 +108,50 @@ class Groups:
         return True
 
 
-def merge_groups(paths: DataFrame, proximity: float = 50.0, tolerance: float = 25.0) -> DataFrame:
-    """Paths with group_idx and member_ord after merging; groups keep their order and are numbered anew."""
+def _merged_by_rounds(thin: DataFrame, proximity: float, tolerance: float, block: int) -> DataFrame:
+    """What merge_groups says of images of any size; colours are summed as decimals, so that no order of rows matters."""
+    image, known = Window.partitionBy("image_id"), F.col("l").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull()
+    sums = [F.sum(F.when(known, F.col(c).cast("decimal(28,16)")).otherwise(0)).cast("decimal(28,16)").alias(c) for c in "lab"]
+    ends = [f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]
+    old = thin.groupBy("image_id", "group_idx").agg(*sums, F.count(F.when(known, 1)).alias("coloured"), *ends, F.count(F.lit(1)).alias("size"))
+    old = old.withColumn("rank", F.row_number().over(image.orderBy("group_idx")).cast("long") - 1).transform(shared.stored)
+    state = old.drop("group_idx", "size")
+    # Of each old group: where it stands, and the ranks that it had, the last first; they sort it among those that it came together with.
+    way = old.select("image_id", "group_idx", "size", "rank", F.array().cast("array<bigint>").alias("way"))
+    slack = proximity / 2 * (1 + 1e-9) + 1e-6
+    while True:
+        mean = F.struct(*(F.when(F.col("coloured") > 0, F.col(c).cast("double") / F.col("coloured")).otherwise(F.lit(none)).alias(c) for c, none in zip("lab", (50.0, 0.0, 0.0))))
+        reach = F.struct((F.col("xmin") - slack).alias("xmin"), (F.col("ymin") - slack).alias("ymin"), (F.col("xmax") + slack).alias("xmax"), (F.col("ymax") + slack).alias("ymax"))
+        near = nearby.overlapping(state.select("image_id", "rank", mean.alias("mean"), "xmin", "ymin", "xmax", "ymax", reach.alias("reach")), ["image_id"], "rank", "reach")
+        gap = lambda low, high: F.greatest(F.lit(0.0), F.col(f"a_{low}") - F.col(f"b_{high}"), F.col(f"b_{low}") - F.col(f"a_{high}"))
+        far = F.sqrt(sum(F.pow(F.col(f"a_mean.{c}") - F.col(f"b_mean.{c}"), 2) for c in "lab"))
+        fits = (far <= tolerance) & (F.hypot(gap("xmin", "xmax"), gap("ymin", "ymax")) <= proximity)
+        pairs = near.filter(fits).select("image_id", F.least("a_rank", "b_rank").alias("i"), F.greatest("a_rank", "b_rank").alias("j"))
+        taken = claims(pairs, ["image_id"], block).select("image_id", F.col("j").alias("rank"), F.col("i").alias("lead"))
+        if taken.isEmpty():
+            break
+        state = state.join(taken, ["image_id", "rank"], "left").groupBy("image_id", F.coalesce("lead", "rank").alias("rank"))
+        state = state.agg(*(F.sum(c).cast("decimal(28,16)").alias(c) for c in "lab"), F.sum("coloured").alias("coloured"), *ends).transform(shared.stored)
+        way = way.join(taken, ["image_id", "rank"], "left").select("image_id", "group_idx", "size", F.coalesce("lead", "rank").alias("rank"), F.concat(F.array("rank"), "way").alias("way")).transform(shared.stored)
+    numbers = state.select("image_id", "rank", (F.row_number().over(image.orderBy("rank")) - 1).cast("int").alias("_new"))
+    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("image_id", "rank").orderBy("way").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = way.withColumn("_ahead", ahead).join(numbers, ["image_id", "rank"]).select("image_id", "group_idx", "_new", "_ahead")
+    own = F.row_number().over(Window.partitionBy("image_id", "group_idx").orderBy("member_ord")) - 1
+    out = thin.select("image_id", "path_idx", "group_idx", own.alias("_own")).join(places, ["image_id", "group_idx"])
+    return out.select("image_id", "path_idx", F.col("_new").alias("group_idx"), (F.col("_ahead") + F.col("_own")).cast("int").alias("member_ord"))
+
+
+def _large(rows: DataFrame, keys: list[str], at_once: int) -> DataFrame | None:
+    """The keys that more than at_once rows share, or None if there are none."""
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > at_once).select(*keys).transform(shared.stored)
+    return None if found.isEmpty() else found
+
+
+def merge_groups(paths: DataFrame, proximity: float = 50.0, tolerance: float = 25.0, at_once: int = AT_ONCE, block: int = BLOCK) -> DataFrame:
+    """Paths with group_idx and member_ord after merging; groups keep their order and are numbered anew.
+
+    Images of more than at_once paths are merged by rounds of joins, others in one task each, with the same outcome.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["group_idx", "member_ord"], ignore_index=True)
@@ -88,7 +169,11 @@ def merge_groups(paths: DataFrame, proximity: float = 50.0, tolerance: float = 2
         return out.assign(member_ord=out.groupby("group_idx").cumcount())[["image_id", "path_idx", "group_idx", "member_ord"]]
 
     thin = paths.select("image_id", "path_idx", "group_idx", "member_ord", F.col("lab.l").alias("l"), F.col("lab.a").alias("a"), F.col("lab.b").alias("b"), "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax")
-    new = thin.groupBy("image_id").applyInPandas(one, "image_id long, path_idx int, group_idx int, member_ord int")
+    large = _large(thin, ["image_id"], at_once)
+    small = thin if large is None else thin.join(large, "image_id", "left_anti")
+    new = small.groupBy("image_id").applyInPandas(one, "image_id long, path_idx int, group_idx int, member_ord int")
+    if large is not None:
+        new = new.unionByName(_merged_by_rounds(thin.join(large, "image_id", "left_semi"), proximity, tolerance, block))
     return paths.drop("group_idx", "member_ord").join(new, ["image_id", "path_idx"])
 
 
@@ -105,11 +190,27 @@ def touching(boxes: np.ndarray) -> np.ndarray:
     return first_claims(len(boxes), lambda j: ((low[:j] <= high[j]) & (low[j] <= high[:j])).all(axis=1))
 
 
-def merge_paths(paths: DataFrame) -> DataFrame:
-    """(image_id, group_idx, path_idx, lead, lead_ord): for each path the path it is drawn with, and that one's place.
+def _led_by_rounds(thin: DataFrame, block: int) -> DataFrame:
+    """What merge_paths says of groups of any size."""
+    group, kind = ["image_id", "group_idx"], ["fill", "transform"]
+    # Blank paint is a kind of its own, also in joins.
+    rows = thin.select(*group, *(F.coalesce(c, F.lit("\0")).alias(c) for c in kind), "path_idx", F.struct("xmin", "ymin", "xmax", "ymax").alias("bbox"), (F.row_number().over(Window.partitionBy(*group).orderBy("member_ord")) - 1).cast("long").alias("rank")).transform(shared.stored)
+    met = nearby.overlapping(rows, [*group, *kind], "rank")
+    taken = claims(met.select(*group, F.least("a_rank", "b_rank").alias("i"), F.greatest("a_rank", "b_rank").alias("j")), group, block)
+    first = rows.groupBy(*group, *kind).agg(F.min("rank").alias("_first"))
+    led = rows.join(taken.withColumnRenamed("j", "rank"), [*group, "rank"], "left").select(*group, *kind, "path_idx", "rank", F.coalesce("i", "rank").alias("_lead"))
+    leads = led.filter("_lead = rank").join(first, [*group, *kind])
+    leads = leads.select(*group, "_lead", F.col("path_idx").alias("lead"), (F.row_number().over(Window.partitionBy(*group).orderBy("_first", "rank")) - 1).cast("int").alias("lead_ord"))
+    part = (F.row_number().over(Window.partitionBy(*group, "_lead").orderBy("rank")) - 1).cast("int")
+    return led.withColumn("part_ord", part).join(leads, [*group, "_lead"]).select(*group, "path_idx", "lead", "lead_ord", "part_ord")
+
+
+def merge_paths(paths: DataFrame, at_once: int = AT_ONCE, block: int = BLOCK) -> DataFrame:
+    """(image_id, group_idx, path_idx, lead, lead_ord, part_ord): for each path the path it is drawn with, that one's place, and its own place there.
 
     Only paths of one fill and transform in one group join. Places follow the
-    first use of fill and transform, then the order of leads.
+    first use of fill and transform, then the order of leads. Groups of more than
+    at_once paths are settled by joins, others in one task each, with the same outcome.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +229,10 @@ def merge_paths(paths: DataFrame) -> DataFrame:
         return out.assign(part_ord=out.groupby("lead_ord").cumcount())
 
     thin = paths.select("image_id", "group_idx", "path_idx", "member_ord", "fill", "transform", "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax")
-    return thin.groupBy("image_id", "group_idx").applyInPandas(one, "image_id long, group_idx int, path_idx int, lead int, lead_ord int, part_ord int")
+    large = _large(thin, ["image_id", "group_idx"], at_once)
+    small = thin if large is None else thin.join(large, ["image_id", "group_idx"], "left_anti")
+    new = small.groupBy("image_id", "group_idx").applyInPandas(one, "image_id long, group_idx int, path_idx int, lead int, lead_ord int, part_ord int")
+    return new if large is None else new.unionByName(_led_by_rounds(thin.join(large, ["image_id", "group_idx"], "left_semi"), block))
 
 
 def merged_paths(paths: DataFrame, settings: dict) -> DataFrame:
@@ -142,5 +246,7 @@ def merged_paths(paths: DataFrame, settings: dict) -> DataFrame:
     return paths.drop("d", "member_ord").join(joined.withColumnRenamed("lead", "path_idx"), ["image_id", "path_idx"])
 
 
-def totals(paths: DataFrame) -> DataFrame:
-    return paths.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_paths"), F.countDistinct("group_idx").alias("n_groups"))
+def totals(paths: DataFrame, before: str | None = None) -> DataFrame:
+    """(image_id, n_paths, n_groups), and n_formed where a column before names the groups before merging."""
+    more = [F.countDistinct(before).alias("n_formed")] if before else []
+    return paths.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_paths"), F.countDistinct("group_idx").alias("n_groups"), *more)
