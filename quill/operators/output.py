@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import pathdata
+from ..sources import sink
 
 NAMESPACE = "http://www.w3.org/2000/svg"
 
@@ -149,25 +146,13 @@ def documents(paths: DataFrame, tree: DataFrame, meta: DataFrame, settings: dict
     return out.withColumn("svg", remove_empty_groups(compact_path_data(F.col("svg"))))
 
 
-def _put_files(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def write_files(df: DataFrame, folder: str, replace: bool = False) -> int:
+    """One <image_id>.svg per row, in UTF-8; the set appears whole or not at all (see sink.NamedFiles). Returns how many were written.
 
-        files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
-                with files.open_output_stream(temporary) as out:
-                    out.write((text or "").encode())
-                files.move(temporary, f"{root}/{name}.svg")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    return run
-
-
-def write_files(df: DataFrame, folder: str) -> int:
-    """One <image_id>.svg per row, in UTF-8, through the file system of the folder's URI; each file appears whole. Returns how many were written."""
-    uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
-    written = df.select(F.col("image_id").cast("string"), "svg").mapInArrow(_put_files(uri), "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    replace: the set stands in place of all that the folder held.
+    """
+    df.sparkSession.dataSource.register(sink.NamedFiles)
+    written = Observation()
+    named = df.select(F.col("image_id").cast("string").alias("name"), F.col("svg").alias("text")).observe(written, F.count(F.lit(1)).alias("n"))
+    named.write.format("named_files").mode("overwrite" if replace else "append").save(folder)
+    return written.get["n"]

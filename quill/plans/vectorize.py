@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
@@ -12,6 +13,9 @@ from ..operators import features, grouping, hierarchy, merging, output, pixels,
 from ..sources import config, svg
 
 
+log = logging.getLogger("quill")
+
+
 class Engine:
     """Settings once, any number of document tables."""
 
@@ -31,31 +35,49 @@ class Engine:
 
     def groups(self, paths: DataFrame) -> DataFrame:
         s = self.settings
-        out = grouping.grouped(features.with_features(paths, s["clustering"]["feature_weights"]), s)
+        out = grouping.grouped(features.with_features(paths, s["clustering"]["feature_weights"]), s).withColumn("formed", F.col("group_idx"))
         if s["grouping"]["merge_enabled"]:
             out = merging.merge_groups(out, s["grouping"]["proximity_threshold"], s["grouping"]["color_tolerance"])
         return out
 
-    def run(self, docs: DataFrame) -> DataFrame:
-        """(image_id, svg, error): a document without paths, or with an error, comes back as it was."""
+    def run(self, docs: DataFrame, counts: Observation | None = None) -> DataFrame:
+        """(image_id, svg, error): a document without paths, or with an error, comes back as it was.
+
+        counts takes the numbers of the run (documents, failed, paths, formed_groups,
+        groups) while the result is computed; read them with get after its action.
+        """
         meta, paths = self.paths(docs)
         grouped = self.groups(paths).persist()
         tree = hierarchy.detect(grouped, stats.boxes(grouped), self.settings)
         drawn = merging.merged_paths(output.simplified_paths(grouped, self.settings), self.settings)
         made = output.documents(drawn, tree, meta, self.settings).withColumnRenamed("svg", "_new")
-        return docs.select(F.col("image_id").cast("long").alias("image_id"), "svg").join(meta.select("image_id", "error"), "image_id", "left").join(made, "image_id", "left").select("image_id", F.coalesce("_new", "svg").alias("svg"), "error")
+        out = docs.select(F.col("image_id").cast("long").alias("image_id"), "svg").join(meta.select("image_id", "error"), "image_id", "left").join(made, "image_id", "left")
+        if counts is not None:
+            out = observed(out.join(merging.totals(grouped, "formed"), "image_id", "left"), counts)
+        return out.select("image_id", F.coalesce("_new", "svg").alias("svg"), "error")
 
-    def run_images(self, images: DataFrame) -> DataFrame:
+    def run_images(self, images: DataFrame, counts: Observation | None = None) -> DataFrame:
         """(image_id, path, svg, error) of rasters (path, height, width, channels, data); image_id is a hash of the path.
 
         A file that could not be decoded has no svg, but an error.
         """
         named = images.select(F.xxhash64("path").alias("image_id"), "path")
         docs = pixels.documents(images, self.settings).transform(shared.stored)  # traced once, read by each stage
-        made = named.join(self.run(docs), "image_id", "left")
+        made = named.join(self.run(docs, counts), "image_id", "left")
         return made.withColumn("error", F.when(F.col("svg").isNull() & F.col("error").isNull(), "not a readable image").otherwise(F.col("error")))
 
 
+#: What a run counts.
+COUNTED = ("documents", "failed", "paths", "formed_groups", "groups")
+
+
+def observed(rows: DataFrame, counts: Observation) -> DataFrame:
+    """The rows; counts takes their numbers as they pass, without a pass of its own."""
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    numbers = (F.count(F.lit(1)), F.count("error"), whole("n_paths"), whole("n_formed"), whole("n_groups"))
+    return rows.observe(counts, *(c.alias(n) for n, c in zip(COUNTED, numbers)))
+
+
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quill", description="Group and reduce SVG documents.")
     p.add_argument("input", help="a raster, an SVG document, or a folder or glob of them")
@@ -95,14 +117,17 @@ def main(argv: list[str] | None = None) -> int:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.appName("quill").getOrCreate()
     engine, kind = Engine(overrides(a), a.config, a.preset), a.input.rsplit(".", 1)[-1].lower()
-    parts = []
+    parts, counts = [], []
     if kind not in svg.SUFFIXES:
+        counts.append(Observation())
         docs = svg.read_documents(spark, a.input).withColumn("image_id", F.xxhash64("path"))
-        parts.append(docs.select("image_id", "path").join(engine.run(docs), "image_id"))
+        parts.append(docs.select("image_id", "path").join(engine.run(docs, counts[-1]), "image_id"))
     if kind != "svg":
-        parts.append(engine.run_images(raster.read_pixels(spark, a.input)).select("image_id", "path", "svg", "error"))
+        counts.append(Observation())
+        parts.append(engine.run_images(raster.read_pixels(spark, a.input), counts[-1]).select("image_id", "path", "svg", "error"))
     result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     result = result.withColumn("stem", svg.stem(F.col("path"))).transform(shared.stored)
+    log.info("; ".join(f"{n}: {sum(c.get[n] for c in counts)}" for n in COUNTED))
     shared_stems = result.groupBy("stem").count().filter("count > 1").select("stem", F.lit(True).alias("_shared"))
     # Files of one stem keep apart by their ids.
     name = F.when(F.col("_shared"), F.concat_ws("-", "stem", F.hex("image_id"))).otherwise(F.col("stem"))

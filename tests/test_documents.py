@@ -3,8 +3,10 @@
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from quill.operators import merging
 from quill.plans.vectorize import Engine, arguments, overrides
 from quill.sources import svg
 
@@ -99,3 +101,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("paths").collect()] == [(0, 81.0)]
+
+
+def test_a_run_counts_its_rows(spark):
+    docs = spark.createDataFrame([(1, wrap(box(0, 0, 20) + box(15, 0, 20) + box(150, 150, 30, 'fill="#0000ff"'))), (2, "<svg><path"), (3, wrap(""))], "image_id long, svg string")
+    engine, counts = Engine(), Observation()
+    got = engine.run(docs, counts).collect()
+    after = merging.totals(engine.groups(engine.paths(docs)[1])).agg(F.sum("n_paths"), F.sum("n_groups")).first()
+    assert len(got) == 3 and counts.get["documents"] == 3 and counts.get["failed"] == sum(r.error is not None for r in got) == 1
+    assert (counts.get["paths"], counts.get["groups"]) == tuple(after) and counts.get["paths"] == 3 and counts.get["formed_groups"] >= counts.get["groups"]

@@ -157,6 +157,27 @@ def test_files_are_written_whole(spark, tmp_path):
     assert (tmp_path / "out" / "3.svg").read_text(encoding="utf-8") == "<svg>3é</svg>" and len(list((tmp_path / "out").iterdir())) == 7
 
 
+def test_a_set_of_files_is_replaced_or_joined_as_a_whole(spark, tmp_path):
+    out = tmp_path / "out"
+    some = lambda a, b: spark.createDataFrame([(f"n{i}", f"<svg>{a}</svg>") for i in range(a, b)], "image_id string, svg string").repartition(3)
+    assert output.write_files(some(0, 4), str(out)) == 4 and output.write_files(some(4, 6), str(out)) == 2
+    assert sorted(f.name for f in out.iterdir()) == [f"n{i}.svg" for i in range(6)]
+    assert output.write_files(some(9, 11), str(out), replace=True) == 2
+    assert sorted(f.name for f in out.iterdir()) == ["n10.svg", "n9.svg"] and [f.name for f in tmp_path.iterdir()] == ["out"]
+    assert output.write_files(some(0, 4).limit(0), str(tmp_path / "none")) == 0 and list((tmp_path / "none").iterdir()) == []
+
+
+def test_a_failed_task_or_a_name_twice_leaves_the_target_as_it_was(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("image_id"), F.when(F.col("id") == 37, F.raise_error(F.lit("broken"))).otherwise("<svg/>").alias("svg")).repartition(4)
+    with pytest.raises(Exception, match="broken"):
+        output.write_files(docs, str(tmp_path / "out"))
+    assert list(tmp_path.iterdir()) == []
+    twice = spark.range(6).select((F.col("id") % 5).alias("image_id"), F.lit("<svg/>").alias("svg"))
+    with pytest.raises(Exception, match="rows of one name"):
+        output.write_files(twice, str(tmp_path / "out"))
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_louvain_finds_two_cliques():
     edges = [(i, j, 1.0) for a in (0, 4) for i in range(a, a + 4) for j in range(i + 1, a + 4)] + [(3, 4, 0.1)]
     member = graph.louvain(8, edges)
