@@ -413,16 +413,48 @@ def vectorized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- order-dependent merges and output ---------------------------------------
 
 
-@query()
+# One step looks at one group of an image; after the last one the pass is folded, until a pass moves nothing.
+_MEAN = "CASE WHEN {0}.n > 0 THEN [{0}.l / {0}.n, {0}.a / {0}.n, {0}.b / {0}.n] ELSE [50.0::DOUBLE, 0, 0] END"
+_TAKERS = f"""list_filter(range(1, j), lambda i: leads[i] = i AND list_distance({_MEAN.format("gs[i]")}, {_MEAN.format("gs[j]")}) <= 25
+  AND sqrt(pow(greatest(0, gs[i].x0 - gs[j].x1, gs[j].x0 - gs[i].x1), 2) + pow(greatest(0, gs[i].y0 - gs[j].y1, gs[j].y0 - gs[i].y1), 2)) <= 50)"""
+_OF = lambda f, c: f"{f}(list_transform(own, lambda o: gs[o].{c}))"
+_FOLDED = f"""list_transform(list_transform(list_sort(list_distinct(leads)), lambda k: list_filter(range(1, len(gs) + 1), lambda i: leads[i] = k)), lambda own:
+  {{'l': {_OF("list_sum", "l")}, 'a': {_OF("list_sum", "a")}, 'b': {_OF("list_sum", "b")}, 'n': {_OF("list_sum", "n")}::BIGINT, 'x0': {_OF("list_min", "x0")}, 'y0': {_OF("list_min", "y0")}, 'x1': {_OF("list_max", "x1")}, 'y1': {_OF("list_max", "y1")}, 'held': {_OF("flatten", "held")}}})"""
+
+
+@query(SHAPES_SQL.replace("WITH base", "WITH RECURSIVE base") + f""", k AS (SELECT *, path_idx % 20 AS grp, row_number() OVER (PARTITION BY image_id, path_idx % 20 ORDER BY path_idx) AS ord FROM s),
+g AS (SELECT image_id, grp, {{'l': coalesce(sum(ll), 0)::DOUBLE, 'a': coalesce(sum(la), 0)::DOUBLE, 'b': coalesce(sum(lb), 0)::DOUBLE, 'n': count(ll), 'x0': min(x0)::DOUBLE, 'y0': min(y0)::DOUBLE, 'x1': max(x1)::DOUBLE, 'y1': max(y1)::DOUBLE, 'held': [grp]}} AS one FROM k GROUP BY image_id, grp),
+r AS (SELECT image_id, list(one ORDER BY grp) AS gs, []::BIGINT[] AS leads, 1::BIGINT AS j, false AS done FROM g GROUP BY image_id
+  UNION ALL SELECT image_id, CASE WHEN j > len(gs) THEN {_FOLDED} ELSE gs END, CASE WHEN j > len(gs) THEN [] ELSE list_append(leads, coalesce({_TAKERS}[1], j)) END, CASE WHEN j > len(gs) THEN 1 ELSE j + 1 END, j > len(gs) AND len(list_distinct(leads)) = len(gs) FROM r WHERE NOT done),
+f AS (SELECT image_id, unnest(range(1, len(gs) + 1)) AS m, gs FROM r WHERE done), h AS (SELECT image_id, m, unnest(gs[m].held) AS grp, unnest(range(1, len(gs[m].held) + 1)) AS place FROM f)
+SELECT k.image_id, path_idx, (m - 1)::INT AS group_idx, (row_number() OVER (PARTITION BY k.image_id, m ORDER BY place, ord) - 1)::INT AS member_ord FROM k JOIN h ON h.image_id = k.image_id AND h.grp = k.grp""")
 def merged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.merge_groups(proxies.grouped(spark, sf_dir)).select("image_id", "path_idx", "group_idx", "member_ord")
 
 
-@query()
+_TOUCHED = "list_filter(leads, lambda t: t.x0 <= n.x1 AND n.x0 <= t.x1 AND t.y0 <= n.y1 AND n.y0 <= t.y1)"
+_LEAD_SQL = f"""
+n AS (SELECT *, row_number() OVER (PARTITION BY image_id, group_idx, fill, transform ORDER BY path_idx) AS nth, min(path_idx) OVER (PARTITION BY image_id, group_idx, fill, transform) AS first_idx, 'M ' || concat_ws(' ', x0, y0, 'L', x1, y0, 'L', x1, y1, 'L', x0, y1, 'Z') AS d FROM k),
+r AS (SELECT n.*, path_idx AS lead, [{{'p': path_idx, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS leads FROM n WHERE nth = 1
+  UNION ALL SELECT n.*, coalesce({_TOUCHED}[1].p, n.path_idx), CASE WHEN len({_TOUCHED}) > 0 THEN leads ELSE list_append(leads, {{'p': n.path_idx, 'x0': n.x0, 'y0': n.y0, 'x1': n.x1, 'y1': n.y1}}) END
+  FROM r JOIN n ON n.image_id = r.image_id AND n.group_idx = r.group_idx AND n.fill = r.fill AND n.transform = r.transform AND n.nth = r.nth + 1)
+SELECT image_id, group_idx::INT AS group_idx, lead AS path_idx, (row_number() OVER (PARTITION BY image_id, group_idx ORDER BY min(first_idx), lead) - 1)::INT AS member_ord, string_agg(d, ' ' ORDER BY path_idx) AS d FROM r GROUP BY image_id, group_idx, lead"""
+
+
+@query(SHAPES_SQL.replace("WITH base", "WITH RECURSIVE base") + ", k AS (SELECT image_id, path_idx % 20 AS group_idx, path_idx, fill, transform, x0, y0, x1, y1 FROM s)," + _LEAD_SQL)
 def merged_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.merged_paths(proxies.grouped(spark, sf_dir), Engine().settings).select("image_id", "group_idx", "path_idx", "member_ord", "d")
 
 
+@query(SHAPES_SQL.replace("WITH base", "WITH RECURSIVE base") + f", k AS (SELECT image_id, path_idx % 2 AS group_idx, path_idx, {proxies._listed(PALETTE)}[path_idx % 3 + 1] AS fill, '' AS transform, x0, y0, x1, y1 FROM s)," + _LEAD_SQL)
+def merged_paths_of_few_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of some fifty paths in three fills, of which many touch."""
+    fill = F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("path_idx") % 3 + 1).cast("int"))
+    s = proxies.shapes(spark, sf_dir).withColumn("fill", fill).withColumn("transform", F.lit(None).cast("string"))
+    s = s.withColumn("group_idx", (F.col("path_idx") % 2).cast("int")).withColumn("member_ord", F.col("path_idx"))
+    return merging.merged_paths(s, Engine().settings).select("image_id", "group_idx", "path_idx", "member_ord", "d")
+
+
 @query()
 def simplified_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.simplified_paths(proxies.shapes(spark, sf_dir), Engine().settings).select("image_id", "path_idx", "d")
