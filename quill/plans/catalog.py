@@ -1,7 +1,7 @@
 """Registered queries over the proxy tables, and the SQL each is checked against.
 
-A query without SQL is one whose operator SQL cannot say: path data, order-
-dependent merges, communities. Tests hold those against small fixtures.
+A query without SQL is one whose operator SQL cannot say: path data,
+communities. Tests hold those against small fixtures.
 """
 
 from __future__ import annotations
