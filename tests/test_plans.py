@@ -1,6 +1,7 @@
 """Tables with a row a path or more are not sent whole to the driver and every executor, however small their files look."""
 
 import pytest
+from pyspark.sql import functions as F
 from quill import shared
 from quill.operators import features, grouping
 from quill.plans import proxies
@@ -31,3 +32,14 @@ def test_clusters(spark, sf, plans, least):
     plans.append(plan(grouping.density_clusters(paths(spark, sf), 0.35, least)))
     assert len(plans) > 2
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_overlaps(spark, sf):
+    from quill.operators import merging
+
+    one = proxies.shapes(spark, sf).withColumn("group_idx", F.lit(0))
+    assert "Broadcast" not in plan(merging.mergeable_pairs(one))
+
+
+def test_parents(spark, sf):
+    assert "Broadcast" not in plan(proxies.tree(spark, sf)[1])
