@@ -43,3 +43,14 @@ def test_overlaps(spark, sf):
 
 def test_parents(spark, sf):
     assert "Broadcast" not in plan(proxies.tree(spark, sf)[1])
+
+
+def test_traced(spark, sf, plans):
+    """Of an image's pixels and regions nothing goes to all."""
+    from quill.operators import pixels
+
+    plans.append(plan(pixels.traced(proxies.image_pixels(spark, sf).filter("image_id < 1"))))
+    assert len(plans) > 2
+    for p in plans:
+        for joined in (line for line in p.splitlines() if "BroadcastHashJoin" in line):
+            assert not any(c in joined for c in ("path_idx", "group_idx", "region", "label", "run")), joined
