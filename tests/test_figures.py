@@ -43,3 +43,11 @@ def test_union_is_dealt_once(spark):
 def test_unions_of_nothing(spark):
     none = figures(spark, 1, (3, 4)).filter("false")
     assert polygons.union_parts(none, ["k"]).count() == polygons.union(none, ["k"]).count() == polygons.largest_part(none, ["k"]).count() == 0
+
+
+def test_largest_part(spark):
+    edges, ends = figures(spark, 1, (4, 9), 60).localCheckpoint(), ("k", *polygons.ENDS)
+    joined = rows(polygons.largest_part(edges, ["k"], 0), *ends)
+    assert len({r[0] for r in joined}) > 20
+    assert rows(polygons.largest_part(edges, ["k"]), *ends) == joined
+    assert exchanges(polygons.largest_part(edges, ["k"])) == 1
