@@ -51,3 +51,17 @@ def test_largest_part(spark):
     assert len({r[0] for r in joined}) > 20
     assert rows(polygons.largest_part(edges, ["k"]), *ends) == joined
     assert exchanges(polygons.largest_part(edges, ["k"])) == 1
+
+
+def test_held(spark):
+    edges = figures(spark, 1, (3, 5), 30)
+    grown = edges.filter("k % 3 = 0").select(F.col("k") + 100, "member", *((F.col(c) - 4e6) * (1 + F.col("k") / 20) + 4e6 for c in polygons.ENDS)).toDF(*edges.columns)
+    outlines = polygons.union(edges.unionByName(grown), ["k"]).select(F.lit(1).alias("image_id"), F.col("k").alias("region"), *polygons.ENDS).cache()
+    k = spark.range(31)
+    pairs = k.select(F.lit(1).alias("image_id"), (F.col("id") + 100).alias("parent"), F.col("id").alias("child")).unionByName(k.select(F.lit(1).alias("image_id"), F.col("id").alias("parent"), ((F.col("id") * 7 + 3) % 31).alias("child")))
+    ask = lambda at_once: rows(polygons.held(pairs, outlines, ["image_id"], "parent", "child", at_once), "parent", "child")
+    joined = ask(0)
+    assert 20 < len(joined) < pairs.count()
+    assert ask(20_000) == ask(12) == joined
+    plan = polygons.held(pairs.localCheckpoint(), outlines.localCheckpoint(), ["image_id"], "parent", "child")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") >= 1
