@@ -82,14 +82,34 @@ def give_back(collect: bool = True) -> None:
         pass  # another C library; it keeps what it likes
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, a function for mapInArrow, that gives memory back when its task ends.
+#: What tasks of an operator keep for its next ones in the same worker.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """The place for what an operator's tasks keep in a worker, for as long as no other operator's tasks run there."""
+    return _KEPT.setdefault(operator, {})
+
+
+def only_kept(operator: str | None) -> None:
+    """Frees what other operators' tasks have kept in this worker."""
+    others = [things for name, things in _KEPT.items() if name != operator and things]
+    for things in others:
+        things.clear()
+    if others:
+        give_back()
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None):
+    """run, a function for mapInArrow, that gives memory back when its task ends; keeps: the operator whose kept() it uses.
 
     Workers wait for the next task beside the JVM, and wait with all that the
     allocators kept of the task before; the stages that follow need that room.
+    So they do what other operators keep: models and tokenizers go first.
     """
 
     def task(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_kept(keeps)
         try:
             yield from run(arrow)
         finally:

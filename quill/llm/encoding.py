@@ -16,6 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
 from .wordhash import BYTE_VALUE, place_hashes, runs, text_bytes, word_places
 
 # Characters with the Unicode property White_Space.
@@ -263,11 +264,11 @@ def _with_gaps(raw: np.ndarray, ends: np.ndarray, words: tuple[np.ndarray, np.nd
     return np.insert(parts, at, gap_starts[order]), np.insert(stops, at, gap_stops[order])
 
 
-_KNOWN: dict[tuple, Encoder] = {}
+_KNOWN: dict[tuple, Encoder] = kept("encoding")
 
 
 def encoder(path: str, cut: str, width: int = 4) -> Encoder:
-    """One encoder per Python worker and vocabulary; a worker serves many tasks."""
+    """One encoder per Python worker and vocabulary; a worker serves many tasks, and drops it for those of another operator."""
     key = (path, cut, width)
     if key not in _KNOWN:
         _KNOWN[key] = Encoder(path, cut, width)

@@ -182,7 +182,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     partition and size, so no size is gathered anywhere, however frequent.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    pieces = stored(read.mapInArrow(released(_encoded(vocabulary, window, end_id, keep_ids)), PIECES), "pieces")
+    pieces = stored(read.mapInArrow(released(_encoded(vocabulary, window, end_id, keep_ids), "encoding"), PIECES), "pieces")
     counts = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = np.zeros(window + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():

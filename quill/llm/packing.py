@@ -173,7 +173,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     runs again packs alike, and sequence numbers come from the stored pieces.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    pieces = stored(read.mapInArrow(released(_pack_partition(vocabulary, window, end_id)), PIECES), "pieces")
+    pieces = stored(read.mapInArrow(released(_pack_partition(vocabulary, window, end_id), "encoding"), PIECES), "pieces")
     # A row per partition; the running sum over them is small at any size of input.
     counts = pieces.groupBy("part").agg((F.max("local_id") + 1).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

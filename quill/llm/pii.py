@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, released, whole_text
+from .common import documents, give_back, kept, released, whole_text
 from .wordhash import BYTE_VALUE, place_hashes, runs, text_bytes, word_places
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -499,7 +499,7 @@ def _slices(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             give_back(collect=False)
 
 
-_FIELDS: dict[bytes, Field] = {}
+_FIELDS: dict[bytes, Field] = kept("pii")
 
 
 def _sent() -> tuple:
@@ -509,7 +509,7 @@ def _sent() -> tuple:
 
 
 def _field(sent: tuple) -> Field:
-    """One field per Python worker, which keeps the words it has met; a worker serves many tasks."""
+    """One field per Python worker, which keeps the words it has met; a worker serves many tasks, and drops it for those of another operator."""
     key = hashlib.sha256(sent[1].tobytes() + sent[2].tobytes()).digest()
     if key not in _FIELDS:
         _FIELDS[key] = Field(*sent)
@@ -538,7 +538,7 @@ def find(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id").schema
     for name in ("n_email", "n_ip", "n_card", "n_phone"):
         schema = schema.add(name, "long")
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(partial(_find, _sent())), schema.add("base_sha256", "string").add("spans", "string").add("n_secret", "long").add("n_spans", "long"))
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(partial(_find, _sent()), "pii"), schema.add("base_sha256", "string").add("spans", "string").add("n_secret", "long").add("n_spans", "long"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -553,7 +553,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             new = [None if text is None else replaced(text, spans) for text, (_, spans) in zip(texts, all_spans(field, [t or "" for t in texts]))]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(released(run), docs.schema)
+    out = docs.mapInArrow(released(run, "pii"), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -303,7 +303,7 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str | None = None, end
     read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("is_null"), whole_text().alias("text"))
     order = [F.desc("is_null"), F.col("id")]
     ranged = read.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    entries = stored(ranged.mapInArrow(released(_write_shards(folder, vocabulary, end_id, width)), ENTRIES), "entries")
+    entries = stored(ranged.mapInArrow(released(_write_shards(folder, vocabulary, end_id, width), "encoding"), ENTRIES), "entries")
     buckets = max(1, -(-entries.count() // KEYS_PER_BUCKET))
     built = entries.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(_build_index(folder), "bucket int, n_keys long")
     built.write.format("noop").mode("overwrite").save()
