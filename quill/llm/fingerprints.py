@@ -175,6 +175,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     if not bounds:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
     ids_of = F.split(F.lit(",".join(str(b.doc_id if b.doc_id is not None else -(1 << 63)) for b in bounds)), ",").cast("array<bigint>")
+    has_id = F.split(F.lit(",".join(str(b.doc_id is not None) for b in bounds)), ",").cast("array<boolean>")
     hashes = F.split(F.lit(",".join(str(b.h) for b in bounds)), ",").cast("array<bigint>")
     own = F.coalesce("doc_id", F.lit(-(1 << 63)))
 
@@ -185,7 +186,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     placed = rows.withColumn("p", F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)).withColumn("copy", F.lit(False))
-    heads = spark.createDataFrame([(b.doc_id, b.h, (i - 1) % len(bounds)) for i, b in enumerate(bounds)], "b_id long, b_h long, before int")
+    # Made of the same literals: rows from a Python list would start Python workers in the executors, which stay there.
+    i = F.col("id").cast("int")
+    head = (F.when(F.get(has_id, i), F.get(ids_of, i)).alias("b_id"), F.get(hashes, i).alias("b_h"), F.pmod(i - 1, F.lit(len(bounds))).alias("before"))
+    heads = spark.range(0, len(bounds), 1, 1).select(*head)
     copies = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h"))).dropDuplicates(["before"])
     copies = copies.select("doc_id", "text", "h", F.col("before").alias("p"), F.lit(True).alias("copy"))
     behind = Window.partitionBy("p").orderBy("copy", *order)

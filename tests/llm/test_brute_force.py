@@ -145,6 +145,20 @@ def test_fingerprints(spark, sf, texts):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_next_documents_are_found_without_python(spark, tmp_path):
+    """Ranges of a few rows each: repeated first rows and null ids keep their place; no rows from Python."""
+    rows = [(None, "no id"), (None, None), (3, "three"), (3, "three"), (3, "three"), (4, None), (-(1 << 63), "least"), ((1 << 63) - 1, "most"), *((i, f"text {i}") for i in range(10, 60))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(path := str(tmp_path / "documents"))
+    made = fingerprints.with_next(spark.read.parquet(path))
+    got = made.collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in got) == sorted((k is not None, k or 0, t or "") for k, t in rows)
+    after = {(r.doc_id, r.text): r.next_text for r in got if r.doc_id is not None and r.doc_id != 3}
+    assert after == {(-(1 << 63), "least"): "three", (4, ""): "text 10", **{(i, f"text {i}"): f"text {i + 1}" for i in range(10, 59)}, (59, "text 59"): "most", ((1 << 63) - 1, "most"): next(iter({"no id", ""} - {r.next_text for r in got if r.doc_id is None}))}
+    assert sorted(r.next_text for r in got if r.doc_id == 3) == ["", "three", "three"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
+
+
 def test_printed_fingerprints_subtract_and_peel(spark):
     """Two stored fingerprints alone give back the keys in which their texts differ."""
     from pyspark.sql import functions as F
